@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, urls
+from . import exact_dedup, mixing, packing, tokens, urls
 from .common import read
 
 
@@ -18,10 +18,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_exact(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op6_packing, op9_url_filter, op10_token_counts)}
