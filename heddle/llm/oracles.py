@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from .mixing import DRAW_DIGITS, EPOCHS, SEED, SHARE
 
-OP2 = f"""
+OP2 = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5(concat_ws(':', {SEED}, doc_id)), 1, {DRAW_DIGITS}))::BIGINT AS draw FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
@@ -31,5 +31,42 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (P
 """
 
 
+OP1 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+b AS (
+  SELECT doc_id, text, words, len(words) AS n_words,
+         length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS filled,
+         len(string_split(text, chr(10))) AS n_lines, text AS t FROM d),
+u AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, n_words)) AS pos FROM b),
+p AS (SELECT doc_id, pos, word || ' ' || """ + " || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(1, 8)) + r""" AS win
+      FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+w AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM p WHERE win IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(generate_series(pos, pos + 7)) AS q FROM w WHERE n > 1) GROUP BY doc_id),
+f AS (
+  SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+         (len(filled) - len(list_distinct(filled)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed, text, words, n_lines,
+         length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper
+  FROM b LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (
+         n_symbols > 0.10 * n_words
+         OR len(regexp_extract_all(text, '[#*$%&]{2,}')) > 0.05 * n_words
+         OR len(regexp_extract_all(text, '!{2,}')) > 0.10 * n_words
+         OR length(text) - length(replace(text, '|', '')) > 0.10 * n_words
+         OR n_upper > 0.50 * n_letters
+         OR word_chars < 2.0 * n_words OR word_chars > 14.0 * n_words
+         OR n_dup_lines > 0.60 * n_lines
+         OR len([i FOR i IN generate_series(2, n_words) IF words[i] = words[i - 1]]) > 0.25 * n_words
+         OR (len(list_distinct(words)) < 0.15 * n_words AND n_words < 2000)
+         OR len([x FOR x IN words IF NOT regexp_matches(x, '\p{L}')]) > 0.40 * n_words
+         OR len(regexp_extract_all(text, 'https?://|www\.')) > 0.10 * n_words) AS kept
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op4_exact_dedup": OP4}
+    return {"op1_quality_rules": OP1, "op2_mixing": OP2, "op4_exact_dedup": OP4}
