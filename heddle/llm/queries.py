@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, tokens, urls
+from . import exact_dedup, language, mixing, packing, quality, tokens, urls
 from .common import read
 
 
@@ -23,6 +23,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_exact(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    model = language.train(docs.where(~out))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -38,4 +45,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_exact_dedup, op6_packing, op9_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_exact_dedup, op5_language_id, op6_packing, op9_url_filter, op10_token_counts)}
