@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, packing, quality, tokens, urls
+from . import exact_dedup, language, mixing, near_dedup, packing, quality, tokens, urls
 from .common import read
 
 
@@ -35,6 +35,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group_near(read(spark, sf_dir, "documents"), size=3, threshold=0.85)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -45,4 +49,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_exact_dedup, op5_language_id, op6_packing, op9_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_exact_dedup, op5_language_id, op6_packing, op7_near_dedup, op9_url_filter, op10_token_counts)}
