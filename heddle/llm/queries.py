@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, near_dedup, packing, quality, tokens, urls
+from . import exact_dedup, language, mixing, near_dedup, packing, pii, quality, tokens, urls
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_exact(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,4 +53,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_exact_dedup, op5_language_id, op6_packing, op7_near_dedup, op9_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_pii, op4_exact_dedup, op5_language_id, op6_packing, op7_near_dedup, op9_url_filter, op10_token_counts)}
