@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, near_dedup, packing, pii, quality, tokens, urls
+from . import exact_dedup, extraction, language, mixing, near_dedup, packing, pii, quality, tokens, urls
 from .common import read
 
 
@@ -43,6 +43,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group_near(read(spark, sf_dir, "documents"), size=3, threshold=0.85)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -53,4 +57,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_pii, op4_exact_dedup, op5_language_id, op6_packing, op7_near_dedup, op9_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_pii, op4_exact_dedup, op5_language_id, op6_packing, op7_near_dedup, op8_html_extraction, op9_url_filter, op10_token_counts)}
