@@ -1,8 +1,57 @@
-"""The corpus pipeline: stages over documents, each reading all that the one before it kept."""
+"""The corpus pipeline: stages over documents, each reading all that the one before it kept.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heddle.llm import exact_dedup, language, mixing, near_dedup, packing
+from heddle.llm.common import read, written
+
+#: Mean posterior of a text's language below which the text goes; a text of two languages in equal parts has one half.
+LEAST_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those that are `und` or of a score below LEAST_SCORE go."""
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    return language.identify(docs, model).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest doc_id."""
+    return exact_dedup.drop_exact(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8), the one with the least doc_id."""
+    return near_dedup.drop_near(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out as the sources' targets want; a repeated one is a row each time."""
+    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens, placed in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
+
+#: Language identification, sketches and tokenizers are beyond SQL; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("the stages are not written yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
+    return docs
