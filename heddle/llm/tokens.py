@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,29 @@ SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 WORDS = re.compile(r"[^ \t-\r]+")
 #: Texts that hold other white space, or may hold a special token, are not cut so finely.
 UNSAFE = re.compile(r"[^\S \n]|<\|")
+#: Most texts have nothing but these characters (no apostrophe, tab or special token) and are cut by a plainer pattern.
+_L1 = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+UNPLAIN = re.compile(rf"[^ \n!-&(-;=-~{_L1}]")
+PLAIN = re.compile(rf"[ \n]*(?:[{_L1}]+|[^ \n{_L1}]+)|[ \n]+")
+PLAIN_WORDS = re.compile(rf"[{_L1}]+|[^ \n{_L1}]+")
+#: Pieces that wait for those among them that are new to be encoded together.
+WAITING = 100_000
+
+
+def pieces_of(text: str) -> list[str] | None:
+    """Pieces of a text that byte-level BPE encodes alone as within it; None if the text has to be encoded whole."""
+    if UNPLAIN.search(text) is None:
+        return PLAIN.findall(text)
+    if UNSAFE.search(text):
+        return None
+    return (SPACED if LATIN.search(text) else FINE).findall(text)
+
+
+def words_of(text: str) -> list[str]:
+    """Pieces of a text that word-level BPE, which drops white space and case, encodes alone as within it."""
+    if UNPLAIN.search(text) is None:
+        return PLAIN_WORDS.findall(text.lower())
+    return WORDS.findall(text) if UNSAFE.search(text) or LATIN.search(text) else FINE_WORDS.findall(text.lower())
 
 
 def tokenizer(name: str):
@@ -46,8 +71,8 @@ class Known(dict):
     def __init__(self, tok, keep):
         self.tok, self.keep = tok, keep
 
-    def learn(self, pieces) -> None:
-        new = [p for p in pieces if p not in self]
+    def learn(self, pieces: Iterable[str]) -> None:
+        new = list(filterfalse(self.__contains__, pieces))
         if len(self) + len(new) > MOST_KNOWN:
             self.clear()
             new = list(pieces)
@@ -73,7 +98,7 @@ def counts_of(texts: list[str], known: Known) -> np.ndarray:
         at, size = upto, 0
 
     for k, text in enumerate(texts):
-        frequencies.append(Counter(WORDS.findall(text) if UNSAFE.search(text) or LATIN.search(text) else FINE_WORDS.findall(text.lower())))
+        frequencies.append(Counter(words_of(text)))
         size += len(frequencies[-1])
         if size > MOST_KNOWN // 8:
             settle(k + 1)
@@ -103,18 +128,36 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
     return docs.mapInArrow(count, schema)
 
 
-def ids_of(texts: list[str], known: Known) -> Iterator[bytes]:
+def ids_of(texts: Iterable[str], known: Known) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
+    waiting: list[list[str] | bytes] = []
+    new: set[str] = set()
+    size = 0
+
+    def settle() -> Iterator[bytes]:
+        if len(known) + len(new) > MOST_KNOWN:
+            known.clear()
+            new.update(*(w for w in waiting if isinstance(w, list)))
+        known.learn(new)
+        for w in waiting:
+            yield b"".join(map(known.__getitem__, w)) if isinstance(w, list) else w
+        waiting.clear()
+        new.clear()
+
     for text in texts:
-        if not text:
-            yield b""
-        elif UNSAFE.search(text):
-            yield known.keep(known.tok.encode(text, add_special_tokens=False))
-        else:
-            pieces = (SPACED if LATIN.search(text) else FINE).findall(text)
-            known.learn(set(pieces))
-            yield b"".join(map(known.__getitem__, pieces))
+        pieces = pieces_of(text)
+        if pieces is None:
+            waiting.append(known.keep(known.tok.encode(text, add_special_tokens=False)))
+            continue
+        waiting.append(pieces)
+        new.update(filterfalse(known.__contains__, pieces))
+        size += len(pieces)
+        if size > WAITING:
+            yield from settle()
+            size = 0
+    yield from settle()
 
 
 def packed_ids(encoded) -> bytes:
-    return np.asarray(encoded.ids, "<u4").tobytes()
+    ids = encoded.ids
+    return struct.pack(f"<{len(ids)}I", *ids)
