@@ -202,16 +202,26 @@ def _name(e: Column, key: str, attempt: Column, width: int) -> Column:
     return F.concat(title, F.when(first != "", F.concat(given, F.lit(" "))).otherwise(""), surname)
 
 
-def surrogate(e: Column, kind: Column, key: str, attempt: Column, width: int = 3) -> Column:
+#: Types whose surrogates are hashed, and so may collide; the others' are permuted.
+HASHED = ("secret", "key", "email", "name")
+
+
+def hashed_surrogate(e: Column, kind: Column, key: str, attempt: Column, width: int = 3) -> Column:
     return (
         F.when(kind == "secret", _secret(e, key, attempt))
         .when(kind == "key", _api_key(e, key, attempt))
         .when(kind == "email", _email(e, key, attempt))
+        .when(kind == "name", _name(e, key, attempt, width))
+    )
+
+
+def surrogate(e: Column, kind: Column, key: str, attempt: Column, width: int = 3) -> Column:
+    return (
+        F.when(kind.isin(*HASHED), hashed_surrogate(e, kind, key, attempt, width))
         .when(kind == "ip", _ip(e, key))
         .when(kind == "ssn", _ssn(e, key))
         .when(kind == "card", _card(e, key))
-        .when(kind == "phone", _phone(e, key))
-        .otherwise(_name(e, key, attempt, width))
+        .otherwise(_phone(e, key))
     )
 
 
@@ -240,11 +250,11 @@ def changes(found: DataFrame, key: str, width: int = 3) -> tuple[dict[str, int],
     Numbers are permuted and cannot collide with one another; one that maps onto another entity's value is no harm
     to distinctness, as that one moves on as well. The others are hashed: of those that meet, all but the least take
     the next attempt, until none meet. Distinct entities are compared by their surrogates' groups, not in pairs."""
-    hashed = found.where(F.col("kind").isin("email", "secret", "key", "name"))
+    hashed = found.where(F.col("kind").isin(*HASHED))
     while True:
         now = hashed.withColumn("attempt", F.lit(0))
         for _ in range(ROUNDS):
-            now = now.withColumn("out", canonical(surrogate(F.col("entity"), F.col("kind"), key, F.col("attempt"), width), F.col("kind")))
+            now = now.withColumn("out", canonical(hashed_surrogate(F.col("entity"), F.col("kind"), key, F.col("attempt"), width), F.col("kind")))
             now = written(now, "pii-surrogates")
             meet = now.groupBy("kind", "out").agg(F.min("value").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
             taken = now.select("kind", F.col("value").alias("out")).withColumn("taken", F.lit(True))
@@ -273,13 +283,14 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     changed, width = changes(written(entities(docs), "pii-entities"), key)
     literal = F.create_map(*[F.lit(x) for kv in sorted(changed.items()) for x in kv]) if changed else None
 
-    def swapped(e: Column) -> Column:
-        kind = type_of(e)
+    def swapped(x: Column) -> Column:
+        e, kind = x["e"], x["kind"]
         attempt = F.coalesce(F.element_at(literal, F.concat(kind, F.lit("|"), canonical(e, kind))), F.lit(0)) if literal is not None else F.lit(0)
         return F.struct(kind.alias("kind"), surrogate(e, kind, key, attempt, width).alias("out"))
 
     has = F.col("text").rlike(ENTITY)
-    x = docs.withColumn("__found", F.when(has, F.transform(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), swapped)))
+    typed = F.transform(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), lambda e: F.struct(e.alias("e"), type_of(e).alias("kind")))
+    x = docs.withColumn("__found", F.when(has, F.transform(typed, swapped)))
     gaps = F.split("text", ENTITY, -1)
     pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__found.out", i), F.lit(""))))
     x = x.withColumn("text", F.when(has, F.array_join(pieces, "")).otherwise(F.col("text")))
