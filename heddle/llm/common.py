@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, the word separator of the contracts, as a Java regex class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,3 +33,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def lowest(hash64: Column, wanted: int, rows: int) -> Column:
+    """Whether a 64-bit hash is among about the 2 * wanted lowest of so many: hashes are even, so a share of their range
+    holds that share of the rows. What is kept can be collected, whatever the number of tasks, and cut to size."""
+    return hash64 <= F.lit(int(-(2**63) + min(1.0, (2 * wanted + 64) / max(rows, 1)) * (2**64 - 1025)))

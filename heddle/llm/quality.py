@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 #: Words in a repeated window, and the shares of the base test.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 0.30
 SYMBOLS = "#*$%&|<>"
@@ -147,8 +149,8 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
     task judges its own rows, one text at a time."""
     names = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean"}
     docs = docs.drop(*names)
-    drawn = docs.select("text", F.xxhash64("doc_id").alias("h")).where("text is not null").orderBy("h").limit(sample)
-    chain = ordered(rules, estimates([r["text"] for r in drawn.collect()], rules))
+    drawn = docs.select("text", F.xxhash64("doc_id").alias("h")).where(lowest(F.col("h"), sample, docs.count()) & F.col("text").isNotNull())
+    chain = ordered(rules, estimates([r["text"] for r in sorted(drawn.collect(), key=lambda r: r["h"])[:sample]], rules))
     order = [[r.name for r in rules].index(r.name) for r in chain]
     schema = docs.withColumns({n: F.lit(None).cast(t) for n, t in names.items()}).schema
 

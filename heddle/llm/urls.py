@@ -8,6 +8,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 #: (verdict, host, path) of the rule list.
 RULES = (
     ("block", "com", "/en/"),
@@ -78,15 +80,16 @@ def seed_label(host: Column) -> Column:
 
 def labelled_sample(labelled: DataFrame, most: int = MOST_LABELLED) -> list[dict]:
     """At most `most` labelled URLs (url, label), distinct, by hash: half of each label, so that rare ones are learnt."""
-    host, path = F.col("__host"), F.col("__path")
-    out = []
-    for label in (0, 1):
-        rows = labelled.where((F.col("label") == label) & F.col("url").isNotNull()).select("url", "label").distinct()
-        rows = rows.orderBy(F.xxhash64("url"), "url").limit(most // 2)
-        rows = rows.withColumn("__host", host_of(F.col("url"))).withColumn("__path", path_of(F.col("url")))
-        rows = rows.select("label", suffix_of(host).alias("suffix"), site_of(host).alias("site"), *[c.cast("double").alias(k) for k, c in lexical(F.col("url"), host, path).items()])
-        out += [r.asDict() for r in rows.collect()]
-    return out
+    host, path, h = F.col("__host"), F.col("__path"), F.xxhash64("url")
+    rows = labelled.where(F.col("url").isNotNull() & F.col("label").isin(0, 1)).select("url", "label")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    near = F.lit(False)
+    for label, n in counts.items():
+        near = near | ((F.col("label") == label) & lowest(h, most // 2, n))
+    rows = rows.where(near).distinct().withColumn("__host", host_of(F.col("url"))).withColumn("__path", path_of(F.col("url")))
+    rows = rows.select("label", h.alias("h"), suffix_of(host).alias("suffix"), site_of(host).alias("site"), *[c.cast("double").alias(k) for k, c in lexical(F.col("url"), host, path).items()])
+    drawn = sorted((r.asDict() for r in rows.collect()), key=lambda r: r["h"])
+    return [r for label in (0, 1) for r in [x for x in drawn if x["label"] == label][: most // 2]]
 
 
 def rates(sample: list[dict], key: str) -> tuple[dict[str, tuple[int, int]], float]:
