@@ -202,10 +202,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a binary, b binary")
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) of `labels` after `links` (a, b) between nodes."""
-    if labels is None:
-        return written(components(links), "near-labels")
     of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     raised = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     more = components(raised).select(F.col("node").alias("c"), F.col("component").alias("d"))
@@ -214,57 +212,65 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(new), "near-labels")
 
 
-def _blocks(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, estimate): likely pairs between components, of `members` (key, node, component, size) of buckets
-    that hold several. A bucket is cut into blocks of about BLOCK nodes, and each pair of blocks is a task's
-    unit of work, on sketches: every pair of the bucket is looked at, but only likely ones leave."""
-    least = least_estimate(threshold)
-    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
-    x = members.select("key", "node", "component", n_blocks.alias("of")).withColumn("block", F.pmod(F.xxhash64("node"), "of").cast("int"))
+def _blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): confirmed links between components, of `members` (unit, node, component). A unit is cut into blocks of
+    about BLOCK nodes, and each pair of blocks is a task's piece of work: likely pairs by sketches, the likeliest
+    first, are confirmed on full sets unless links found before join them already. Every pair of a unit is looked
+    at in this way, but only links that join components leave, fewer than the nodes of the blocks."""
+    least, percent = least_estimate(threshold), round(threshold * 100)
+    sizes = members.groupBy("unit").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).cast("int").alias("of"))
+    x = members.join(sizes, "unit").withColumn("block", F.pmod(F.xxhash64("node"), "of").cast("int"))
     # A block meets itself and every other one, the lower one first.
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    x = x.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
-    x = x.join(classes.select("node", "n_shingles", "sketch"), "node")
+    x = x.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+    x = x.join(classes.select("node", "n_shingles", "sketch"), "node").join(sets, "node")
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         s, n, block = _registers(group["sketch"]), np.asarray(group["n_shingles"], float), np.asarray(group["block"])
         _, component = np.unique(np.array(group["component"].to_pylist(), object), return_inverse=True)
-        low = int(group["i"][0].as_py())
-        first, second = np.flatnonzero(block == low), np.flatnonzero(block == int(group["j"][0].as_py()))
-        a_s, b_s = [], []
+        first, second = np.flatnonzero(block == group["i"][0].as_py()), np.flatnonzero(block == group["j"][0].as_py())
+        a_s, b_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in first:
             near = second[(component[second] != component[k]) & (np.minimum(n[second], n[k]) >= threshold * np.maximum(n[second], n[k]))]
-            if len(near):
-                near = near[(s[near] == s[k]).mean(axis=1) >= least - 0.02]
-                a_s.append(np.full(len(near), k))
-                b_s.append(near)
-        a = np.concatenate(a_s) if a_s else np.zeros(0, int)
-        b = np.concatenate(b_s) if b_s else np.zeros(0, int)
-        j = likelihood(s[a], s[b], n[a], n[b]) if len(a) else np.zeros(0)
-        a, b, j = a[j >= least], b[j >= least], j[j >= least]
+            near = near[(s[near] == s[k]).mean(axis=1) >= least - 0.02] if len(near) else near
+            a_s.append(np.full(len(near), k))
+            b_s.append(near)
+        a, b = np.concatenate(a_s), np.concatenate(b_s)
+        j = np.concatenate([likelihood(s[a[k : k + 8192]], s[b[k : k + 8192]], n[a[k : k + 8192]], n[b[k : k + 8192]]) for k in range(0, len(a), 8192)] or [np.zeros(0)])
+        above = list(range(component.max() + 1))
+
+        def top(c: int) -> int:
+            while above[c] != c:
+                above[c] = above[above[c]]
+                c = above[c]
+            return c
+
+        shingles, links = group["shingles"], []
+        for k in np.argsort(-j, kind="stable"):
+            if j[k] < least:
+                break
+            x, y = top(component[a[k]]), top(component[b[k]])
+            if x != y:
+                p, q = (np.frombuffer(shingles[int(i)].as_buffer(), np.uint64) for i in (a[k], b[k]))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    above[x] = y
+                    links.append((a[k], b[k]))
         nodes = group["node"]
-        return pa.table({"a": nodes.take(pa.array(a)).cast(pa.binary()), "b": nodes.take(pa.array(b)).cast(pa.binary()), "estimate": pa.array(j)})
-
-    pairs = x.groupBy("key", "i", "j").applyInArrow(meet, "a binary, b binary, estimate double")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "estimate")
-    return pairs.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+        side = lambda e: nodes.take(pa.array([int(x[e]) for x in links], pa.int64())).cast(pa.binary())
+        return pa.table({"a": side(0), "b": side(1)})
 
-
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`pairs` (a, b, ...) that lie in different components, with c_a and c_b."""
-    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    out = pairs.drop("c_a", "c_b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return out.withColumn("c_a", F.coalesce("c_a", "a")).withColumn("c_b", F.coalesce("c_b", "b")).where("c_a <> c_b")
+    return x.groupBy("unit", "i", "j").applyInArrow(meet, "a binary, b binary")
 
 
-def linked(classes: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame | None:
+def linked(classes: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
     """(node, component) of the classes (node, rep, n_shingles, sketch) that are linked with another.
 
     Buckets of two or more classes are stars first: the member that meets most others in all its buckets, which is
-    the copy nearest to the rest, is compared with each other one. Where a bucket still holds several components, the
-    pairs between them are looked at block by block; the likeliest of each class and component is confirmed next,
-    and then what still lies between components. So no pair of a bucket is left out, and no bucket's pairs are all made."""
+    the copy nearest to the rest, is compared with each other one. Where a bucket still holds several components,
+    its members join the unit of its star's centre, and the pairs between components of a unit are looked at block
+    by block. So no pair of a bucket is left out, and no bucket's pairs are all made."""
     rows = banded(classes, threshold)
     repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(rows.join(repeated, "key"), "near-buckets")
@@ -272,27 +278,15 @@ def linked(classes: DataFrame, docs: DataFrame, size: int, threshold: float) ->
     wanted = classes.select("node", "rep").join(degree.select("node"), "node", "left_semi")
     sets = _sets(docs, wanted, size)
     ranked = members.join(degree, "node")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("b"))
-    stars = ranked.select("key", F.col("node").alias("a")).join(pivots, "key").where("a <> b").select("a", "b").distinct()
-    likely = written(_likely(stars, classes, threshold), "near-likely")
-    labels = _merged(None, _confirmed(likely, sets, threshold))
-    own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = written(_blocks(own.join(open_keys, "key"), classes, threshold).join(likely.select("a", "b"), ["a", "b"], "left_anti").join(likely.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "near-rest")
-    done = None
-    for last in (False, True):
-        between = _between(rest, labels)
-        if last:
-            between = between.join(done, ["a", "b"], "left_anti")
-        else:
-            best = F.struct("estimate", "b").alias("x")
-            ahead = between.groupBy("a", "c_b").agg(F.max(best).alias("x")).select("a", F.col("x.b").alias("b"))
-            best = F.struct("estimate", "a").alias("x")
-            between = ahead.unionByName(between.groupBy("b", "c_a").agg(F.max(best).alias("x")).select(F.col("x.a").alias("a"), "b")).distinct()
-        done = written(between.select("a", "b"), "near-between")
-        if not done.isEmpty():
-            labels = _merged(labels, _confirmed(done, sets, threshold))
-    return labels
+    pivots = written(ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("unit")), "near-pivots")
+    placed = members.select("key", "node").join(pivots, "key")
+    stars = placed.where("node <> unit").select(F.col("node").alias("a"), F.col("unit").alias("b")).distinct()
+    labels = written(components(_confirmed(_likely(stars, classes, threshold), sets, threshold)), "near-labels")
+    own = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    still = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    left = own.join(still, "key").select("unit", "node", "component").distinct()
+    links = written(_blocks(left, classes, sets, threshold), "near-links")
+    return labels if links.isEmpty() else _merged(labels, links)
 
 
 def group_near(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
