@@ -38,19 +38,26 @@ _FIRST = "|".join(n for names in GIVEN.values() for n in names)
 TYPES = {
     "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,200}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b",
-    "email": r"[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,18}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-    "name": rf"\b(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?|\b(?:{_FIRST}) {_NAME}",
+    "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in TYPES.values())
+#: What no entity is without: texts that lack both are left alone at the cost of a plain scan.
+CUE, NAME_CUE = "[0-9@=:]", rf"\b(?=\p{{Lu}})(?:{_TITLE}|{_FIRST})\b"
 _PREFIX = TYPES["secret"].rpartition("[A-Za-z0-9+/_")[0]
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщэюя"
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text has a cue of an entity."""
+    return text.rlike(CUE) | text.rlike(NAME_CUE)
+
+
 def type_of(e: Column) -> Column:
     """The first type whose pattern an entity fits as a whole."""
     out = F.lit("name")
@@ -132,6 +139,11 @@ def _ip(e: Column, key: str) -> Column:
     return F.concat_ws(".", parts[0], F.floor(n / 65536).cast("string"), (F.floor(n / 256) % 256).cast("string"), (n % 256).cast("string"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with `value` worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _digest(value: Column, key: str, attempt: Column) -> Column:
     """128 keyed bytes in hexadecimal."""
     return F.concat(*[F.sha2(F.concat_ws("|", F.lit(f"{key}{k}"), attempt.cast("string"), value).cast("binary"), 256) for k in range(4)])
@@ -170,36 +182,42 @@ def _lettered(e: Column, digest: Column) -> Column:
 def _email(e: Column, key: str, attempt: Column) -> Column:
     """Everything but the last label and the punctuation replaced; case of letters doesn't tell addresses apart."""
     tail = F.regexp_extract(e, r"\.[^.]*\z", 0)
-    return F.concat(_lettered(F.left(e, F.length(e) - F.length(tail)), _digest(F.lower(e), key + "email", attempt)), tail)
+    return _let(_digest(F.lower(e), key + "email", attempt), lambda d: F.concat(_lettered(F.left(e, F.length(e) - F.length(tail)), d), tail))
 
 
 def _secret(e: Column, key: str, attempt: Column) -> Column:
     head = F.regexp_extract(e, rf"\A(?:{_PREFIX})", 0)
     value = F.substring(e, 1, 1_000_000).substr(F.length(head) + 1, F.length(e))
-    return F.concat(head, _lettered(value, _digest(value, key + "secret", attempt)))
+    return _let(F.struct(value.alias("v"), _digest(value, key + "secret", attempt).alias("d")), lambda x: F.concat(head, _lettered(x["v"], x["d"])))
 
 
 def _api_key(e: Column, key: str, attempt: Column) -> Column:
-    return F.concat(F.left(e, F.lit(4)), _lettered(e.substr(F.lit(5), F.length(e)), _digest(e, key + "key", attempt)))
+    return _let(_digest(e, key + "key", attempt), lambda d: F.concat(F.left(e, F.lit(4)), _lettered(e.substr(F.lit(5), F.length(e)), d)))
 
 
 def _name(e: Column, key: str, attempt: Column, width: int) -> Column:
     """Title kept; a given name becomes another of its gender and script; a surname gets syllables of its script.
     Surnames are replaced by themselves, so that a person is the same with and without a given name."""
     title = F.regexp_extract(e, rf"\A(?:{_TITLE})\b\.? ", 0)
-    rest = F.split(e.substr(F.length(title) + 1, F.length(e)), " ")
-    first = F.when(F.size(rest) > 1, rest[0]).otherwise("")
-    last = F.element_at(rest, -1)
-    script = lambda latin, cyrillic: F.when(e.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
-    female = title.rlike(rf"\A(?:{'|'.join(TITLES['f'])})") | first.isin(*GIVEN["f", "latin"], *GIVEN["f", "cyrillic"])
-    male = title.rlike(rf"\A(?:{'|'.join(TITLES['m'])})") | first.isin(*GIVEN["m", "latin"], *GIVEN["m", "cyrillic"])
-    d = _digest(first, key + "given", attempt)
-    both = {g: script(_pick(GIVEN[g, "latin"], _byte(d, F.lit(3))), _pick(GIVEN[g, "cyrillic"], _byte(d, F.lit(3)))) for g in "fm"}
-    given = F.when(female, both["f"]).when(male, both["m"]).when(_byte(d, F.lit(9)) % 2 == 0, both["f"]).otherwise(both["m"])
-    d = _digest(last, key + "surname", attempt)
-    parts = [_byte(d, F.lit(5 * k)) * 256 + _byte(d, F.lit(5 * k + 1)) for k in range(width)]
-    surname = F.initcap(F.concat(*[script(_pick(SYLLABLES["latin"], p), _pick(SYLLABLES["cyrillic"], p)) for p in parts]))
-    return F.concat(title, F.when(first != "", F.concat(given, F.lit(" "))).otherwise(""), surname)
+
+    def given(x: Column) -> Column:
+        female = x["title"].rlike(rf"\A(?:{'|'.join(TITLES['f'])})") | x["first"].isin(*GIVEN["f", "latin"], *GIVEN["f", "cyrillic"])
+        male = x["title"].rlike(rf"\A(?:{'|'.join(TITLES['m'])})") | x["first"].isin(*GIVEN["m", "latin"], *GIVEN["m", "cyrillic"])
+        gender = F.when(female, "f").when(male, "m").when(_byte(x["d"], F.lit(9)) % 2 == 0, "f").otherwise("m")
+        n = _byte(x["d"], F.lit(3))
+        pick = lambda g: F.when(x["cyrillic"], _pick(GIVEN[g, "cyrillic"], n)).otherwise(_pick(GIVEN[g, "latin"], n))
+        return F.when(x["first"] == "", "").otherwise(F.concat(F.when(gender == "f", pick("f")).otherwise(pick("m")), F.lit(" ")))
+
+    def surname(x: Column) -> Column:
+        parts = [_byte(x["s"], F.lit(5 * k)) * 256 + _byte(x["s"], F.lit(5 * k + 1)) for k in range(width)]
+        return F.initcap(F.concat(*[F.when(x["cyrillic"], _pick(SYLLABLES["cyrillic"], p)).otherwise(_pick(SYLLABLES["latin"], p)) for p in parts]))
+
+    def named(x: Column) -> Column:
+        digests = F.struct(x["title"].alias("title"), x["first"].alias("first"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"), _digest(x["first"], key + "given", attempt).alias("d"), _digest(x["last"], key + "surname", attempt).alias("s"))
+        return _let(digests, lambda y: F.concat(y["title"], given(y), surname(y)))
+
+    words = _let(F.struct(title.alias("t"), F.split(e.substr(F.length(title) + 1, F.length(e)), " ").alias("w")), lambda x: F.struct(x["t"].alias("title"), F.when(F.size(x["w"]) > 1, x["w"][0]).otherwise("").alias("first"), F.element_at(x["w"], -1).alias("last")))
+    return _let(words, named)
 
 
 #: Types whose surrogates are hashed, and so may collide; the others' are permuted.
@@ -238,7 +256,7 @@ def canonical(e: Column, kind: Column) -> Column:
 
 def entities(docs: DataFrame) -> DataFrame:
     """(kind, value, entity) of each distinct entity: its canonical value, and the least of its spellings."""
-    found = docs.where(F.col("text").rlike(ENTITY)).select(F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("entity"))
+    found = docs.where(may_hold(F.col("text"))).select(F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("entity"))
     found = found.groupBy("entity").agg(F.lit(1)).select("entity").withColumn("kind", type_of(F.col("entity")))
     return found.withColumn("value", canonical(F.col("entity"), F.col("kind"))).groupBy("kind", "value").agg(F.min("entity").alias("entity"))
 
@@ -288,7 +306,7 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
         attempt = F.coalesce(F.element_at(literal, F.concat(kind, F.lit("|"), canonical(e, kind))), F.lit(0)) if literal is not None else F.lit(0)
         return F.struct(kind.alias("kind"), surrogate(e, kind, key, attempt, width).alias("out"))
 
-    has = F.col("text").rlike(ENTITY)
+    has = may_hold(F.col("text"))
     typed = F.transform(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), lambda e: F.struct(e.alias("e"), type_of(e).alias("kind")))
     x = docs.withColumn("__found", F.when(has, F.transform(typed, swapped)))
     gaps = F.split("text", ENTITY, -1)
