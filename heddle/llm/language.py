@@ -21,10 +21,10 @@ MOST_LANGS = 64
 #: Buckets of hashed features; words per language in the lexicon; rounds of fitting; penalty on squared weights.
 BUCKETS, LEXICON, ROUNDS, PENALTY = 1 << 15, 300, 40, 1e-5
 #: Distinct words whose scores a worker remembers.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 250_000
 #: Documents put through forward-backward at a time, words that they may take with padding, and words of the
 #: documents among which they are chosen by length.
-LANES, CELLS, WAITING = 1024, 1 << 20, 6 << 20
+LANES, CELLS, WAITING = 1024, 1 << 18, 1 << 21
 #: What a text without letters gets.
 UNDETERMINED = "und"
 

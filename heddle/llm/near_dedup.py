@@ -24,7 +24,7 @@ BLOCK = 256
 #: Ids up to which a list of wanted documents is sent to every task; beyond, it is joined by shuffle.
 MOST_SENT = 1_000_000
 #: Distinct words whose hashes a worker remembers.
-MOST_KNOWN = 600_000
+MOST_KNOWN = 250_000
 
 _rng = np.random.default_rng(20_240_607)
 _MULTIPLIERS = (_rng.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1))[:, None]
