@@ -57,10 +57,6 @@ class Packer:
         self.sizes = np.zeros((0, 3))
         self.sequence = 0
 
-    def _gap(self, left: np.ndarray, each: float) -> int:
-        """Tokens that still fit, where each bears `each` loss."""
-        return int(min(left[0], left[2] / each if each else left[0])) if left[1] >= 1 else 0
-
     def add(self, document: Document, loss_from: int) -> Iterator[tuple]:
         """A document's tokens; those from position loss_from on bear loss. Yields placed segments:
         (document, start, length, sequence, offset, loss)."""
@@ -106,9 +102,10 @@ class Packer:
                 k = int(np.argmax(worth))
                 n = int(self.sizes[k][0])
             else:
-                gap = [min(self._gap(left, 1.0) if self.sizes[k][2] else self._gap(left, 0.0), int(self.sizes[k][0])) for k in range(len(self.names))] if len(self.names) < 64 else None
-                k = int(np.argmax(gap)) if gap else int(np.argmax(self.sizes[:, 0]))
-                n = gap[k] if gap else min(self._gap(left, 1.0), int(self.sizes[k][0]))
+                room = np.where(self.sizes[:, 2] > 0, min(left[0], left[2]), left[0])
+                gap = np.minimum(room, self.sizes[:, 0])
+                k = int(np.argmax(gap))
+                n = int(gap[k])
                 if n < 1:
                     break
             loss = self._loss_in(k, n)
