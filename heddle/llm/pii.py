@@ -66,6 +66,11 @@ def type_of(e: Column) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with `value` worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _number(key: str, what: str, unit: bool) -> Column:
     """A keyed constant of 18 digits; with `unit`, one that is prime to 10."""
     n = int(hashlib.sha256(f"{key}|{what}".encode()).hexdigest(), 16) % 10**18
@@ -80,12 +85,17 @@ _POWERS = [Decimal(10) ** k for k in range(19)]
 def permuted(digits: Column, key: str) -> Column:
     """A keyed permutation of the digit strings of each length up to 18: two affine rounds, with a reversal between
     them so that every digit counts. Different strings stay different, whatever else the corpus holds."""
-    size = F.element_at(F.array(*[F.lit(p).cast("decimal(19,0)") for p in _POWERS]), F.length(digits) + 1)
-    for turn in ("1", "2"):
-        x = F.when(digits == "", F.lit("0")).otherwise(digits).cast("decimal(18,0)")
-        y = ((x * _number(key, "a" + turn, True) + _number(key, "b" + turn, False)) % size).cast("decimal(18,0)").cast("string")
-        digits = F.reverse(F.right(F.concat(F.lit("0" * 18), y), F.length(digits)))
-    return digits
+    powers = F.array(*[F.lit(p).cast("decimal(19,0)") for p in _POWERS])
+
+    def affine(turn: str):
+        def body(d: Column) -> Column:
+            x = F.when(d == "", F.lit("0")).otherwise(d).cast("decimal(18,0)")
+            y = ((x * _number(key, "a" + turn, True) + _number(key, "b" + turn, False)) % F.element_at(powers, F.length(d) + 1)).cast("decimal(18,0)").cast("string")
+            return F.reverse(F.right(F.concat(F.lit("0" * 18), y), F.length(d)))
+
+        return body
+
+    return _let(_let(digits, affine("1")), affine("2"))
 
 
 def _digits(e: Column) -> Column:
@@ -94,23 +104,25 @@ def _digits(e: Column) -> Column:
 
 def _refilled(e: Column, digits: Column) -> Column:
     """`e` with its digits replaced in order, all else as it stands."""
-    at = lambda i: F.substring(e, i, 1)
-    each = F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.when(at(i).rlike("[0-9]"), digits.substr(F.length(_digits(e.substr(F.lit(1), i))), F.lit(1))).otherwise(e.substr(i, F.lit(1))))
-    return F.array_join(each, "")
+    at = lambda i: e.substr(i, F.lit(1))
+    place = lambda i: F.length(_digits(e.substr(F.lit(1), i)))
+    return _let(digits, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.when(at(i).rlike("[0-9]"), d.substr(place(i), F.lit(1))).otherwise(at(i))), ""))
 
 
 def _luhn(digits: Column) -> Column:
-    turned = F.reverse(digits)
-    doubled = lambda i: F.when(i % 2 == 0, turned.substr(i, F.lit(1)).cast("int") * 2).otherwise(turned.substr(i, F.lit(1)).cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda s, i: s + F.when(doubled(i) > 9, doubled(i) - 9).otherwise(doubled(i))) % 10
+    digit = lambda turned, i: turned.substr(i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
+    once = lambda d: F.when(d > 9, d - 9).otherwise(d)
+    return _let(F.reverse(digits), lambda turned: F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), lambda s, i: s + once(digit(turned, i))) % 10)
 
 
 def _card(e: Column, key: str) -> Column:
     """First digit kept, the check digit as right or wrong as before, the others permuted."""
-    d = _digits(e)
-    body = F.concat(F.left(d, F.lit(1)), permuted(d.substr(F.lit(2), F.length(d) - 2), key + "card"))
-    check = F.pmod(_luhn(d) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return _refilled(e, F.concat(body, check))
+
+    def checked(d: Column) -> Column:
+        body = F.concat(F.left(d, F.lit(1)), permuted(d.substr(F.lit(2), F.length(d) - 2), key + "card"))
+        return _let(body, lambda x: F.concat(x, F.pmod(_luhn(d) - _luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))
+
+    return _refilled(e, _let(_digits(e), checked))
 
 
 def _phone(e: Column, key: str) -> Column:
@@ -139,11 +151,6 @@ def _ip(e: Column, key: str) -> Column:
     return F.concat_ws(".", parts[0], F.floor(n / 65536).cast("string"), (F.floor(n / 256) % 256).cast("string"), (n % 256).cast("string"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with `value` worked out once however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _digest(value: Column, key: str, attempt: Column) -> Column:
     """128 keyed bytes in hexadecimal."""
     return F.concat(*[F.sha2(F.concat_ws("|", F.lit(f"{key}{k}"), attempt.cast("string"), value).cast("binary"), 256) for k in range(4)])
