@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest doc_id."""
-    return exact_dedup.drop_exact(docs)
+    """One document of each group of equal texts, the one with the largest doc_id, and one row of it."""
+    return exact_dedup.drop_exact(docs, once=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def digest_of(text: Column) -> Column:
+    """The SHA-256 of a text in hexadecimal, null as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+#: Marked rows up to which they go to every task.
+MOST_MARKED = 1_000_000
+
+
+def without(docs: DataFrame, text: Column, marks: DataFrame) -> DataFrame:
+    """`docs` without the rows that `marks` (doc_id, text_sha256, once) name by doc_id and digest of `text`; where once is
+    true, one of the rows stays. A row's own verdict counts, so others with its doc_id, or a null one, stay. Texts don't
+    shuffle unless marks outgrow MOST_MARKED, but for those of which one is to stay; they meet map-side first."""
+    marks = written(marks.select(F.col("doc_id").alias("__of"), F.col("text_sha256").alias("__sha"), F.col("once").alias("__once")), "marks")
+    sent = F.broadcast(marks) if marks.count() <= MOST_MARKED else marks
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": digest_of(text)})
+    fits = F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__digest") == F.col("__sha"))
+    left = keyed.join(sent, fits, "left_anti")
+    if not marks.where("__once").isEmpty():
+        left = left.unionByName(keyed.join(sent.where("__once"), fits, "left_semi").dropDuplicates(["__id", "__digest"]))
+    return left.select(*docs.columns)
+
+
 def lowest(hash64: Column, wanted: int, rows: int) -> Column:
     """Whether a 64-bit hash is among about the 2 * wanted lowest of so many: hashes are even, so a share of their range
     holds that share of the rows. What is kept can be collected, whatever the number of tasks, and cut to size."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import digest_of, without, written
 
 #: Cells per filter segment; a segment is the unit in which partial filters are merged.
 SEGMENT = 1 << 16
@@ -93,8 +93,7 @@ def _flagged(hashed: DataFrame, bits: bytes, cells: int) -> DataFrame:
 
 def hashes(docs: DataFrame, text: Column, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, text_sha256, hash_key): the digest of each text, null as empty, and 64 bits of it."""
-    sha = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    hashed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), sha.alias("text_sha256"))
+    hashed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest_of(text).alias("text_sha256"))
     return hashed.withColumn("hash_key", F.xxhash64("text_sha256"))
 
 
@@ -119,8 +118,12 @@ def group_exact(docs: DataFrame, text: Column | None = None) -> DataFrame:
     return alone.unionByName(back).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact(docs: DataFrame, text: Column | None = None) -> DataFrame:
+def drop_exact(docs: DataFrame, text: Column | None = None, once: bool = False) -> DataFrame:
     """`docs` without rows whose text equals that of a row with a larger doc_id; all columns stay.
-    Only the ids of dropped rows are joined back, so texts don't shuffle unless those ids outgrow a broadcast."""
-    gone = group_exact(docs, text).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    Rows that share both the text and the doc_id (or have none) are all kept, or with `once` one of them.
+    Each row goes or stays by its own verdict, which is joined back by doc_id and digest."""
+    text = F.col("text") if text is None else text
+    judged = group_exact(docs, text)
+    # Rows alone in their group are kept, so only those of larger groups are looked at.
+    again = judged.where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("once"), F.count(F.lit(1)).alias("n"))
+    return without(docs, text, again.where((~F.col("once")) | (F.lit(once) & (F.col("n") > 1))))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import digest_of, without, written
 from .graph import components
 
 #: Registers of a sketch, the base that spaces their values, the rate of their minima, and their largest value.
@@ -118,8 +118,8 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def signed(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch) of each row; node names the set, null for none."""
+def signed(docs: DataFrame, size: int, digest: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, node, sketch) of each row; node names the set, null for none. With `digest`, text_sha256 too."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
@@ -127,9 +127,10 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
             sets = [shingle(t) for t in b.column(1).to_pylist()]
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sketches = [sketch(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary()), *b.columns[2:]], ["doc_id", "n_shingles", "node", "sketch", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node binary, sketch binary")
+    more = [digest_of(F.col("text")).alias("text_sha256")] if digest else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(sign, "doc_id long, n_shingles long, node binary, sketch binary" + ", text_sha256 string" * digest)
 
 
 def banded(classes: DataFrame, threshold: float) -> DataFrame:
@@ -300,23 +301,34 @@ def group_near(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFr
     start, so exact copies cost one comparison. Rows with the same doc_id and different texts are classes of their
     own; rows that are wholly equal share everything. A null doc_id has a null component_id unless it is linked to an
     id, and kept is true where component_id is the row's own. An empty table gives no rows."""
-    docs = docs.select("doc_id", "text")
-    sigs = written(signed(docs, size), "near-signed")
+    return _judged(docs.select("doc_id", "text"), size, threshold).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, size: int, threshold: float, digest: bool = False) -> DataFrame:
+    """The rows of group_near; with `digest`, also text_sha256 and group, which names the row's component even where
+    components share an id or have none (null for an empty set)."""
+    sigs = written(signed(docs, size, digest), "near-signed")
     classes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = written(classes, "near-classes")
     labels = linked(classes, docs, size, threshold)
     least = classes.select("node", "rep").join(labels, "node")
     smallest = least.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = classes.select("node", "rep").join(labels, "node", "left").join(smallest, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    ids = classes.select("node", "rep").join(labels, "node", "left").join(smallest, "component", "left")
+    ids = ids.select("node", F.coalesce("component_id", "rep").alias("component_id"), *[F.coalesce("component", "node").alias("group")] * digest)
     # Only classes whose id isn't the row's own travel; most rows are alone.
-    out = sigs.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    more = ["text_sha256"] * digest
+    out = sigs.select("doc_id", "n_shingles", "node", *more).join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more, *["group"] * digest)
 
 
 def drop_near(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """`docs` with one document of each group of near copies, the one with the least doc_id; all columns stay.
-    Ids of dropped rows are joined back, so texts don't shuffle unless those ids outgrow MOST_SENT."""
-    gone = written(group_near(docs, size, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    Of rows that share that doc_id (or have none) the one with the least digest stays, and one row of it. Rows of an
+    empty set are linked with nothing, so all stay. Each row goes or stays by its own verdict, which is joined back by
+    doc_id and digest."""
+    judged = written(_judged(docs.select("doc_id", "text"), size, threshold, digest=True).where("group is not null"), "near-judged")
+    gone = judged.where(~F.col("kept")).select("doc_id", "text_sha256", F.lit(False).alias("once")).distinct()
+    stay = judged.where("kept").groupBy("group").agg(F.min("text_sha256").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = judged.where("kept").join(stay, "group").groupBy("doc_id", "text_sha256").agg(F.first(F.col("text_sha256") == F.col("least")).alias("once"), F.count(F.lit(1)).alias("n"))
+    return without(docs, F.col("text"), gone.unionByName(again.where("not once or n > 1").drop("n")))

@@ -198,6 +198,28 @@ def test_exact_edges(docs, empty):
     assert exact_dedup.group_exact(empty).count() == 0
 
 
+REPEATS = [
+    (None, "a text without an id that has a copy", "s"),
+    (7, "a text without an id that has a copy", "s"),
+    (None, "a clean text without an id", "s"),
+    (None, "another clean text without an id", "s"),
+    (None, "another clean text without an id", "t"),
+    (8, "one text under an id that is used twice", "s"),
+    (8, "and quite a different one that has a copy elsewhere", "s"),
+    (9, "and quite a different one that has a copy elsewhere", "s"),
+    (10, "a file that was ingested twice", "s"),
+    (10, "a file that was ingested twice", "s"),
+]
+
+
+def test_exact_keeps_one_row_by_its_own_verdict(spark):
+    docs = spark.createDataFrame(REPEATS, "doc_id long, text string, source string").repartition(3)
+    for once, times in ((True, 1), (False, 2)):
+        out = exact_dedup.drop_exact(docs, once=once)
+        want = {(7, REPEATS[0][1]): 1, (None, REPEATS[2][1]): 1, (None, REPEATS[3][1]): times, (8, REPEATS[5][1]): 1, (9, REPEATS[6][1]): 1, (10, REPEATS[8][1]): times}
+        assert out.columns == docs.columns and collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+
+
 # --- 5 language
 
 
@@ -352,6 +374,13 @@ def test_near_edges(docs, empty):
     assert near_dedup.group_near(empty).count() == 0 and near_dedup.drop_near(docs).count() == len(ROWS) - 2
 
 
+def test_near_keeps_one_row_by_its_own_verdict(spark):
+    docs = spark.createDataFrame([*REPEATS, (10, "A file that was ingested Twice", "s")], "doc_id long, text string, source string").repartition(3)
+    out = near_dedup.drop_near(docs)
+    want = [(7, REPEATS[0][1]), (None, REPEATS[2][1]), (None, REPEATS[3][1]), (8, REPEATS[5][1]), (8, REPEATS[6][1]), (10, "a file that was ingested twice")]
+    assert out.columns == docs.columns and collections.Counter((r["doc_id"], (r["text"].lower() if r["doc_id"] == 10 else r["text"])) for r in out.collect()) == dict.fromkeys(want, 1)
+
+
 # --- 8 extraction
 
 
