@@ -34,21 +34,30 @@ SYLLABLES = {
 _NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(sorted(TITLES["f"] + TITLES["m"], key=len, reverse=True))
 _FIRST = "|".join(n for names in GIVEN.values() for n in names)
+#: The words before a secret. Its value runs to the closing quote, or else to white space or a quote, without the marks
+#: that end a sentence; four letters or digits of it at least, as these are what a surrogate replaces.
+_PREFIX = r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)"
+_SECRET = (
+    r"(?:(?<=\")(?=(?:[^\"\r\n\p{L}0-9]*[\p{L}0-9]){4})[^\"\r\n]{8,}(?=\"|\z)|(?<=')(?=(?:[^'\r\n\p{L}0-9]*[\p{L}0-9]){4})[^'\r\n]{8,}(?='|\z)"
+    r"|(?=(?:[^\s\"'\p{L}0-9]*[\p{L}0-9]){4})[^\s\"']{7,}[^\s\"'.,;:!?)\]}>])"
+)
 #: Types in order of precedence, each with its pattern.
 TYPES = {
-    "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,200}",
+    "secret": _PREFIX + _SECRET,
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,18}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+    # Without a plus or parentheses: three, three and four digits, or a leading 0 and 8 to 12 digits in all, but no date.
+    r"|(?<![\p{L}\d.,/-])(?:1[ .-])?[2-9]\d{2}(?: [2-9]\d{2} |-[2-9]\d{2}-|\.[2-9]\d{2}\.)\d{4}(?![.,/-]?\d)"
+    r"|(?<![\p{L}\d.,/-])(?!\d\d[ ./-]\d\d[ ./-]\d{4}(?!\d))(?=(?:[ ./-]?\d){8,12}(?![ .,/-]?\d))0[1-9]\d{0,3}[ ./-]\d{2,8}(?:[ .-]\d{2,8}){0,4}",
     "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: What no entity is without: texts that lack both are left alone at the cost of a plain scan.
 CUE, NAME_CUE = "[0-9@=:]", rf"\b(?=\p{{Lu}})(?:{_TITLE}|{_FIRST})\b"
-_PREFIX = TYPES["secret"].rpartition("[A-Za-z0-9+/_")[0]
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщэюя"
 
@@ -170,8 +179,8 @@ def _lettered(e: Column, digest: Column) -> Column:
     """Each letter or digit replaced by one of its kind, all else as it stands; what is hexadecimal stays so."""
     hexadecimal = e.rlike(r"\A[0-9a-f]+\z")
 
-    def swap(i: Column) -> Column:
-        c, b = e.substr(i, F.lit(1)), _byte(digest, i)
+    def swap(c: Column, at: Column) -> Column:
+        b = _byte(digest, at + 1)
         return (
             F.when(c.rlike("[0-9]"), _pick(_DIGITS, b))
             .when(hexadecimal, _pick("abcdef", b))
@@ -183,7 +192,7 @@ def _lettered(e: Column, digest: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.when(F.length(e) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(e), F.lit(1))), swap), ""))
+    return F.when(F.length(e) == 0, "").otherwise(F.array_join(F.transform(F.split(e, ""), swap), ""))
 
 
 def _email(e: Column, key: str, attempt: Column) -> Column:
@@ -194,7 +203,7 @@ def _email(e: Column, key: str, attempt: Column) -> Column:
 
 def _secret(e: Column, key: str, attempt: Column) -> Column:
     head = F.regexp_extract(e, rf"\A(?:{_PREFIX})", 0)
-    value = F.substring(e, 1, 1_000_000).substr(F.length(head) + 1, F.length(e))
+    value = e.substr(F.length(head) + 1, F.length(e))
     return _let(F.struct(value.alias("v"), _digest(value, key + "secret", attempt).alias("d")), lambda x: F.concat(head, _lettered(x["v"], x["d"])))
 
 

@@ -148,6 +148,17 @@ def test_surrogates_keep_type_and_tell_apart(spark):
     assert out[6]["text"].endswith(" no data here") and out[4]["text"] is None
 
 
+def test_secrets_and_phones_are_replaced_whole(spark):
+    long, jwt = "Ab3" * 133 + "x", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    hidden = [long, jwt, "P@ss!word12", "open sesame please", "P@ss!word34", "578-555-6437", "030 12345678", "0171/1234567", "01 23 45 67 89", "1-578.555.6437"]
+    text = f"token={long} token: {jwt}, password: \"P@ss!word12\" secret='open sesame please' password=P@ss!word34. Call 578-555-6437 or 030 12345678, 0171/1234567, 01 23 45 67 89 or 578.555.6437; "
+    left = "on 01.02.2020, 2020-01-02, 0.12345678, 1.234.567.890, 192 of 555 6437 and password: ******** or token: ________."
+    out = pii.replace_pii(spark.createDataFrame([(1, text + left)], "doc_id long, text string")).first()
+    assert out["n_secret"] == 5 and out["n_phone"] == 5 and out["n_entities"] == 10
+    assert not any(h in out["text"] for h in hidden) and all(out["text"].count(p) == 0 for p in (long[200:], *jwt.split("."), "word12", "sesame"))
+    assert out["text"].endswith(left) and re.sub(r"\w", "", out["text"]) == re.sub(r"\w", "", text + left)
+
+
 def test_permutation_has_no_collisions(spark):
     x = spark.range(1000).select(F.format_string("%03d", "id").alias("d"))
     assert x.select(pii.permuted(F.col("d"), "k").alias("p")).distinct().count() == 1000
