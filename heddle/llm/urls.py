@@ -82,7 +82,8 @@ def labelled_sample(labelled: DataFrame, most: int = MOST_LABELLED) -> list[dict
     """At most `most` labelled URLs (url, label), distinct, by hash: half of each label, so that rare ones are learnt."""
     host, path, h = F.col("__host"), F.col("__path"), F.xxhash64("url")
     rows = labelled.where(F.col("url").isNotNull() & F.col("label").isin(0, 1)).select("url", "label")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The threshold is a share of distinct URLs; their hashes alone are shuffled to count them.
+    counts = {r["label"]: r["n"] for r in rows.select("label", h.alias("h")).distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     near = F.lit(False)
     for label, n in counts.items():
         near = near | ((F.col("label") == label) & lowest(h, most // 2, n))

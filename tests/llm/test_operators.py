@@ -467,6 +467,12 @@ def test_trees_learn_labels(spark):
     assert sum((r["verdict"] == "block") == (r["bad"] == 1) for r in rows) >= 0.97 * len(rows)
 
 
+def test_labelled_sample_is_whole_where_urls_repeat(spark):
+    u = spark.range(2000).select(F.format_string("http://h%d.example/a", "id").alias("url"), (F.col("id") % 2).cast("int").alias("label"))
+    sample = urls.labelled_sample(u.crossJoin(spark.range(100)).drop("id"), most=64)
+    assert collections.Counter(r["label"] for r in sample) == {0: 32, 1: 32} and len({r["h"] for r in sample}) == 64
+
+
 def test_url_edges(spark):
     schema = "page_id long, url string, host int"
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
