@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Known, ids_of, packed_ids, tokenizer
+from .tokens import encoder
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 1024, 64, 1024
@@ -53,8 +53,10 @@ class Packer:
             raise ValueError("limits start at 1")
         self.limits = np.array([tokens, segments, loss], float)
         self.pool = pool
-        self.names: list = []
-        self.sizes = np.zeros((0, 3))
+        #: Waiting segments by slot, in order of arrival; a slot whose segment has been placed is None, of infinite size.
+        self.names: list[tuple | None] = []
+        self.sizes = np.full((2 * pool, 3), np.inf)
+        self.waiting = 0
         self.sequence = 0
 
     def add(self, document: Document, loss_from: int) -> Iterator[tuple]:
@@ -67,27 +69,33 @@ class Packer:
             self.sequence += 1
             at += whole
         if at < length:
+            if len(self.names) == len(self.sizes):
+                self._close_gaps()
+            self.sizes[len(self.names)] = length - at, 1, max(0, length - max(at, loss_from))
             self.names.append((document.tail(at), at, loss_from))
-            self.sizes = np.vstack([self.sizes, [length - at, 1, max(0, length - max(at, loss_from))]])
-        if len(self.names) >= self.pool:
-            while len(self.names) > self.pool // 2:
+            self.waiting += 1
+        if self.waiting >= self.pool:
+            while self.waiting > self.pool // 2:
                 yield from self._fill()
+            self._close_gaps()
+
+    def _close_gaps(self) -> None:
+        left = [k for k, n in enumerate(self.names) if n is not None]
+        self.sizes[: len(left)] = self.sizes[left]
+        self.sizes[len(left) :] = np.inf
+        self.names = [self.names[k] for k in left]
 
     def _take(self, k: int, n: int) -> tuple:
         """The first n tokens of waiting segment k; what is left of it waits on."""
         document, at, loss_from = self.names[k]
-        if n == self.sizes[k][0]:
-            self.names.pop(k)
-            self.sizes = np.delete(self.sizes, k, axis=0)
+        end = at + int(self.sizes[k, 0])
+        if at + n == end:
+            self.names[k], self.sizes[k] = None, np.inf
+            self.waiting -= 1
         else:
-            end = at + self.sizes[k][0]
-            self.names[k] = (document, int(at + n), loss_from)
-            self.sizes[k] = [end - at - n, 1, max(0, end - max(at + n, loss_from))]
-        return document, int(at), int(n)
-
-    def _loss_in(self, k: int, n: int) -> int:
-        _, at, loss_from = self.names[k]
-        return max(0, min(n, int(at + n - loss_from)))
+            self.names[k] = document, at + n, loss_from
+            self.sizes[k] = end - at - n, 1, max(0, end - max(at + n, loss_from))
+        return document, at
 
     def _fill(self, most: int | None = None) -> Iterator[tuple]:
         """One sequence of at most `most` tokens from the pool."""
@@ -95,21 +103,22 @@ class Packer:
         if most:
             left[0] = min(left[0], most)
         offset = 0
-        while len(self.names):
-            fits = (self.sizes <= left).all(axis=1)
-            if fits.any():
-                worth = np.where(fits, (self.sizes / self.limits) @ (left / self.limits), -1.0)
-                k = int(np.argmax(worth))
-                n = int(self.sizes[k][0])
+        while self.waiting:
+            sizes = self.sizes[: len(self.names)]
+            fits = np.flatnonzero((sizes <= left).all(axis=1))
+            if len(fits):
+                k = int(fits[np.argmax((sizes[fits] / self.limits) @ (left / self.limits))])
+                n = int(sizes[k, 0])
             else:
-                room = np.where(self.sizes[:, 2] > 0, min(left[0], left[2]), left[0])
-                gap = np.minimum(room, self.sizes[:, 0])
+                room = np.where(sizes[:, 2] > 0, min(left[0], left[2]), left[0])
+                gap = np.where(sizes[:, 0] < np.inf, np.minimum(room, sizes[:, 0]), 0)
                 k = int(np.argmax(gap))
                 n = int(gap[k])
                 if n < 1:
                     break
-            loss = self._loss_in(k, n)
-            document, at, n = self._take(k, n)
+            _, at, loss_from = self.names[k]
+            loss = max(0, min(n, at + n - loss_from))
+            document, at = self._take(k, n)
             yield document, at, n, self.sequence, offset, loss
             offset += n
             left -= [n, 1, loss]
@@ -119,8 +128,8 @@ class Packer:
 
     def end(self) -> Iterator[tuple]:
         """The rest of the pool."""
-        while len(self.names):
-            waiting = int(self.sizes[:, 0].sum())
+        while self.waiting:
+            waiting = int(self.sizes[: len(self.names), 0].sum(where=self.sizes[: len(self.names), 0] < np.inf))
             yield from self._fill(1 << (waiting.bit_length() - 1) if waiting < self.limits[0] else None)
 
 
@@ -143,7 +152,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", tokens: int = T
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() * STRIDE
-        known, packer = Known(tokenizer(vocabulary), packed_ids), Packer(tokens, segments, loss)
+        ids_of, packer = encoder(vocabulary), Packer(tokens, segments, loss)
 
         def rows(placed: list[tuple]) -> pa.RecordBatch:
             cut = [x[0].cut(x[1], x[2]) for x in placed]
@@ -165,9 +174,9 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", tokens: int = T
         placed: list[tuple] = []
         for b in batches:
             doc_ids, prompts, texts = (c.to_pylist() for c in b.columns)
-            heads = ids_of(prompts, known) if prompt else (b"" for _ in prompts)
-            for doc_id, p, t in zip(doc_ids, heads, ids_of(texts, known)):
-                ids = p + t + end
+            for doc_id, p, t in zip(doc_ids, prompts, texts):
+                p = ids_of(p) if prompt else b""
+                ids = p + ids_of(t) + end
                 placed += packer.add(Document(doc_id, ids, 0, len(ids) // 4), len(p) // 4)
                 if len(placed) >= 4096:
                     yield rows(placed)

@@ -1,12 +1,12 @@
-"""Tokenizers on whole texts by way of their distinct pieces: each distinct pre-token is encoded once."""
+"""Tokenizers on whole texts: ids, and counts by way of distinct pre-tokens."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import filterfalse
 
 import numpy as np
@@ -22,31 +22,16 @@ LIMIT = 2048
 _L, _N = r"[^\W\d_]", r"(?:[^\w \n]|[\d_])"
 #: Characters beyond those texts: in them, Python's letters are not those of the tokenizers' patterns.
 LATIN = re.compile("[^\x00-\u024f]|[\u00b2\u00b3\u00b9\u00bc-\u00be]")
-#: Places where no pre-token of the vocabularies' patterns goes on: after a letter before another character, before a
+#: Places where no pre-token of the vocabulary's pattern goes on: after a letter before another character, before a
 #: blank after another character, and before a letter unless an apostrophe stands there, which may begin a contraction.
-FINE = re.compile(rf"[ \n]*(?:{_L}+|{_N}*'{_L}+|{_N}+)|[ \n]+")
 FINE_WORDS = re.compile(rf"{_L}+|{_N}*'{_L}+|{_N}+")
-#: Of those, the ones that hold in any script.
-SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 WORDS = re.compile(r"[^ \t-\r]+")
 #: Texts that hold other white space, or may hold a special token, are not cut so finely.
 UNSAFE = re.compile(r"[^\S \n]|<\|")
 #: Most texts have nothing but these characters (no apostrophe, tab or special token) and are cut by a plainer pattern.
 _L1 = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 UNPLAIN = re.compile(rf"[^ \n!-&(-;=-~{_L1}]")
-PLAIN = re.compile(rf"[ \n]*(?:[{_L1}]+|[^ \n{_L1}]+)|[ \n]+")
 PLAIN_WORDS = re.compile(rf"[{_L1}]+|[^ \n{_L1}]+")
-#: Pieces that wait for those among them that are new to be encoded together.
-WAITING = 100_000
-
-
-def pieces_of(text: str) -> list[str] | None:
-    """Pieces of a text that byte-level BPE encodes alone as within it; None if the text has to be encoded whole."""
-    if UNPLAIN.search(text) is None:
-        return PLAIN.findall(text)
-    if UNSAFE.search(text):
-        return None
-    return (SPACED if LATIN.search(text) else FINE).findall(text)
 
 
 def words_of(text: str) -> list[str]:
@@ -128,36 +113,49 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
     return docs.mapInArrow(count, schema)
 
 
-def ids_of(texts: Iterable[str], known: Known) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers."""
-    waiting: list[list[str] | bytes] = []
-    new: set[str] = set()
-    size = 0
-
-    def settle() -> Iterator[bytes]:
-        if len(known) + len(new) > MOST_KNOWN:
-            known.clear()
-            new.update(*(w for w in waiting if isinstance(w, list)))
-        known.learn(new)
-        for w in waiting:
-            yield b"".join(map(known.__getitem__, w)) if isinstance(w, list) else w
-        waiting.clear()
-        new.clear()
-
-    for text in texts:
-        pieces = pieces_of(text)
-        if pieces is None:
-            waiting.append(known.keep(known.tok.encode(text, add_special_tokens=False)))
-            continue
-        waiting.append(pieces)
-        new.update(filterfalse(known.__contains__, pieces))
-        size += len(pieces)
-        if size > WAITING:
-            yield from settle()
-            size = 0
-    yield from settle()
-
-
-def packed_ids(encoded) -> bytes:
-    ids = encoded.ids
-    return struct.pack(f"<{len(ids)}I", *ids)
+#: Fixed value: the pattern that byte-level vocabularies of this kind cut texts by.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The tokens of a byte-level vocabulary by their bytes, if its ids are its merges' ranks and its settings are the
+    plain ones, so that merging the pair of the lowest id until none is left gives the ids; else None."""
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    # The alphabet: printable bytes stand for themselves, the others for characters from 256 on in their order.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    merges = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    return ranks if merges == sorted(merges) and len(ranks) == 256 + len(merges) else None
+
+
+def encoder(name: str) -> Callable[[str], bytes]:
+    """A function from a text to its ids as little-endian unsigned 32-bit integers, the ids that the library tokenizers
+    gives with the public vocabulary file `name`. A byte-level vocabulary is applied by tiktoken, which needs a fraction
+    of the time; texts that hold an added token, and other vocabularies, go through the library itself."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(name) if os.sep not in name else name
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special, ranks, tok = [t["content"] for t in spec["added_tokens"]], byte_ranks(spec), tokenizer(name)
+
+    def slow(text: str) -> bytes:
+        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    if ranks is None:
+        return slow
+    import tiktoken
+
+    fast = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(text: str) -> bytes:
+        if any(s in text for s in special):
+            return slow(text)
+        return np.array(fast.encode_ordinary(text), "<u4").tobytes()
+
+    return ids

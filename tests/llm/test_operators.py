@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import re
+import struct
 import zlib
 
 import pytest
@@ -495,17 +496,25 @@ def test_pieces_encode_as_within_the_text():
     from hypothesis import strategies as st
 
     byte, word = tokens.tokenizer("byte_bpe_50k.json"), tokens.tokenizer("word_bpe_49k.json")
-    known_byte, known_word = tokens.Known(byte, tokens.packed_ids), tokens.Known(word, len)
+    ids_of, known_word = tokens.encoder("byte_bpe_50k.json"), tokens.Known(word, len)
 
     @settings(max_examples=1500, deadline=None)
     @given(st.text(alphabet=st.sampled_from(list("abÉµß'sSdt!.,_ \n\t 3²é\u0301漢<|>İ-\x1c")), max_size=14) | st.sampled_from(["<|endoftext|>", "a <|endoftext|> b", "it's <|startoftext|>"]))
     def same(x):
-        assert list(tokens.ids_of([x], known_byte)) == [tokens.packed_ids(byte.encode(x, add_special_tokens=False))]
+        ids = byte.encode(x, add_special_tokens=False).ids
+        assert ids_of(x) == struct.pack(f"<{len(ids)}I", *ids)
         assert list(tokens.counts_of([x], known_word)) == [len(word.encode(x, add_special_tokens=False))]
 
     same()
 
 
+def test_ids_are_the_library_s_for_every_character():
+    byte, ids_of = tokens.tokenizer("byte_bpe_50k.json"), tokens.encoder("byte_bpe_50k.json")
+    texts = ["".join(f"a{c}b {c}{c}1 x {c} '{c}s\n" for c in map(chr, range(k, k + 64)) if not 0xD800 <= ord(c) < 0xE000) for k in range(0, 0x110000, 64)]
+    for x, e in zip(texts, byte.encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids_of(x) == struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+
 def test_token_edges(docs, empty):
     out = {r["doc_id"]: r for r in tokens.count_tokens(docs).collect()}
     assert out[3]["n_tokens"] == out[4]["n_tokens"] == 0 and out[6]["over_limit"] and tokens.count_tokens(empty).count() == 0
