@@ -117,6 +117,11 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space of this length and more makes tiktoken's pattern run out of stack far beyond it; the library takes any.
+LONG_RUN = 50_000
+BLANK_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
 def byte_ranks(spec: dict) -> dict[bytes, int] | None:
     """The tokens of a byte-level vocabulary by their bytes, if its ids are its merges' ranks and its settings are the
     plain ones, so that merging the pair of the lowest id until none is left gives the ids; else None."""
@@ -136,7 +141,7 @@ def byte_ranks(spec: dict) -> dict[bytes, int] | None:
 def encoder(name: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian unsigned 32-bit integers, the ids that the library tokenizers
     gives with the public vocabulary file `name`. A byte-level vocabulary is applied by tiktoken, which needs a fraction
-    of the time; texts that hold an added token, and other vocabularies, go through the library itself."""
+    of the time; texts that hold an added token or LONG_RUN blanks, and other vocabularies, go through the library itself."""
     import public_tokenizers
 
     path = public_tokenizers.path(name) if os.sep not in name else name
@@ -154,7 +159,7 @@ def encoder(name: str) -> Callable[[str], bytes]:
     fast = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> bytes:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) > LONG_RUN and BLANK_RUN.search(text)):
             return slow(text)
         return np.array(fast.encode_ordinary(text), "<u4").tobytes()
 

@@ -515,6 +515,12 @@ def test_ids_are_the_library_s_for_every_character():
         assert ids_of(x) == struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
+@pytest.mark.parametrize("x", [" " * 1_500_000 + "a", "\n \t" * 400_000, "a" * 200_000, "漢" * 60_000, "x" + " " * 60_000])
+def test_ids_of_very_long_runs(x):
+    ids = tokens.tokenizer("byte_bpe_50k.json").encode(x, add_special_tokens=False).ids
+    assert tokens.encoder("byte_bpe_50k.json")(x) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_token_edges(docs, empty):
     out = {r["doc_id"]: r for r in tokens.count_tokens(docs).collect()}
     assert out[3]["n_tokens"] == out[4]["n_tokens"] == 0 and out[6]["over_limit"] and tokens.count_tokens(empty).count() == 0
