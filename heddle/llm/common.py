@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, the word separator of the contracts, as a Java regex class.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where intermediate tables go when the session names no shared folder (single machine, tests).
+#: Where intermediate tables go when a session on a single machine names no shared folder, as in tests.
 LOCAL_SHARED = "file:///tmp/checkpoints"
 
 
@@ -19,20 +22,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or LOCAL_SHARED where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or LOCAL_SHARED where it is unset and the master
+    is local. On a cluster a machine's own folder would lose rows, so there the setting has to be made."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
+
+
+#: Paths of the written tables that are still there, the oldest first.
+_TABLES: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written as Parquet to the shared folder and read again: lineage ends there, and a lost
-    executor costs no recomputation. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    executor costs no recomputation. The files go at the end of the `temporaries` it was written in, or else when the
+    driver's JVM ends."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df.sparkSession, path, df.schema)
+
+
+def kept(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at `path`, whose files go as those of `written` do."""
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    _TABLES.append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were `written` within, when the rows that need them have been written elsewhere."""
+    before = len(_TABLES)
+    yield
+    for path in _TABLES[before:]:
+        files, at = _files(spark, path)
+        files.delete(at, True)
+    del _TABLES[before:]
 
 
 def digest_of(text: Column) -> Column:

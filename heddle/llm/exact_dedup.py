@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,14 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_of, without, written
+from .common import digest_of, kept, shared_dir, without, written
 
 #: Cells per filter segment; a segment is the unit in which partial filters are merged.
 SEGMENT = 1 << 16
 #: Probes per key.
 PROBES = 3
-#: Cells per row that the filter is sized for, and the bounds of its size in cells (a bit each when it is sent out).
-CELLS_PER_ROW, LEAST_CELLS, MOST_CELLS = 16, 1 << 20, 1 << 28
+#: Cells per row that filters are sized for, and the bounds of one filter's size in cells. A cell is a bit when the filter
+#: is sent out and two while a task counts, so a task holds 32 MB of them at most; more rows make more filters.
+CELLS_PER_ROW, LEAST_CELLS, MOST_CELLS = 16, 1 << 20, 1 << 27
+#: Keys that are looked at together.
+TOGETHER = 1 << 16
+#: Groups of at least this many rows, and of at least a row in SHARE, go to every task with what is decided of them: there
+#: are SHARE of them at most. The rows of smaller ones meet them by shuffle.
+HOT, SHARE = 1024, 100_000
 
 
 def _cells(keys: np.ndarray, cells: int) -> np.ndarray:
@@ -27,70 +34,102 @@ def _cells(keys: np.ndarray, cells: int) -> np.ndarray:
     return ((a[:, None] + steps[None, :] * b[:, None]) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def filter_size(rows: int) -> int:
-    """Cells for so many rows: a power of two within the bounds. Beyond MOST_CELLS the filter only passes
-    more unique rows to the shuffle; results don't change."""
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << int(np.ceil(np.log2(max(1, rows) * CELLS_PER_ROW)))))
+def filter_size(rows: int, most: int = MOST_CELLS) -> tuple[int, int]:
+    """(filters, cells of each) for so many rows, both powers of two."""
+    wanted = max(LEAST_CELLS, 1 << int(np.ceil(np.log2(max(1, rows) * CELLS_PER_ROW))))
+    return max(1, wanted // most), min(most, wanted)
+
+
+def _packed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, masks) of the cells `at`, ascending and distinct, among packed bits."""
+    where, first = np.unique(at >> 3, return_index=True)
+    return where, np.add.reduceat((128 >> (at & 7)).astype(np.uint8), first)
 
 
 def repeat_filter(keys: DataFrame, cells: int) -> bytes:
     """Bits of the cells that two or more rows of `keys` (one column, key long) hit. Pass one: each task
-    counts its rows per cell, saturating at two; only the touched cells travel, by segment, and meet in
-    partial sums. Size on the driver: cells / 8 bytes, which MOST_CELLS bounds."""
+    counts its rows per cell, saturating at two; only the touched segments travel and meet in partial sums, one segment
+    at a time. Size on the driver: cells / 8 bytes."""
+    segment = min(SEGMENT, cells) // 8
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(cells, np.bool_), np.zeros(cells, np.bool_)
+        once, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
         for b in batches:
-            for part in range(0, b.num_rows, 65536):
-                at = _cells(np.asarray(b.column(0))[part : part + 65536], cells)
-                at = np.sort(at, axis=1)  # the probes of one key count once a cell
-                first = np.ones(at.shape, np.bool_)
+            for part in range(0, b.num_rows, TOGETHER):
+                at = np.sort(_cells(np.asarray(b.column(0))[part : part + TOGETHER], cells), axis=1)
+                first = np.ones(at.shape, np.bool_)  # the probes of one key count once a cell
                 first[:, 1:] = at[:, 1:] != at[:, :-1]
                 u, n = np.unique(at[first], return_counts=True)
-                twice[u[(n > 1) | once[u]]] = True
-                once[u] = True
-        for s in np.flatnonzero(once.reshape(-1, min(SEGMENT, cells)).any(axis=1)):
-            part = slice(s * SEGMENT, (s + 1) * SEGMENT)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(once[part]).tobytes()]), pa.array([np.packbits(twice[part]).tobytes()])], ["segment", "once", "twice"])
+                if (n > 1).any():
+                    where, mask = _packed(u[n > 1])
+                    twice[where] |= mask
+                if len(u):
+                    where, mask = _packed(u)
+                    twice[where] |= once[where] & mask
+                    once[where] |= mask
+        for s in np.flatnonzero(once.reshape(-1, segment).any(axis=1)):
+            part = slice(s * segment, (s + 1) * segment)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([once[part].tobytes()]), pa.array([twice[part].tobytes()])], ["segment", "once", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, list[np.ndarray]] = {}
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([twice.tobytes()])], ["segment", "twice"])
+
+        now, once, twice = None, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
         for b in batches:
             for s, o, t in zip(*(c.to_pylist() for c in b.columns)):
                 o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
-                if s in seen:
-                    was = seen[s]
-                    was[1] = was[1] | t | (was[0] & o)
-                    was[0] = was[0] | o
+                if s == now:
+                    once, twice = once | o, twice | t | (once & o)
                 else:
-                    seen[s] = [o, t]
-        for s, (_, t) in seen.items():
-            if t.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([t.tobytes()])], ["segment", "twice"])
+                    if twice.any():
+                        yield out()
+                    now, once, twice = s, o, t
+        if twice.any():
+            yield out()
 
     parts = keys.mapInArrow(count, "segment int, once binary, twice binary")
-    merged = parts.repartition("segment").mapInArrow(merge, "segment int, twice binary")
-    out = np.zeros((max(1, cells // SEGMENT), min(SEGMENT, cells) // 8), np.uint8)
-    for s, t in merged.collect():
-        out[s] = np.frombuffer(t, np.uint8)
-    return out.tobytes()
+    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary")
+    bits = np.zeros((max(1, cells // SEGMENT), segment), np.uint8)
+    for s, t in merged.toLocalIterator():
+        bits[s] = np.frombuffer(t, np.uint8)
+    return bits.tobytes()
 
 
-def _flagged(hashed: DataFrame, bits: bytes, cells: int) -> DataFrame:
-    """`hashed` with maybe_repeated: pass two, each row against the filter."""
-    sent = hashed.sparkSession.sparkContext.broadcast(bits)
+def _flagged(hashed: DataFrame, sent, cells: int) -> DataFrame:
+    """`hashed` with maybe_repeated: pass two, each row against the filter that has been `sent` to all tasks."""
     schema = hashed.select("*", F.lit(True).alias("maybe_repeated")).schema
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            at = _cells(np.asarray(b.column(b.schema.get_field_index("hash_key"))), cells)
-            hit = ((have[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+            keys = np.asarray(b.column(b.schema.get_field_index("hash_key")))
+            hit = np.zeros(b.num_rows, np.bool_)
+            for part in range(0, b.num_rows, TOGETHER):
+                at = _cells(keys[part : part + TOGETHER], cells)
+                hit[part : part + TOGETHER] = ((have[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, "maybe_repeated"])
 
     return hashed.mapInArrow(look, schema)
 
 
+def flagged(hashed: DataFrame, rows: int, most: int = MOST_CELLS) -> DataFrame:
+    """`hashed` (hash_key, and what else it has), written with maybe_repeated. Keys are cut by range so that each range has
+    a filter of at most `most` cells; one after the other is built, sent out, used and given up."""
+    spark = hashed.sparkSession
+    filters, cells = filter_size(rows, most)
+    path = f"{shared_dir(spark)}/exact-flagged-{uuid.uuid4().hex}"
+    step = 2**64 // filters
+    for k in range(filters):
+        low = -(2**63) + k * step
+        part = hashed if filters == 1 else hashed.where(F.col("hash_key").between(low, low + step - 1))
+        sent = spark.sparkContext.broadcast(repeat_filter(part.select("hash_key"), cells))
+        out = _flagged(part, sent, cells)
+        out.write.mode("append").parquet(path)
+        sent.destroy()
+    return kept(spark, path, out.schema)
+
+
 def hashes(docs: DataFrame, text: Column, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, text_sha256, hash_key): the digest of each text, null as empty, and 64 bits of it."""
     hashed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest_of(text).alias("text_sha256"))
@@ -106,15 +145,20 @@ def group_exact(docs: DataFrame, text: Column | None = None) -> DataFrame:
     the result, and kept is true for them all; a null doc_id stays only where its group has no other id.
     An empty table gives no rows. Other columns of `docs` play no part.
 
-    Only rows that the filter flags shuffle, as digests; their groups are summed map-side first, so a group
-    that holds a third of all rows never meets in one task, and AQE splits it when its keep_id is joined back."""
-    hashed = written(hashes(docs, F.col("text") if text is None else text), "exact-hashes")
-    cells = filter_size(hashed.count())
-    flagged = _flagged(hashed, repeat_filter(hashed.select("hash_key"), cells), cells)
-    alone = flagged.where(~F.col("maybe_repeated")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-    again = flagged.where("maybe_repeated").select("doc_id", "text_sha256")
-    groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    back = again.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
+    Only rows that a filter flags shuffle, as digests; their groups are summed map-side first. What is decided of the
+    largest groups is sent to every task, so a group that holds a third of all rows never meets in one task. Hashes are
+    sorted by key as they are written, so that a range of keys is read without the others."""
+    hashed = written(hashes(docs, F.col("text") if text is None else text).sortWithinPartitions("hash_key"), "exact-hashes")
+    rows = hashed.count()
+    told = flagged(hashed, rows)
+    alone = told.where(~F.col("maybe_repeated")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    again = told.where("maybe_repeated").select("doc_id", "text_sha256")
+    groups = written(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
+    hot = F.col("group_size") >= max(HOT, rows // SHARE)
+    marked = again.join(F.broadcast(groups.where(hot)), "text_sha256", "left")
+    large = marked.where("group_size is not null")
+    small = marked.where("group_size is null").select("doc_id", "text_sha256").join(groups.where(~hot), "text_sha256")
+    back = large.unionByName(small).select("doc_id", "keep_id", "group_size", "text_sha256")
     return alone.unionByName(back).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
