@@ -71,7 +71,8 @@ def plan(sized: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weights
     upto = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__size").over(upto), F.lit(0)))
     edge = sums.join(filled.select(F.col("source").alias("__s"), "__rest"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    edge = edge.where((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__size")))
+    # A source that takes whole epochs only has no edge, so that its empty documents don't join one epoch more.
+    edge = edge.where((F.col("__rest") > 0) & (F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__size")))
     edge = edge.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__before", "__rest")
     edge = written(edge, "mix-edges")
     edge = F.broadcast(edge) if edge.count() <= MOST_SENT else edge
