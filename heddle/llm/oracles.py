@@ -45,12 +45,13 @@ p AS (SELECT doc_id, pos, word || ' ' || """ + " || ' ' || ".join(f"lead(word, {
       FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 w AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM p WHERE win IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(generate_series(pos, pos + 7)) AS q FROM w WHERE n > 1) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_distinct FROM (SELECT DISTINCT doc_id, (pos - 1) // 1000 AS stretch, word FROM u) GROUP BY doc_id),
 f AS (
   SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
          (len(filled) - len(list_distinct(filled)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed, text, words, n_lines,
+         n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed, text, words, n_lines, coalesce(n_distinct, 0) AS n_distinct,
          length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper
-  FROM b LEFT JOIN r USING (doc_id))
+  FROM b LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (
          n_symbols > 0.10 * n_words
@@ -61,7 +62,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          OR word_chars < 2.0 * n_words OR word_chars > 14.0 * n_words
          OR n_dup_lines > 0.60 * n_lines
          OR len([i FOR i IN generate_series(2, n_words) IF words[i] = words[i - 1]]) > 0.25 * n_words
-         OR (len(list_distinct(words)) < 0.15 * n_words AND n_words < 2000)
+         OR n_distinct < 0.15 * n_words
          OR len([x FOR x IN words IF NOT regexp_matches(x, '\p{L}')]) > 0.40 * n_words
          OR len(regexp_extract_all(text, 'https?://|www\.')) > 0.10 * n_words) AS kept
 FROM f

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import lowest
 
+#: Words of the stretches that distinct words are counted in, so that the share of them doesn't fall with length.
+STRETCH = 1000
 #: Words in a repeated window, and the shares of the base test.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 0.30
 SYMBOLS = "#*$%&|<>"
@@ -99,6 +101,11 @@ def _letterless(f: Facts) -> float:
     return sum(not any(map(str.isalpha, w.decode("utf-8", "replace"))) for w in f.words) / f.n_words
 
 
+def _distinct(f: Facts) -> int:
+    """Distinct words of each stretch of STRETCH words, summed over the whole text."""
+    return sum(len(set(f.words[k : k + STRETCH])) for k in range(0, f.n_words, STRETCH))
+
+
 #: The cascade's rules; each rejects by itself, so their order never changes a verdict.
 RULES = (
     Rule("symbols", lambda f: f.n_symbols > 0.10 * f.n_words),
@@ -109,7 +116,7 @@ RULES = (
     Rule("word_length", lambda f: not 2.0 <= f.word_chars / f.n_words <= 14.0),
     Rule("duplicate_lines", lambda f: f.n_dup_lines > 0.60 * (f.text.count("\n") + 1)),
     Rule("stutter", lambda f: sum(map(bytes.__eq__, f.words, f.words[1:])) > 0.25 * f.n_words),
-    Rule("few_distinct", lambda f: len(set(f.words)) < 0.15 * f.n_words and f.n_words < 2000),
+    Rule("few_distinct", lambda f: _distinct(f) < 0.15 * f.n_words),
     Rule("letterless", lambda f: _letterless(f) > 0.40),
     Rule("links", lambda f: _links(f) > 0.10),
 )
