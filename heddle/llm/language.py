@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -13,18 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the field is fitted to, per language at most, by hash of the id, and the words of each:
-#: a stretch of at most so many from a place that the hash picks. Other documents play no part in fitting.
-DOCS_PER_LANG, STRETCH = 160, 240
-#: Languages that are learnt at most.
-MOST_LANGS = 64
+#: Labelled documents that the field is fitted to, per language at most, by hash of the id, and in all (each language
+#: has one at least). They are learnt whole, in stretches of so many words. Other documents play no part in fitting.
+DOCS_PER_LANG, MOST_LABELLED, STRETCH = 160, 16_384, 240
 #: Buckets of hashed features; words per language in the lexicon; rounds of fitting; penalty on squared weights.
 BUCKETS, LEXICON, ROUNDS, PENALTY = 1 << 15, 300, 40, 1e-5
 #: Distinct words whose scores a worker remembers.
 MOST_KNOWN = 250_000
-#: Documents put through forward-backward at a time, words that they may take with padding, and words of the
-#: documents among which they are chosen by length.
-LANES, CELLS, WAITING = 1024, 1 << 18, 1 << 21
+#: Documents put through forward-backward at a time, (word, label) scores that they may take with padding, and words
+#: of the documents among which they are chosen by length.
+LANES, CELLS, WAITING = 1024, 1 << 20, 1 << 21
 #: What a text without letters gets.
 UNDETERMINED = "und"
 
@@ -82,34 +79,35 @@ class Model(NamedTuple):
         return out.astype(np.float32)
 
 
-#: Steps between rescalings; a step shrinks a lane's sum by no more than single precision holds over so many.
-RESCALE = 4
+#: Potentials below a step's largest by more than this count as if by this much; two of them still fit a double.
+LEAST_POTENTIAL = -300.0
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts: np.ndarray, moves: np.ndarray, expect: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Posteriors (time, lane, labels) of sequences, zero beyond their ends, and the expected moves (from, to) if
     asked for. `scores` is (time, lane, labels); `lengths` ascend, so the lanes that go on at a time are the last ones.
-    Works in probabilities that are rescaled every few steps."""
+    Works in probabilities that are rescaled at every step, in double precision, which holds potentials that differ by
+    up to LEAST_POTENTIAL."""
     steps, n, labels = scores.shape
-    emit = np.exp(np.maximum(scores - scores.max(axis=2, keepdims=True), -12)).astype(np.float32)
-    move = np.exp(np.maximum(moves - moves.max(), -12)).astype(np.float32)
+    scores = scores.astype(np.float64)
+    emit = np.exp(np.maximum(scores - scores.max(axis=2, keepdims=True), LEAST_POTENTIAL))
+    move = np.exp(np.maximum(moves - moves.max(), LEAST_POTENTIAL))
     back = np.ascontiguousarray(move.T)
     first = np.searchsorted(lengths, np.arange(steps), side="right")
     ahead, behind = np.zeros_like(emit), np.ones_like(emit)
-    ahead[0] = np.exp(starts - starts.max()) * emit[0]
+    ahead[0] = np.exp(np.maximum(starts - starts.max(), LEAST_POTENTIAL)) * emit[0]
+    ahead[0] /= ahead[0].sum(axis=1, keepdims=True)
     for t in range(1, steps):
         lanes = slice(first[t], None)
         a = ahead[t, lanes]
         np.matmul(ahead[t - 1, lanes], move, out=a)
         a *= emit[t, lanes]
-        if t % RESCALE == 0:
-            a /= a.sum(axis=1, keepdims=True)
+        a /= a.sum(axis=1, keepdims=True)
     for t in range(steps - 1, 0, -1):
         lanes = slice(first[t], None)
         b = behind[t - 1, lanes]
         np.matmul(emit[t, lanes] * behind[t, lanes], back, out=b)
-        if t % RESCALE == 0:
-            b /= b.sum(axis=1, keepdims=True)
+        b /= b.sum(axis=1, keepdims=True)
     post = ahead * behind
     total = post.sum(axis=2, keepdims=True)
     np.divide(post, total, out=post, where=total > 0)
@@ -133,13 +131,12 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     for text, lang in sorted(rows):
         w = words_of(text)
         if w:
-            at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(w) - STRETCH + 1)
-            cut.append((w[at : at + STRETCH], labels.index(lang)))
+            cut += [(w[at : at + STRETCH], labels.index(lang)) for at in range(0, len(w), STRETCH)]
     n_labels = len(labels)
     if not cut:
         return Model(labels if n_labels else [], np.zeros((BUCKETS + 1, n_labels)), {}, np.zeros(n_labels), np.zeros((n_labels, n_labels)))
     sequences = [(w, [y] * len(w)) for w, y in cut]
-    for _ in range(len(cut)):  # switched text: phrases of a few texts in turn
+    for _ in range(len(rows)):  # switched text: phrases of a few texts in turn
         words, ys = [], []
         while len(words) < STRETCH // 2:
             w, y = cut[rng.integers(len(cut))]
@@ -249,7 +246,7 @@ class Labeller:
         at = 0
         while at < len(order):
             upto = at + 1
-            while upto < len(order) and upto - at < LANES and (upto - at + 1) * len(sequences[order[upto]]) <= CELLS:
+            while upto < len(order) and upto - at < LANES and (upto - at + 1) * len(sequences[order[upto]]) * len(self.model.labels) <= CELLS:
                 upto += 1
             part = [sequences[k] for k in order[at:upto]]
             lengths = np.array([len(x) for x in part])
@@ -262,13 +259,15 @@ class Labeller:
             at = upto
 
 
-def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
+def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most_labelled: int = MOST_LABELLED) -> Model:
     """A field for `labelled` (doc_id, text, lang), from a bounded sample: of each language the texts whose id hashes lowest.
 
-    Rows without text or language are left out, as are languages after the MOST_LANGS most frequent. No more than
-    about four times the sample reaches the driver, however many rows there are."""
+    Rows without text or language are left out; every language that is left is learnt, from `docs_per_lang` documents
+    or an equal share of `most_labelled`. Documents of one hash come in order of their text. No more than about four
+    times the sample reaches the driver, however many rows there are."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    docs_per_lang = max(1, min(docs_per_lang, most_labelled // max(1, len(counts))))
     # Hashes are even, so a share of their range holds the wanted texts and a few times as many in all.
     near = F.lit(False)
     for r in counts:
