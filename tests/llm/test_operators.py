@@ -75,6 +75,16 @@ def test_quality_order_is_by_rejection_per_cost():
     assert [r.name for r in quality.ordered(rules, found)] == ["a", "b", "c"]
 
 
+def test_few_distinct_words_are_told_at_any_length(spark):
+    import random
+
+    rng = random.Random(1)
+    poor = [(n, " ".join(f"w{rng.randrange(40)}" for _ in range(n))) for n in (1000, 1999, 2000, 20_000)]
+    rich = [(n + 1, " ".join(f"w{rng.randrange(3000)}x" for _ in range(n))) for n in (1000, 2000, 20_000)]
+    out = {r["doc_id"]: r for r in quality.apply_rules(spark.createDataFrame(poor + rich, "doc_id long, text string")).collect()}
+    assert not any(out[n]["base_failed"] or out[n]["kept"] for n, _ in poor) and all(out[n]["kept"] for n, _ in rich)
+
+
 def test_quality_edges(docs, empty):
     out = quality.apply_rules(docs)
     assert out.count() == len(ROWS) and dict(out.dtypes)["kept"] == "boolean"
@@ -119,6 +129,12 @@ def test_mix_edges(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_empty_documents_of_a_clamped_source_join_no_third_time(spark):
+    rows = [(i, "" if i < 40 else "a b c", "a") for i in range(43)] + [(i, "w " * 1000, "b") for i in range(43, 50)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["copies"] for r in out if r["source"] == "a"} == {2} and all(r["copies"] <= 2 for r in out)
+
+
 # --- 3 personal data
 
 
@@ -194,11 +210,25 @@ def test_exact_groups(corpus):
     assert exact_dedup.drop_exact(corpus).count() == len(by)
 
 
-def test_filter_flags_every_repeat(spark):
-    keys = spark.createDataFrame([(k % 700 * 2654435761 % 2**63,) for k in range(1000)], "hash_key long").repartition(5)
-    bits = exact_dedup.repeat_filter(keys, 1 << 20)
-    flagged = exact_dedup._flagged(keys, bits, 1 << 20).where("maybe_repeated")
-    assert flagged.count() >= 600 and flagged.count() < 650
+@pytest.mark.parametrize("most", [exact_dedup.MOST_CELLS, 1 << 18])
+def test_filters_flag_every_repeat(spark, most):
+    keys = spark.createDataFrame([((k % 700 * 2654435761 * 0x9E3779B97F4A7C15) % 2**64 - 2**63,) for k in range(1000)], "hash_key long").repartition(5)
+    out = exact_dedup.flagged(keys, 1000, most)
+    assert exact_dedup.filter_size(1000, most)[0] == (1 if most > 1 << 20 else 4) and out.count() == 1000
+    assert 600 <= out.where("maybe_repeated").count() < 650
+
+
+def test_filters_stay_small():
+    filters, cells = exact_dedup.filter_size(10**9)
+    assert cells // 8 * 2 <= 32 << 20 and filters * cells >= 16 * 10**9
+
+
+def test_hot_groups_are_joined_as_the_others_are(spark, monkeypatch):
+    rows = [(i, "one" if i % 3 else f"t{i % 30}") for i in range(300)] + [(None, "one"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, exact_dedup.group_exact(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT", 100)
+    assert sorted(map(str, exact_dedup.group_exact(docs).collect())) == want and len(want) == 302
 
 
 def test_exact_edges(docs, empty):
@@ -247,13 +277,14 @@ def test_language_on_held_out_documents(spark):
     assert named[1] == "en" and named[-2] == "de"
 
 
-def test_forward_backward_sums_over_all_paths():
+@pytest.mark.parametrize("scale", [1, 10])
+def test_forward_backward_sums_over_all_paths(scale):
     import itertools
 
     import numpy as np
 
     rng = np.random.default_rng(3)
-    scores, starts, moves = rng.normal(size=(4, 1, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    scores, starts, moves = rng.normal(size=(4, 1, 3)) * scale, rng.normal(size=3) * scale, rng.normal(size=(3, 3)) * scale
     want, total = np.zeros((4, 3)), 0.0
     for path in itertools.product(range(3), repeat=4):
         p = np.exp(starts[path[0]] + sum(scores[t, 0, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
@@ -261,7 +292,30 @@ def test_forward_backward_sums_over_all_paths():
         for t, y in enumerate(path):
             want[t, y] += p
     post, _ = language.forward_backward(scores, np.array([4]), starts, moves)
-    assert np.allclose(post[:, 0], want / total, atol=1e-4)
+    assert np.allclose(post[:, 0], want / total, atol=1e-9)
+
+
+@pytest.mark.parametrize("scale", [1, 10, 60])
+def test_forward_backward_equals_sums_of_logarithms(scale):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, k = 200, 5
+    scores, starts, moves = rng.normal(size=(n, 1, k)) * scale, rng.normal(size=k) * scale, rng.normal(size=(k, k)) * scale
+    ahead, behind = [starts + scores[0, 0]], [np.zeros(k)]
+    for t in range(1, n):
+        ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + moves, axis=0) + scores[t, 0])
+        behind.append(np.logaddexp.reduce(moves + (scores[n - t, 0] + behind[-1])[None, :], axis=1))
+    want = np.array(ahead) + np.array(behind[::-1])
+    want = np.exp(want - np.logaddexp.reduce(want, axis=1)[:, None])
+    post, _ = language.forward_backward(scores, np.array([n]), starts, moves)
+    assert np.abs(post[:, 0] - want).max() < 1e-6
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(100 * j + i, " ".join([f"{chr(97 + j % 26)}{chr(97 + j // 26)}{x}" for x in ("ra", "tu", "mo", "ke")] * 5), f"l{j:03}") for j in range(80) for i in range(2)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_labelled=100)
+    assert len(model.labels) == 80
 
 
 def test_language_edges(docs, empty):
