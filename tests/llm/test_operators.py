@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heddle.llm import exact_dedup, extraction, language, mixing, near_dedup, packing, pii, quality, tokens, urls
@@ -480,14 +481,112 @@ def test_main_text(source, text):
     assert extraction.main_text(extraction.parse(source)) == text
 
 
+def tree(label, *children):
+    return extraction.Template(label, 1, 1, children=list(children))
+
+
 def test_simple_tree_matching_is_the_best_order_preserving_alignment():
-    t = lambda x: extraction.Template.unpacked(x)
-    leaf = lambda n: [n, 1, {}, []]
-    a = t(["r", 1, {}, [leaf("a"), ["b", 1, {}, [leaf("c"), leaf("d")]], leaf("e")]])
-    b = t(["r", 1, {}, [["b", 1, {}, [leaf("c")]], leaf("a"), leaf("e")]])
+    a = tree("r", tree("a"), tree("b", tree("c"), tree("d")), tree("e"))
+    b = tree("r", tree("b", tree("c")), tree("a"), tree("e"))
     assert extraction.similarity(a, b) == 4
 
 
+def test_simple_tree_matching_equals_trying_all():
+    import itertools
+    import random
+
+    rng = random.Random(2)
+
+    def grow(depth):
+        return tree(rng.choice("ab"), *[grow(depth - 1) for _ in range(rng.randrange(4) if depth else 0)])
+
+    def best(x, y):
+        if x.label != y.label:
+            return 0
+        a, b, most = x.children, y.children, 0
+        for n in range(min(len(a), len(b)) + 1):
+            for i in itertools.combinations(range(len(a)), n):
+                for j in itertools.combinations(range(len(b)), n):
+                    found = [best(a[p], b[q]) for p, q in zip(i, j)]
+                    most = max(most, sum(found) if all(found) else 0)
+        return 1 + most
+
+    for _ in range(60):
+        x, y = grow(3), grow(3)
+        assert extraction.similarity(x, y) == best(x, y)
+        found = [(x.children[i], y.children[j]) for i, j in extraction.matching(x.children, y.children) if i is not None and j is not None]
+        if x.label == y.label:
+            assert 1 + sum(extraction.similarity(p, q) for p, q in found) == best(x, y)
+
+
+def unnamed_pages(n=24, seed=8):
+    """Pages of a host without tags or names that tell content: (html, the story's texts)."""
+    import random
+
+    rng = random.Random(seed)
+    say = lambda k: " ".join(f"{rng.choice('bcdfg')}{rng.randrange(10**5)}" for _ in range(k))
+    out = []
+    for i in range(n):
+        story = [say(9)] + [say(rng.randrange(30, 60)) for _ in range(rng.randrange(1, 90))]
+        at = rng.randrange(1, len(story) + 1)
+        shown = [f"<p>{x}</p>" for x in story[1:]]
+        shown[at - 1 : at - 1] = ["<p>Members read this without delay</p>"]
+        links = "".join(f"<li><a href=/{k}>{say(2)}</a></li>" for k in range(6))
+        out.append((f"<body><div><div>Our paper</div><div><ul>{links}</ul></div></div><div>{say(5)}</div><div><h1>{story[0]}</h1>{''.join(shown)}</div><div>Kept by nobody in {i}</div></body>", story))
+    return out
+
+
+def test_templates_alone_tell_content():
+    pages = unnamed_pages()
+    parsed = [extraction.parse(h) for h, _ in pages]
+    # Brute force: a text is constant if it is a block's own on most pages, wherever it stands.
+    counts = collections.Counter(t for root in parsed for t in {b.text for b in extraction._below(extraction.Block(root)) if b.text})
+    constant = {t for t, n in counts.items() if n >= 0.8 * len(pages)}
+    whole = None
+    for root in parsed:
+        page = extraction.Template.of([extraction.Block(root)])
+        whole = page if whole is None else extraction.merged(whole, page)
+    template = extraction.decide(whole)
+    for h, story in pages:
+        assert extraction.main_text(extraction.parse(h), template) == " ".join(x for x in story if x not in constant)
+    changed = sum(extraction.main_text(extraction.parse(h)) != extraction.main_text(extraction.parse(h), template) for h, _ in pages)
+    assert changed == len(pages) and "Members read this without delay" in constant
+
+
+def test_templates_do_without_names_on_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", "<(/?)(?:nav|article|footer)>", "<$1div>"), ' class="ad"', "")
+    host = extraction.host_of(F.col("url"))
+    want = {r["page_id"]: r["text"] for r in extraction.extract(pages).collect()}
+    out = extraction.extract(pages.withColumn("html", bare)).withColumn("n", F.count("*").over(Window.partitionBy(host))).collect()
+    large = [r for r in out if r["n"] >= 30]
+    assert len(large) >= 30 and sum(r["text"] == want[r["page_id"]] for r in large) >= 0.95 * len(large)
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after", "<b it's x " * 20_000 + ">t", "<b x='" * 20_001, "<" * 50_000, "<a <" * 20_000, "<!-- " * 20_000, "</" * 50_000, "<p " + "= " * 50_000 + ">x", "<i>" * 3000 + "in"],
+)
+def test_broken_pages_take_linear_time(source):
+    import time
+
+    began = time.perf_counter()
+    text = extraction.main_text(extraction.parse(source))
+    assert time.perf_counter() - began < 3
+    assert ("deep" in text and "after" in text) if "deep" in source else True
+
+
+def test_names_do_not_outweigh_the_article():
+    story = "word " * 80
+    for source in (
+        f'<div class="content with-sidebar"><div>{story}</div></div><div class="sidebar">x</div>',
+        f'<div id="no-comments"><article><p>{story}</article></div><nav>n</nav>',
+        f"<form><div>top</div><main><p>{story}</main></form>",
+        f"<div><div><p>{story}</div></div><article>teaser</article><article>teaser two</article>",
+    ):
+        assert story.strip() in extraction.main_text(extraction.parse(source))
+
+
 def test_extraction_edges(spark):
     rows = [(1, None, None, 5), (2, "no scheme", "<p>a</p>", 5), (2, "no scheme", "<p>a</p>", 5), (3, "http://x/", "<p>" + "b " * 100_000, 5)]
     schema = "page_id long, url string, html string, n_chars int"
