@@ -19,8 +19,10 @@ REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65535
 MISS = 1e-5
 #: Standard deviations below the threshold at which an estimate still leads to a comparison of full sets.
 MARGIN = 5.0
-#: Nodes per block when what is left of a bucket is compared block by block.
-BLOCK = 256
+#: Rounds of stars in buckets that still hold several components.
+ROUNDS = 3
+#: Nodes per block when what is left of a bucket is compared block by block: on sketches, and on full sets after that.
+SKETCH_BLOCK, SET_BLOCK = 8192, 512
 #: Ids up to which a list of wanted documents is sent to every task; beyond, it is joined by shuffle.
 MOST_SENT = 1_000_000
 #: Distinct words whose hashes a worker remembers.
@@ -213,32 +215,69 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(new), "near-labels")
 
 
-def _blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): confirmed links between components, of `members` (unit, node, component). A unit is cut into blocks of
-    about BLOCK nodes, and each pair of blocks is a task's piece of work: likely pairs by sketches, the likeliest
-    first, are confirmed on full sets unless links found before join them already. Every pair of a unit is looked
-    at in this way, but only links that join components leave, fewer than the nodes of the blocks."""
-    least, percent = least_estimate(threshold), round(threshold * 100)
-    sizes = members.groupBy("unit").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).cast("int").alias("of"))
+def _paired(members: DataFrame, block: int) -> DataFrame:
+    """`members` (unit, node, component) with i, j and block: a unit is cut into blocks of about `block` nodes, and each
+    pair of blocks, a block with itself too, is a piece of work (unit, i, j) that both are sent to. So a unit of n nodes
+    sends n * n / block rows, which is n for all but the largest."""
+    sizes = members.groupBy("unit").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias("of"))
     x = members.join(sizes, "unit").withColumn("block", F.pmod(F.xxhash64("node"), "of").cast("int"))
-    # A block meets itself and every other one, the lower one first.
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    x = x.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
-    x = x.join(classes.select("node", "n_shingles", "sketch"), "node").join(sets, "node")
+    return x.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+
+
+def _across(group: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each row k of block i, the rows of block j in other components whose sketches make a link likely: (k, rows,
+    estimates)."""
+    least = least_estimate(threshold)
+    s, n, block = _registers(group["sketch"]), np.asarray(group["n_shingles"], float), np.asarray(group["block"])
+    _, component = np.unique(np.array(group["component"].to_pylist(), object), return_inverse=True)
+    first, second = np.flatnonzero(block == group["i"][0].as_py()), np.flatnonzero(block == group["j"][0].as_py())
+    second = second[np.argsort(n[second], kind="stable")]
+    sizes = n[second]
+    for k in first:
+        low, high = np.searchsorted(sizes, threshold * n[k] - 1), np.searchsorted(sizes, n[k] / threshold + 1)
+        near = second[low:high]
+        near = near[(component[near] != component[k]) & (np.minimum(n[near], n[k]) >= threshold * np.maximum(n[near], n[k]))]
+        # Registers that are equal bound the estimate, and the first few tell most pairs.
+        near = near[(s[near, :32] == s[k, :32]).sum(axis=1) >= 32 * least - 16] if len(near) else near
+        near = near[(s[near] == s[k]).mean(axis=1) >= least - 0.02] if len(near) else near
+        for part in range(0, len(near), 8192):
+            chosen = near[part : part + 8192]
+            at = np.full(len(chosen), k)
+            estimate = likelihood(s[at], s[chosen], n[at], n[chosen])
+            likely = estimate >= least
+            if likely.any():
+                yield int(k), chosen[likely], estimate[likely]
+
+
+def _open(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(unit, node, component) of those of `members` that a sketch of another component in their unit is likely linked with."""
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        hit = np.zeros(group.num_rows, bool)
+        for k, near, _ in _across(group, threshold):
+            hit[k] = hit[near] = True
+        return group.select(["unit", "node", "component"]).filter(pa.array(hit))
+
+    x = _paired(members, SKETCH_BLOCK).join(classes.select("node", "n_shingles", "sketch"), "node")
+    return x.groupBy("unit", "i", "j").applyInArrow(meet, "unit binary, node binary, component binary").distinct()
+
+
+def _blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): confirmed links between components, of `members` (unit, node, component). Likely pairs of two blocks,
+    the likeliest first, are confirmed on full sets unless links found before join them already. Every likely pair of
+    a unit is looked at in this way, but only links that join components leave, fewer than the nodes of the blocks."""
+    percent = round(threshold * 100)
+    x = _paired(members, SET_BLOCK).join(classes.select("node", "n_shingles", "sketch"), "node").join(sets, "node")
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        s, n, block = _registers(group["sketch"]), np.asarray(group["n_shingles"], float), np.asarray(group["block"])
+        found = list(_across(group, threshold))
+        a = np.concatenate([np.full(len(near), k) for k, near, _ in found] or [np.zeros(0, np.int64)])
+        b = np.concatenate([near for _, near, _ in found] or [np.zeros(0, np.int64)])
+        j = np.concatenate([e for _, _, e in found] or [np.zeros(0)])
         _, component = np.unique(np.array(group["component"].to_pylist(), object), return_inverse=True)
-        first, second = np.flatnonzero(block == group["i"][0].as_py()), np.flatnonzero(block == group["j"][0].as_py())
-        a_s, b_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in first:
-            near = second[(component[second] != component[k]) & (np.minimum(n[second], n[k]) >= threshold * np.maximum(n[second], n[k]))]
-            near = near[(s[near] == s[k]).mean(axis=1) >= least - 0.02] if len(near) else near
-            a_s.append(np.full(len(near), k))
-            b_s.append(near)
-        a, b = np.concatenate(a_s), np.concatenate(b_s)
-        j = np.concatenate([likelihood(s[a[k : k + 8192]], s[b[k : k + 8192]], n[a[k : k + 8192]], n[b[k : k + 8192]]) for k in range(0, len(a), 8192)] or [np.zeros(0)])
         above = list(range(component.max() + 1))
 
         def top(c: int) -> int:
@@ -249,8 +288,6 @@ def _blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
 
         shingles, links = group["shingles"], []
         for k in np.argsort(-j, kind="stable"):
-            if j[k] < least:
-                break
             x, y = top(component[a[k]]), top(component[b[k]])
             if x != y:
                 p, q = (np.frombuffer(shingles[int(i)].as_buffer(), np.uint64) for i in (a[k], b[k]))
@@ -269,24 +306,42 @@ def linked(classes: DataFrame, docs: DataFrame, size: int, threshold: float) ->
     """(node, component) of the classes (node, rep, n_shingles, sketch) that are linked with another.
 
     Buckets of two or more classes are stars first: the member that meets most others in all its buckets, which is
-    the copy nearest to the rest, is compared with each other one. Where a bucket still holds several components,
-    its members join the unit of its star's centre, and the pairs between components of a unit are looked at block
-    by block. So no pair of a bucket is left out, and no bucket's pairs are all made."""
+    the copy nearest to the rest, is compared with each other one. Buckets that still hold several components are stars
+    again, around a member outside the first one's component, for ROUNDS in all. What is open then joins the unit of
+    its last centre, where members are compared block by block: on sketches first, and those that a likely link to another
+    component is left of on full sets. So no pair of a bucket is left out, and no bucket's pairs are all made."""
     rows = banded(classes, threshold)
     repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(rows.join(repeated, "key"), "near-buckets")
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     wanted = classes.select("node", "rep").join(degree.select("node"), "node", "left_semi")
     sets = _sets(docs, wanted, size)
-    ranked = members.join(degree, "node")
-    pivots = written(ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("unit")), "near-pivots")
-    placed = members.select("key", "node").join(pivots, "key")
-    stars = placed.where("node <> unit").select(F.col("node").alias("a"), F.col("unit").alias("b")).distinct()
-    labels = written(components(_confirmed(_likely(stars, classes, threshold), sets, threshold)), "near-labels")
-    own = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    still = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = own.join(still, "key").select("unit", "node", "component").distinct()
-    links = written(_blocks(left, classes, sets, threshold), "near-links")
+    # A bucket's centre so far is its unit, of component `centre`; there is none before the first round.
+    left = members.select("key", "node").join(degree, "node").withColumns({"component": F.col("node"), "centre": F.lit(None).cast("binary")})
+    labels = None
+    for _ in range(ROUNDS):
+        left = written(left, "near-open")
+        if left.isEmpty():
+            break
+        outside = F.coalesce(F.col("component") != F.col("centre"), F.lit(True))
+        pivots = left.groupBy("key").agg(F.max(F.struct(outside.alias("o"), "degree", "node", "component")).alias("p"))
+        pivots = written(pivots.select("key", F.col("p.node").alias("unit"), F.col("p.component").alias("centre")), "near-pivots")
+        stars = left.drop("centre", "unit").join(pivots, "key").where(F.col("component") != F.col("centre"))
+        stars = stars.select(F.col("node").alias("a"), F.col("unit").alias("b")).distinct()
+        links = written(_confirmed(_likely(stars, classes, threshold), sets, threshold), "near-links")
+        labels = written(components(links), "near-labels") if labels is None else _merged(labels, links)
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))  # noqa: B023, E731
+        pivots = pivots.join(of("unit"), "unit", "left").select("key", "unit", F.coalesce("c_unit", "unit").alias("centre"))
+        own = left.select("key", "node", "degree").join(of("node"), "node", "left").withColumn("component", F.coalesce("c_node", "node")).drop("c_node")
+        still = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        left = own.join(pivots.join(still, "key"), "key")
+    if labels is None:  # no two classes share a bucket
+        return members.select("node", F.col("node").alias("component"))
+    left = written(left.select("unit", "node", "component").distinct(), "near-open")
+    if left.isEmpty():
+        return labels
+    likely = written(_open(left, classes, threshold), "near-likely")
+    links = written(_blocks(likely, classes, sets, threshold), "near-links")
     return labels if links.isEmpty() else _merged(labels, links)
 
 
@@ -315,9 +370,12 @@ def _judged(docs: DataFrame, size: int, threshold: float, digest: bool = False)
     smallest = least.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = classes.select("node", "rep").join(labels, "node", "left").join(smallest, "component", "left")
     ids = ids.select("node", F.coalesce("component_id", "rep").alias("component_id"), *[F.coalesce("component", "node").alias("group")] * digest)
-    # Only classes whose id isn't the row's own travel; most rows are alone.
     more = ["text_sha256"] * digest
-    out = sigs.select("doc_id", "n_shingles", "node", *more).join(ids, "node", "left")
+    rows = sigs.select("doc_id", "n_shingles", "node", *more)
+    # Rows of an empty set have no class to meet, so they stay out of the join.
+    alone = rows.where("node is null").withColumn("component_id", F.lit(None).cast("long"))
+    alone = alone.withColumn("group", F.lit(None).cast("binary")) if digest else alone
+    out = rows.where("node is not null").join(ids, "node").unionByName(alone)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more, *["group"] * digest)
 
