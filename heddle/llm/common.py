@@ -56,6 +56,21 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: The setting of how many rows go to a Python worker at a time.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Has tables that are `written` within send at most so many rows to a Python worker at a time, for wide rows."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 @contextmanager
 def temporaries(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that were `written` within, when the rows that need them have been written elsewhere."""

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_of, without, written
+from .common import batches_of, digest_of, without, written
 from .graph import components
 
 #: Registers of a sketch, the base that spaces their values, the rate of their minima, and their largest value.
@@ -19,10 +19,12 @@ REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65535
 MISS = 1e-5
 #: Standard deviations below the threshold at which an estimate still leads to a comparison of full sets.
 MARGIN = 5.0
-#: Rounds of stars in buckets that still hold several components.
-ROUNDS = 3
-#: Nodes per block when what is left of a bucket is compared block by block: on sketches, and on full sets after that.
-SKETCH_BLOCK, SET_BLOCK = 8192, 512
+#: Rounds of stars at most; there is another one where the last has settled at least half of what was open.
+ROUNDS = 4
+#: When what is left of a bucket is compared block by block: nodes of a block of sketches, and shingles of a block of sets.
+SKETCH_BLOCK, SET_BLOCK = 8192, 1 << 20
+#: Pairs of full sets that a Python worker gets at a time.
+WIDE = 512
 #: Ids up to which a list of wanted documents is sent to every task; beyond, it is joined by shuffle.
 MOST_SENT = 1_000_000
 #: Distinct words whose hashes a worker remembers.
@@ -215,14 +217,14 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(new), "near-labels")
 
 
-def _paired(members: DataFrame, block: int) -> DataFrame:
-    """`members` (unit, node, component) with i, j and block: a unit is cut into blocks of about `block` nodes, and each
-    pair of blocks, a block with itself too, is a piece of work (unit, i, j) that both are sent to. So a unit of n nodes
-    sends n * n / block rows, which is n for all but the largest."""
-    sizes = members.groupBy("unit").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias("of"))
+def _paired(members: DataFrame, weight: Column, block: int) -> DataFrame:
+    """`members` (unit, node, and what else they have) with i, j and block: a unit is cut into blocks of a weight of about
+    `block`, and each pair of blocks, a block with itself too, is a piece of work (unit, i, j) that both are sent to. So a
+    unit is sent as often as it has blocks, which is once for all but the largest."""
+    sizes = members.groupBy("unit").agg(F.greatest(F.ceil(F.sum(weight) / block), F.lit(1)).cast("int").alias("of"))
     x = members.join(sizes, "unit").withColumn("block", F.pmod(F.xxhash64("node"), "of").cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    return x.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+    return x.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("of", "other")
 
 
 def _across(group: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -260,7 +262,7 @@ def _open(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
             hit[k] = hit[near] = True
         return group.select(["unit", "node", "component"]).filter(pa.array(hit))
 
-    x = _paired(members, SKETCH_BLOCK).join(classes.select("node", "n_shingles", "sketch"), "node")
+    x = _paired(members, F.lit(1), SKETCH_BLOCK).join(classes.select("node", "n_shingles", "sketch"), "node")
     return x.groupBy("unit", "i", "j").applyInArrow(meet, "unit binary, node binary, component binary").distinct()
 
 
@@ -269,7 +271,8 @@ def _blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
     the likeliest first, are confirmed on full sets unless links found before join them already. Every likely pair of
     a unit is looked at in this way, but only links that join components leave, fewer than the nodes of the blocks."""
     percent = round(threshold * 100)
-    x = _paired(members, SET_BLOCK).join(classes.select("node", "n_shingles", "sketch"), "node").join(sets, "node")
+    x = members.join(classes.select("node", "n_shingles", "sketch"), "node")
+    x = _paired(x, F.col("n_shingles"), SET_BLOCK).join(sets, "node")
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -306,9 +309,9 @@ def linked(classes: DataFrame, docs: DataFrame, size: int, threshold: float) ->
     """(node, component) of the classes (node, rep, n_shingles, sketch) that are linked with another.
 
     Buckets of two or more classes are stars first: the member that meets most others in all its buckets, which is
-    the copy nearest to the rest, is compared with each other one. Buckets that still hold several components are stars
-    again, around a member outside the first one's component, for ROUNDS in all. What is open then joins the unit of
-    its last centre, where members are compared block by block: on sketches first, and those that a likely link to another
+    the copy nearest to the rest, is compared with each other one, and leaves. Buckets that still hold several components
+    are stars again, around a member outside the last one's component, while that settles much. What is open then joins the
+    unit of its last centre, where members are compared block by block: on sketches first, and those that a likely link to another
     component is left of on full sets. So no pair of a bucket is left out, and no bucket's pairs are all made."""
     rows = banded(classes, threshold)
     repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -318,30 +321,42 @@ def linked(classes: DataFrame, docs: DataFrame, size: int, threshold: float) ->
     sets = _sets(docs, wanted, size)
     # A bucket's centre so far is its unit, of component `centre`; there is none before the first round.
     left = members.select("key", "node").join(degree, "node").withColumns({"component": F.col("node"), "centre": F.lit(None).cast("binary")})
-    labels = None
+    labels, before = None, None
     for _ in range(ROUNDS):
         left = written(left, "near-open")
-        if left.isEmpty():
+        rows = left.count()
+        if not rows or (before and 2 * rows > before):
             break
+        before = rows
         outside = F.coalesce(F.col("component") != F.col("centre"), F.lit(True))
         pivots = left.groupBy("key").agg(F.max(F.struct(outside.alias("o"), "degree", "node", "component")).alias("p"))
         pivots = written(pivots.select("key", F.col("p.node").alias("unit"), F.col("p.component").alias("centre")), "near-pivots")
         stars = left.drop("centre", "unit").join(pivots, "key").where(F.col("component") != F.col("centre"))
         stars = stars.select(F.col("node").alias("a"), F.col("unit").alias("b")).distinct()
-        links = written(_confirmed(_likely(stars, classes, threshold), sets, threshold), "near-links")
+        likely = written(_likely(stars, classes, threshold), "near-likely")
+        with batches_of(docs.sparkSession, WIDE):
+            links = written(_confirmed(likely, sets, threshold), "near-links")
         labels = written(components(links), "near-labels") if labels is None else _merged(labels, links)
         of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))  # noqa: B023, E731
         pivots = pivots.join(of("unit"), "unit", "left").select("key", "unit", F.coalesce("c_unit", "unit").alias("centre"))
-        own = left.select("key", "node", "degree").join(of("node"), "node", "left").withColumn("component", F.coalesce("c_node", "node")).drop("c_node")
+        # A centre has met all members outside its component, so it takes its leave.
+        own = left.select("key", "node", "degree").join(pivots, "key").where("node <> unit").join(of("node"), "node", "left")
+        own = written(own.withColumn("component", F.coalesce("c_node", "node")).drop("c_node"), "near-own")
         still = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        left = own.join(pivots.join(still, "key"), "key")
+        left = own.join(still, "key", "left_semi")
     if labels is None:  # no two classes share a bucket
         return members.select("node", F.col("node").alias("component"))
     left = written(left.select("unit", "node", "component").distinct(), "near-open")
     if left.isEmpty():
         return labels
-    likely = written(_open(left, classes, threshold), "near-likely")
-    links = written(_blocks(likely, classes, sets, threshold), "near-links")
+    # Units whose sets make one block are sent once anyway; of larger ones, sketches tell whose sets are needed.
+    weight = classes.select("node", "n_shingles")
+    large = left.join(weight, "node").groupBy("unit").agg(F.sum("n_shingles").alias("n")).where(F.col("n") > SET_BLOCK).select("unit")
+    large = written(large, "near-large")
+    if not large.isEmpty():
+        likely = written(_open(left.join(large, "unit", "left_semi"), classes, threshold), "near-likely")
+        left = left.join(large, "unit", "left_anti").unionByName(likely)
+    links = written(_blocks(left, classes, sets, threshold), "near-links")
     return labels if links.isEmpty() else _merged(labels, links)
 
 

@@ -425,7 +425,7 @@ def test_open_members_are_sent_a_few_times(spark):
     unit = lambda n: F.lit(n).cast("string").cast("binary").alias("unit")
     node = F.col("id").cast("string").cast("binary")
     members = spark.range(20_000).select(unit(1), node.alias("node"), node.alias("component")).unionByName(spark.range(500).select(unit(2), node.alias("node"), node.alias("component")))
-    sent = near_dedup._paired(members, near_dedup.SKETCH_BLOCK).groupBy("unit").count().collect()
+    sent = near_dedup._paired(members, F.lit(1), near_dedup.SKETCH_BLOCK).groupBy("unit").count().collect()
     assert sorted(r["count"] for r in sent) == [500, 60_000]
 
 
