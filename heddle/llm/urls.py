@@ -18,13 +18,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Words that mark the host of a URL labelled as unwanted; the other labelled URLs are wanted.
-SEED_WORDS = ("adult", "ads-", "adserver", "bets", "betting", "casino", "escort", "gambl", "malware", "phish", "pills", "poker", "porn", "spam", "track", "viagra", "warez", "xxx")
 #: Labelled URLs that trees are fitted to at most, by hash of the URL.
 MOST_LABELLED = 4096
 #: Trees, their depth, the shrinkage of each, cut points tried per feature, and rows a leaf needs.
 TREES, DEPTH, RATE, CUTS, LEAF = 16, 3, 0.4, 24, 8
-FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_labels", "suffix_rate", "site_rate")
+FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_labels", "suffix_rate")
 
 
 def host_of(url: Column) -> Column:
@@ -68,16 +66,6 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def site_of(host: Column) -> Column:
-    """The last three labels of a host."""
-    return F.substring_index(host, ".", -3)
-
-
-def seed_label(host: Column) -> Column:
-    """1 for a host with a seed word, else 0."""
-    return F.coalesce(F.greatest(*[host.contains(w) for w in SEED_WORDS]), F.lit(False)).cast("int")
-
-
 def labelled_sample(labelled: DataFrame, most: int = MOST_LABELLED) -> list[dict]:
     """At most `most` labelled URLs (url, label), distinct, by hash: half of each label, so that rare ones are learnt."""
     host, path, h = F.col("__host"), F.col("__path"), F.xxhash64("url")
@@ -88,7 +76,7 @@ def labelled_sample(labelled: DataFrame, most: int = MOST_LABELLED) -> list[dict
     for label, n in counts.items():
         near = near | ((F.col("label") == label) & lowest(h, most // 2, n))
     rows = rows.where(near).distinct().withColumn("__host", host_of(F.col("url"))).withColumn("__path", path_of(F.col("url")))
-    rows = rows.select("label", h.alias("h"), suffix_of(host).alias("suffix"), site_of(host).alias("site"), *[c.cast("double").alias(k) for k, c in lexical(F.col("url"), host, path).items()])
+    rows = rows.select("label", h.alias("h"), suffix_of(host).alias("suffix"), *[c.cast("double").alias(k) for k, c in lexical(F.col("url"), host, path).items()])
     drawn = sorted((r.asDict() for r in rows.collect()), key=lambda r: r["h"])
     return [r for label in (0, 1) for r in [x for x in drawn if x["label"] == label][: most // 2]]
 
@@ -102,20 +90,18 @@ def rates(sample: list[dict], key: str) -> tuple[dict[str, tuple[int, int]], flo
     return {k: (a, b) for k, (a, b) in by.items()}, sum(r["label"] for r in sample) / max(1, len(sample))
 
 
-#: Pseudo-rows at the overall rate that smooth a suffix's or site's own.
+#: Pseudo-rows at the overall rate that smooth a suffix's own.
 SMOOTH = 4.0
 
 
 def fit(sample: list[dict]) -> dict:
-    """Trees for log-odds of label 1, and the suffix and site statistics that two features look up.
+    """Trees for log-odds of label 1, and the suffix statistics that a feature looks up.
 
     Each row's own label is left out of its statistics while fitting. An empty sample gives no trees and an even prior."""
-    stats = {k: rates(sample, k) for k in ("suffix", "site")}
+    by, rate = rates(sample, "suffix")
     for r in sample:
-        for key in ("suffix", "site"):
-            by, prior = stats[key]
-            a, b = by[r[key]]
-            r[f"{key}_rate"] = (a - r["label"] + SMOOTH * prior) / (b - 1 + SMOOTH)
+        a, b = by[r["suffix"]]
+        r["suffix_rate"] = (a - r["label"] + SMOOTH * rate) / (b - 1 + SMOOTH)
     y = [r["label"] for r in sample]
     prior = min(max(sum(y) / max(1, len(y)), 0.01), 0.99)
     base = math.log(prior / (1 - prior)) if y else 0.0
@@ -165,7 +151,7 @@ def fit(sample: list[dict]) -> dict:
         tree = grow(list(range(len(y))), DEPTH, [a - b for a, b in zip(y, p)], [b * (1 - b) for b in p])
         trees.append(tree)
         score = [s + value(tree, i) for i, s in enumerate(score)]
-    return {"base": base, "trees": trees, "stats": stats}
+    return {"base": base, "trees": trees, "suffixes": by, "rate": rate}
 
 
 def tree_column(tree) -> Column:
@@ -177,15 +163,13 @@ def tree_column(tree) -> Column:
 
 
 def scored(urls: DataFrame, model: dict) -> DataFrame:
-    """`urls` (url, __host, __path) with __score: log-odds of label 1. The statistics have at most as many rows
+    """`urls` (url, __host, __path) with __score: log-odds of label 1. The suffix statistics have at most as many rows
     as the labelled sample, so they are sent to every task."""
-    spark = urls.sparkSession
-    x = urls
-    for key, of in (("suffix", suffix_of), ("site", site_of)):
-        by, prior = model["stats"][key]
-        known = spark.createDataFrame([(k, (a + SMOOTH * prior) / (b + SMOOTH)) for k, (a, b) in sorted(by.items())], f"__{key} string, __{key}_known double")
-        x = x.withColumn("__of", of(F.col("__host"))).join(F.broadcast(known), F.col("__of") == F.col(f"__{key}"), "left")
-        x = x.withColumn(f"__{key}_rate", F.coalesce(f"__{key}_known", F.lit(float(prior)))).drop("__of", f"__{key}", f"__{key}_known")
+    rate = float(model["rate"])
+    known = [(k, (a + SMOOTH * rate) / (b + SMOOTH)) for k, (a, b) in sorted(model["suffixes"].items())]
+    known = urls.sparkSession.createDataFrame(known, "__suffix string, __known double")
+    x = urls.withColumn("__of", suffix_of(F.col("__host"))).join(F.broadcast(known), F.col("__of") == F.col("__suffix"), "left")
+    x = x.withColumn("__suffix_rate", F.coalesce("__known", F.lit(rate))).drop("__of", "__suffix", "__known")
     x = x.withColumns({f"__{k}": c.cast("double") for k, c in lexical(F.coalesce("url", F.lit("")), F.col("__host"), F.col("__path")).items()})
     total = F.lit(float(model["base"]))
     for tree in model["trees"]:
@@ -197,15 +181,15 @@ def judge(urls: DataFrame, labelled: DataFrame | None = None, rules=RULES, most:
     """`urls` (url, and what else it has) with host, path, rule, verdict (allow or block) and score, the model's
     log-odds for block.
 
-    The longest fitting rule decides; where none fits, the trees do. They learn from `labelled` (url, label 0 or
-    1), by default `urls` labelled by SEED_WORDS in the host. A null url, or one without ://, has empty host and
-    path and is blocked, as nothing can be fetched from it. Repeated rows are judged alike; an empty table gives no rows. Columns
-    host, path, rule, verdict and score of `urls` are replaced."""
+    The longest fitting rule decides; where none fits, the trees do. They learn from `labelled` (url, label 1 for block or
+    0), by default those of `urls` that a rule decides, with its verdict; without any, nothing else is blocked. A null
+    url, or one without ://, has empty host and path and is judged by the trees too. Repeated rows are judged alike; an
+    empty table gives no rows. Columns host, path, rule, verdict and score of `urls` are replaced."""
     x = urls.drop("host", "path", "rule", "verdict", "score").withColumn("__host", host_of(F.col("url"))).withColumn("__path", path_of(F.col("url")))
+    x = x.withColumn("__rule", rule_for(F.col("__host"), F.col("__path"), rules))
     if labelled is None:
-        labelled = x.where(F.col("__host") != "").select("url", seed_label(F.col("__host")).alias("label"))
+        labelled = x.where(F.col("__rule.verdict").isNotNull()).select("url", (F.col("__rule.verdict") == "block").cast("int").alias("label"))
     x = scored(x, fit(labelled_sample(labelled, most)))
-    x = x.withColumn("__rule", rule_for(F.col("__host"), F.col("__path"), rules))
-    by_model = F.when((F.col("__score") > 0) | (F.col("__host") == ""), "block").otherwise("allow")
+    by_model = F.when(F.col("__score") > 0, "block").otherwise("allow")
     x = x.withColumns({"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__rule.rule"), "verdict": F.coalesce("__rule.verdict", by_model), "score": F.col("__score")})
     return x.drop("__host", "__path", "__rule", "__score")
