@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import digest_of, written
 
-#: Entities whose surrogate has been changed for a collision, up to which they go to every task as a literal map.
+#: Entities whose surrogate has been changed for a collision, up to which they go to every task as a literal map; more are
+#: joined to the texts that hold them.
 MOST_CHANGED = 10_000
-#: Rounds in which collisions are settled before surrogates of names get a syllable more.
-ROUNDS = 6
+#: Attempts after which collisions have to be settled. Every second one lengthens a surrogate by a letter or syllable, so
+#: that there are more of them than entities after a few, whatever the corpus holds.
+MOST_ATTEMPTS = 64
 
 #: Given names by gender and script, titles by gender, and syllables of surnames by script.
 GIVEN = {
@@ -22,9 +23,15 @@ GIVEN = {
     ("f", "cyrillic"): ("Анастасия", "Валентина", "Вероника", "Екатерина", "Елизавета", "Людмила", "Маргарита", "Надежда", "Светлана", "Татьяна"),
     ("m", "cyrillic"): ("Александр", "Владимир", "Геннадий", "Дмитрий", "Константин", "Михаил", "Николай", "Станислав", "Тимофей", "Фёдор"),
 }
+#: More given names by which persons are found.
+COMMON = {
+    "f": "Alice Amanda Angela Anna Anne Barbara Birgit Carmen Carol Caroline Catherine Chloe Christine Claire Claudia Deborah Diana Elena Elizabeth Emily Emma Eva Fatima Hannah Helen Irene Jane Jennifer Jessica Julia Karen Kate Laura Lauren Linda Lisa Lucia Maria Marie Martina Mary Melissa Monica Nancy Nicole Olga Olivia Petra Rachel Rebecca Rosa Ruth Sabine Sandra Sara Sarah Silvia Sofia Sophie Stephanie Susan Ursula".split(),
+    "m": "Adam Ahmed Alan Albert Alex Andreas Andrew Anthony Antonio Arthur Bernd Brian Carlos Charles Christian Daniel David Dennis Dieter Eric Fernando Francisco Frank Gary George Hans Henry Ivan Jack Jacob James Jan Javier Jeffrey John Jorge Jose Joseph Juan Jürgen Karl Kevin Klaus Larry Louis Lucas Luis Manuel Mark Martin Matthew Michael Miguel Mohammed Oliver Oscar Patrick Paul Pedro Peter Pierre Rahul Richard Robert Roger Ryan Samuel Scott Stefan Stephen Steven Thomas Timothy Walter Werner William Wolfgang".split(),
+}
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"),
     "m": ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин"),
+    "": ("Dr", "Doctor", "Doktor", "Prof", "Professor"),
 }
 SYLLABLES = {
     "latin": ("ba", "den", "cor", "fal", "gar", "hol", "jen", "kar", "lin", "mor", "nel", "pen", "quil", "ros", "sel", "tan", "ver", "wil", "yar", "zan", "bri", "cla", "dro", "stel"),
@@ -32,8 +39,8 @@ SYLLABLES = {
 }
 
 _NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}\p{Ll}+)?"
-_TITLE = "|".join(sorted(TITLES["f"] + TITLES["m"], key=len, reverse=True))
-_FIRST = "|".join(n for names in GIVEN.values() for n in names)
+_TITLE = "|".join(sorted((t for titles in TITLES.values() for t in titles), key=len, reverse=True))
+_FIRST = "|".join(sorted({n for names in (*GIVEN.values(), *COMMON.values()) for n in names}))
 #: The words before a secret. Its value runs to the closing quote, or else to white space or a quote, without the marks
 #: that end a sentence; four letters or digits of it at least, as these are what a surrogate replaces.
 _PREFIX = r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)"
@@ -41,23 +48,36 @@ _SECRET = (
     r"(?:(?<=\")(?=(?:[^\"\r\n\p{L}0-9]*[\p{L}0-9]){4})[^\"\r\n]{8,}(?=\"|\z)|(?<=')(?=(?:[^'\r\n\p{L}0-9]*[\p{L}0-9]){4})[^'\r\n]{8,}(?='|\z)"
     r"|(?=(?:[^\s\"'\p{L}0-9]*[\p{L}0-9]){4})[^\s\"']{7,}[^\s\"'.,;:!?)\]}>])"
 )
+_BEARER = r"(?i:\bbearer)[ \t]{1,3}"
+#: Words before a date of birth, and before a name.
+_BIRTH = r"(?i:\b(?:born(?: on)?|date of birth|birth date|birthday|dob|geboren(?: am)?|geburtsdatum|née? le|nacid[oa] el)\b:?\s{1,3})"
+_CALLED = r"(?<=\b(?i:my name is|name is|name:|signed by|regards,|sincerely,|dear|attn:|attention:)\s{1,3})"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_STREET = r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Court|Square)"
 #: Types in order of precedence, each with its pattern.
 TYPES = {
-    "secret": _PREFIX + _SECRET,
-    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b",
+    "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\sA-Za-z0-9+/=:,-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    "secret": rf"{_PREFIX}{_SECRET}|{_BEARER}(?=[A-Za-z._~+/=-]*\d)[A-Za-z0-9._~+/-]{{16,}}",
+    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bxox[abeprs]-[A-Za-z0-9-]{10,}|\bAIza[A-Za-z0-9_-]{35}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    # All eight groups, or fewer around a double colon with a digit and a group of three letters or digits among them.
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*[0-9])(?=[0-9A-Fa-f]{{0,2}}(?::+[0-9A-Fa-f]{{0,2}})*[0-9A-Fa-f]{{3}})(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])",
+    "iban": r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}\b|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?\b)",
+    "birth": rf"{_BIRTH}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}[./]\d{{2}}[./]\d{{4}})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?:\d{13,18}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
+    # With a right check digit, which `type_of` looks at.
+    "card": r"(?<!\d)(?:\d{13,18}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
     # Without a plus or parentheses: three, three and four digits, or a leading 0 and 8 to 12 digits in all, but no date.
     r"|(?<![\p{L}\d.,/-])(?:1[ .-])?[2-9]\d{2}(?: [2-9]\d{2} |-[2-9]\d{2}-|\.[2-9]\d{2}\.)\d{4}(?![.,/-]?\d)"
     r"|(?<![\p{L}\d.,/-])(?!\d\d[ ./-]\d\d[ ./-]\d{4}(?!\d))(?=(?:[ ./-]?\d){8,12}(?![ .,/-]?\d))0[1-9]\d{0,3}[ ./-]\d{2,8}(?:[ .-]\d{2,8}){0,4}",
-    "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME})",
+    "address": rf"(?<![\p{{L}}\d.,/-])\d{{1,5}} (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}{_STREET}\b|\b\p{{Lu}}\p{{Ll}}{{2,}}(?:straße|strasse|gasse|allee) \d{{1,4}}\b",
+    "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME}|{_CALLED}{_NAME} {_NAME})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in TYPES.values())
-#: What no entity is without: texts that lack both are left alone at the cost of a plain scan.
-CUE, NAME_CUE = "[0-9@=:]", rf"\b(?=\p{{Lu}})(?:{_TITLE}|{_FIRST})\b"
+#: What no entity is without: texts that lack all of them are left alone at the cost of a plain scan.
+CUE, NAME_CUE = "[0-9@=:]", rf"\b(?=\p{{Lu}})(?:{_TITLE}|{_FIRST})\b|(?i:name is|signed by|regards,|sincerely,|dear) \p{{Lu}}"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщэюя"
 
@@ -68,11 +88,13 @@ def may_hold(text: Column) -> Column:
 
 
 def type_of(e: Column) -> Column:
-    """The first type whose pattern an entity fits as a whole."""
+    """The first type whose pattern an entity fits as a whole; null for a number that looks like a card or an account, but
+    whose check digits are wrong."""
     out = F.lit("name")
     for kind, pattern in reversed(list(TYPES.items())):
+        # What stands before a name is no longer there.
         out = F.when(e.rlike(rf"\A(?:{pattern})\z"), F.lit(kind)).otherwise(out)
-    return out
+    return _let(out, lambda k: F.when((k == "card") & (_luhn(_digits(e)) != 0), None).when((k == "iban") & (_mod97(e) != 1), None).otherwise(k))
 
 
 def _let(value: Column, body) -> Column:
@@ -80,31 +102,36 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _number(key: str, what: str, unit: bool) -> Column:
-    """A keyed constant of 18 digits; with `unit`, one that is prime to 10."""
-    n = int(hashlib.sha256(f"{key}|{what}".encode()).hexdigest(), 16) % 10**18
-    while unit and (n % 2 == 0 or n % 5 == 0):
-        n += 1
-    return F.lit(Decimal(n)).cast("decimal(18,0)")
+def _keyed(key: str, turn: int, value: Column, below: Column) -> Column:
+    """A keyed number from a string, below a power of ten of nine digits at most or another small bound."""
+    digest = F.sha2(F.concat(F.lit(f"{key}|{turn}|"), value).cast("binary"), 256)
+    return F.conv(digest.substr(F.lit(1), F.lit(15)), 16, 10).cast("long") % below
 
 
-_POWERS = [Decimal(10) ** k for k in range(19)]
+#: Rounds of the permutations.
+TURNS = 6
 
 
 def permuted(digits: Column, key: str) -> Column:
-    """A keyed permutation of the digit strings of each length up to 18: two affine rounds, with a reversal between
-    them so that every digit counts. Different strings stay different, whatever else the corpus holds."""
-    powers = F.array(*[F.lit(p).cast("decimal(19,0)") for p in _POWERS])
-
-    def affine(turn: str):
-        def body(d: Column) -> Column:
-            x = F.when(d == "", F.lit("0")).otherwise(d).cast("decimal(18,0)")
-            y = ((x * _number(key, "a" + turn, True) + _number(key, "b" + turn, False)) % F.element_at(powers, F.length(d) + 1)).cast("decimal(18,0)").cast("string")
-            return F.reverse(F.right(F.concat(F.lit("0" * 18), y), F.length(d)))
+    """A keyed permutation of the digit strings of each length up to 18: a Feistel network on the halves, to each of which
+    keyed hashes of the other are added in turn. Different strings stay different, whatever else the corpus holds."""
+    power = lambda x: F.pow(F.lit(10.0), F.length(x)).cast("long")
+    padded = lambda n, x: F.lpad(n.cast("string"), F.length(x), "0")
+
+    def turned(turn: int):
+        def body(x: Column) -> Column:
+            mine, other = ("l", "r") if turn % 2 == 0 else ("r", "l")
+            new = (x[mine].cast("long") + _keyed(key, turn, x[other], power(x[mine]))) % power(x[mine])
+            halves = {mine: F.when(x[mine] == "", "").otherwise(padded(new, x[mine])), other: x[other]}
+            return F.struct(halves["l"].alias("l"), halves["r"].alias("r"))
 
         return body
 
-    return _let(_let(digits, affine("1")), affine("2"))
+    half = F.floor(F.length(digits) / 2).cast("int")
+    state = F.struct(F.left(digits, half).alias("l"), digits.substr(half + 1, F.length(digits)).alias("r"))
+    for turn in range(TURNS):
+        state = _let(state, turned(turn))
+    return _let(state, lambda x: F.concat(x["l"], x["r"]))
 
 
 def _digits(e: Column) -> Column:
@@ -124,6 +151,17 @@ def _luhn(digits: Column) -> Column:
     return _let(F.reverse(digits), lambda turned: F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), lambda s, i: s + once(digit(turned, i))) % 10)
 
 
+def _mod97(e: Column) -> Column:
+    """An account number modulo 97, with its first four signs moved to the end and letters as numbers from 10."""
+
+    def rest(x: Column) -> Column:
+        turned = F.split(F.concat(x.substr(F.lit(5), F.length(x)), F.left(x, F.lit(4))), "")
+        worth = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), lambda s, c: (s * F.when(worth(c) > 9, 100).otherwise(10) + worth(c)) % 97)
+
+    return _let(F.regexp_replace(e, " ", ""), rest)
+
+
 def _card(e: Column, key: str) -> Column:
     """First digit kept, the check digit as right or wrong as before, the others permuted."""
 
@@ -148,16 +186,39 @@ def _ssn(e: Column, key: str) -> Column:
 
 
 def _ip(e: Column, key: str) -> Column:
-    """First octet kept, the other 24 bits permuted."""
+    """First octet kept, the other 24 bits permuted, by halves as digits are."""
     parts = F.split(e, r"\.")
-    n = F.lit(0).cast("long")
-    for k in (1, 2, 3):
-        n = n * 256 + parts[k].cast("long")
-    h = int(hashlib.sha256(f"{key}|ip".encode()).hexdigest(), 16)
-    for _ in range(2):
-        n = (n * F.lit((h % (1 << 24)) | 1) + F.lit((h >> 32) % (1 << 24))) % F.lit(1 << 24)
-        n = (n % 4096) * 4096 + F.floor(n / 4096)
-    return F.concat_ws(".", parts[0], F.floor(n / 65536).cast("string"), (F.floor(n / 256) % 256).cast("string"), (n % 256).cast("string"))
+    n = parts[1].cast("long") * 65536 + parts[2].cast("long") * 256 + parts[3].cast("long")
+
+    def turned(turn: int):
+        def body(x: Column) -> Column:
+            mine, other = ("l", "r") if turn % 2 == 0 else ("r", "l")
+            new = (x[mine] + _keyed(key + "ip", turn, x[other].cast("string"), F.lit(4096))) % 4096
+            return F.struct(*[(new if k == mine else x[k]).alias(k) for k in ("l", "r")])
+
+        return body
+
+    state = F.struct(F.floor(n / 4096).cast("long").alias("l"), (n % 4096).alias("r"))
+    for turn in range(TURNS):
+        state = _let(state, turned(turn))
+    joined = lambda x: x["l"] * 4096 + x["r"]
+    octets = lambda m: F.concat_ws(".", parts[0], F.floor(m / 65536).cast("string"), (F.floor(m / 256) % 256).cast("string"), (m % 256).cast("string"))
+    return _let(_let(state, joined), octets)
+
+
+def _birth(e: Column, key: str) -> Column:
+    """All dates are moved by the same keyed number of days, in their own format; dates that there are not stay."""
+    head = F.regexp_extract(e, rf"\A(?:{_BIRTH})", 0)
+    moved = F.lit(400 + int(hashlib.sha256(f"{key}|birth".encode()).hexdigest(), 16) % 4000)
+
+    def shown(x: Column) -> Column:
+        iso = x.rlike(r"\A\d{4}")
+        point = x.substr(F.lit(3), F.lit(1))
+        day = F.when(iso, x).otherwise(F.concat(x.substr(F.lit(7), F.lit(4)), F.lit("-"), x.substr(F.lit(4), F.lit(2)), F.lit("-"), x.substr(F.lit(1), F.lit(2))))
+        new = F.date_add(F.coalesce(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date"), F.lit("1970-01-01").cast("date")), moved)
+        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), point, F.date_format(new, "MM"), point, F.date_format(new, "yyyy")))
+
+    return F.concat(head, _let(e.substr(F.length(head) + 1, F.length(e)), shown))
 
 
 def _digest(value: Column, key: str, attempt: Column) -> Column:
@@ -195,77 +256,141 @@ def _lettered(e: Column, digest: Column) -> Column:
     return F.when(F.length(e) == 0, "").otherwise(F.array_join(F.transform(F.split(e, ""), swap), ""))
 
 
+def _growth(digest: Column, attempt: Column) -> Column:
+    """A letter more for every two attempts."""
+    more = F.floor(attempt / 2).cast("int")
+    return F.when(more < 1, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), more), lambda i: _pick(_LOWER, _byte(digest, i + 70))), ""))
+
+
 def _email(e: Column, key: str, attempt: Column) -> Column:
     """Everything but the last label and the punctuation replaced; case of letters doesn't tell addresses apart."""
     tail = F.regexp_extract(e, r"\.[^.]*\z", 0)
-    return _let(_digest(F.lower(e), key + "email", attempt), lambda d: F.concat(_lettered(F.left(e, F.length(e) - F.length(tail)), d), tail))
+    return _let(_digest(F.lower(e), key + "email", attempt), lambda d: F.concat(_growth(d, attempt), _lettered(F.left(e, F.length(e) - F.length(tail)), d), tail))
 
 
 def _secret(e: Column, key: str, attempt: Column) -> Column:
-    head = F.regexp_extract(e, rf"\A(?:{_PREFIX})", 0)
+    head = F.regexp_extract(e, rf"\A(?:{_PREFIX}|{_BEARER})", 0)
     value = e.substr(F.length(head) + 1, F.length(e))
-    return _let(F.struct(value.alias("v"), _digest(value, key + "secret", attempt).alias("d")), lambda x: F.concat(head, _lettered(x["v"], x["d"])))
+    return _let(F.struct(value.alias("v"), _digest(value, key + "secret", attempt).alias("d")), lambda x: F.concat(head, _lettered(x["v"], x["d"]), _growth(x["d"], attempt)))
+
+
+def _pem(e: Column, key: str, attempt: Column) -> Column:
+    """The lines that begin and end a key stay."""
+    head, tail = F.regexp_extract(e, r"\A-----[A-Z ]+-----", 0), F.regexp_extract(e, r"-----[A-Z ]+-----\z", 0)
+    body = e.substr(F.length(head) + 1, F.length(e) - F.length(head) - F.length(tail))
+    return _let(_digest(e, key + "pem", attempt), lambda d: F.concat(head, _lettered(body, d), _growth(d, attempt), tail))
 
 
 def _api_key(e: Column, key: str, attempt: Column) -> Column:
-    return _let(_digest(e, key + "key", attempt), lambda d: F.concat(F.left(e, F.lit(4)), _lettered(e.substr(F.lit(5), F.length(e)), d)))
+    return _let(_digest(e, key + "key", attempt), lambda d: F.concat(F.left(e, F.lit(4)), _lettered(e.substr(F.lit(5), F.length(e)), d), _growth(d, attempt)))
+
+
+def _ip6(e: Column, key: str, attempt: Column) -> Column:
+    """Groups keep their lengths and get other hexadecimal signs, the first of each not 0. An attempt more changes them all."""
+    swap = lambda d: lambda c, at: F.when(c.rlike("[0-9A-Fa-f]"), _pick("123456789abcdef", _byte(d, at + 1))).otherwise(c)
+    return _let(_digest(F.lower(e), key + "ip6", attempt), lambda d: F.array_join(F.transform(F.split(e, ""), swap(d)), ""))
 
 
-def _name(e: Column, key: str, attempt: Column, width: int) -> Column:
+def _iban(e: Column, key: str, attempt: Column) -> Column:
+    """Country and spaces kept, the account replaced sign by sign, its check digits right."""
+
+    def checked(x: Column) -> Column:
+        body = F.concat(F.left(x["v"], F.lit(2)), F.lit("00"), _lettered(x["v"].substr(F.lit(5), F.length(x["v"])), x["d"]))
+        return _let(body, lambda y: F.concat(F.left(y, F.lit(2)), F.lpad((98 - _mod97(y)).cast("string"), 2, "0"), y.substr(F.lit(5), F.length(y))))
+
+    def spaced(y: Column) -> Column:
+        at = lambda i: F.length(F.replace(e.substr(F.lit(1), i), F.lit(" "), F.lit("")))
+        sign = lambda i: F.when(e.substr(i, F.lit(1)) == " ", " ").otherwise(y.substr(at(i), F.lit(1)))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), sign), "")
+
+    whole = _let(F.replace(e, F.lit(" "), F.lit("")), lambda v: F.struct(v.alias("v"), _digest(v, key + "iban", attempt).alias("d")))
+    return _let(_let(whole, checked), spaced)
+
+
+def _address(e: Column, key: str, attempt: Column) -> Column:
+    """Letters and digits replaced; the word for a street, and the order of its parts, stay."""
+    kept = F.regexp_extract(e, rf"(?: {_STREET}|(?:straße|strasse|gasse|allee) \d+)\z", 0)
+    return _let(_digest(e, key + "address", attempt), lambda d: F.concat(_lettered(F.left(e, F.length(e) - F.length(kept)), d), _growth(d, attempt), F.when(kept.rlike("[0-9]"), _lettered_digits(kept, d)).otherwise(kept)))
+
+
+def _lettered_digits(e: Column, digest: Column) -> Column:
+    return F.array_join(F.transform(F.split(e, ""), lambda c, at: F.when(c.rlike("[0-9]"), _pick(_DIGITS, _byte(digest, at + 60))).otherwise(c)), "")
+
+
+def _gender(title: Column, first: Column) -> Column:
+    """f or m by a title, or else by a given name; null where neither tells."""
+    by_title = F.when(title.rlike(rf"\A(?:{'|'.join(TITLES['f'])})\b"), "f").when(title.rlike(rf"\A(?:{'|'.join(TITLES['m'])})\b"), "m")
+    named = {g: [*GIVEN[g, "latin"], *GIVEN[g, "cyrillic"], *COMMON[g]] for g in "fm"}
+    return F.coalesce(by_title, F.when(first.isin(*named["f"]), "f").when(first.isin(*named["m"]), "m"))
+
+
+def _parts(e: Column) -> Column:
+    """struct(title, first, last) of a name; the given name is empty where there is none."""
+    title = F.regexp_extract(e, rf"\A(?:{_TITLE})\b\.? ", 0)
+    return _let(F.struct(title.alias("t"), F.split(e.substr(F.length(title) + 1, F.length(e)), " ").alias("w")), lambda x: F.struct(x["t"].alias("title"), F.when(F.size(x["w"]) > 1, x["w"][0]).otherwise("").alias("first"), F.element_at(x["w"], -1).alias("last")))
+
+
+#: Syllables of a surname; more come with attempts.
+WIDTH = 3
+
+
+def _name(e: Column, key: str, attempt: Column) -> Column:
     """Title kept; a given name becomes another of its gender and script; a surname gets syllables of its script.
     Surnames are replaced by themselves, so that a person is the same with and without a given name."""
-    title = F.regexp_extract(e, rf"\A(?:{_TITLE})\b\.? ", 0)
 
     def given(x: Column) -> Column:
-        female = x["title"].rlike(rf"\A(?:{'|'.join(TITLES['f'])})") | x["first"].isin(*GIVEN["f", "latin"], *GIVEN["f", "cyrillic"])
-        male = x["title"].rlike(rf"\A(?:{'|'.join(TITLES['m'])})") | x["first"].isin(*GIVEN["m", "latin"], *GIVEN["m", "cyrillic"])
-        gender = F.when(female, "f").when(male, "m").when(_byte(x["d"], F.lit(9)) % 2 == 0, "f").otherwise("m")
+        gender = F.coalesce(_gender(x["title"], x["first"]), F.when(_byte(x["d"], F.lit(9)) % 2 == 0, "f").otherwise("m"))
         n = _byte(x["d"], F.lit(3))
         pick = lambda g: F.when(x["cyrillic"], _pick(GIVEN[g, "cyrillic"], n)).otherwise(_pick(GIVEN[g, "latin"], n))
         return F.when(x["first"] == "", "").otherwise(F.concat(F.when(gender == "f", pick("f")).otherwise(pick("m")), F.lit(" ")))
 
     def surname(x: Column) -> Column:
-        parts = [_byte(x["s"], F.lit(5 * k)) * 256 + _byte(x["s"], F.lit(5 * k + 1)) for k in range(width)]
-        return F.initcap(F.concat(*[F.when(x["cyrillic"], _pick(SYLLABLES["cyrillic"], p)).otherwise(_pick(SYLLABLES["latin"], p)) for p in parts]))
+        at = lambda k: _byte(x["s"], k * 5) * 256 + _byte(x["s"], k * 5 + 1)
+        syllable = lambda k: F.when(x["cyrillic"], _pick(SYLLABLES["cyrillic"], at(k))).otherwise(_pick(SYLLABLES["latin"], at(k)))
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.floor(attempt / 2).cast("int") + WIDTH), syllable), ""))
 
     def named(x: Column) -> Column:
         digests = F.struct(x["title"].alias("title"), x["first"].alias("first"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"), _digest(x["first"], key + "given", attempt).alias("d"), _digest(x["last"], key + "surname", attempt).alias("s"))
         return _let(digests, lambda y: F.concat(y["title"], given(y), surname(y)))
 
-    words = _let(F.struct(title.alias("t"), F.split(e.substr(F.length(title) + 1, F.length(e)), " ").alias("w")), lambda x: F.struct(x["t"].alias("title"), F.when(F.size(x["w"]) > 1, x["w"][0]).otherwise("").alias("first"), F.element_at(x["w"], -1).alias("last")))
-    return _let(words, named)
+    return _let(_parts(e), named)
 
 
 #: Types whose surrogates are hashed, and so may collide; the others' are permuted.
-HASHED = ("secret", "key", "email", "name")
+_HASHED = {"pem": _pem, "secret": _secret, "key": _api_key, "email": _email, "ip6": _ip6, "iban": _iban, "address": _address, "name": _name}
+HASHED = tuple(_HASHED)
 
 
-def hashed_surrogate(e: Column, kind: Column, key: str, attempt: Column, width: int = 3) -> Column:
-    return (
-        F.when(kind == "secret", _secret(e, key, attempt))
-        .when(kind == "key", _api_key(e, key, attempt))
-        .when(kind == "email", _email(e, key, attempt))
-        .when(kind == "name", _name(e, key, attempt, width))
-    )
+def hashed_surrogate(e: Column, kind: Column, key: str, attempt: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, make in _HASHED.items():
+        out = F.when(kind == name, make(e, key, attempt)).otherwise(out)
+    return out
 
 
-def surrogate(e: Column, kind: Column, key: str, attempt: Column, width: int = 3) -> Column:
+def surrogate(e: Column, kind: Column, key: str, attempt: Column) -> Column:
+    """What replaces an entity; itself where it has no type."""
     return (
-        F.when(kind.isin(*HASHED), hashed_surrogate(e, kind, key, attempt, width))
+        F.when(kind.isin(*HASHED), hashed_surrogate(e, kind, key, attempt))
         .when(kind == "ip", _ip(e, key))
+        .when(kind == "birth", _birth(e, key))
         .when(kind == "ssn", _ssn(e, key))
         .when(kind == "card", _card(e, key))
-        .otherwise(_phone(e, key))
+        .when(kind == "phone", _phone(e, key))
+        .otherwise(e)
     )
 
 
 def canonical(e: Column, kind: Column) -> Column:
-    """What makes two spellings one entity: case of addresses, separators of numbers, the words before a secret, a title."""
+    """What makes two spellings one entity: case of addresses, separators of numbers, the words before a secret, and of a
+    title its gender."""
+    person = lambda x: F.concat_ws("|", F.coalesce(_gender(x["title"], x["first"]), F.lit("")), F.concat_ws(" ", F.nullif(x["first"], F.lit("")), x["last"]))
     return (
         F.when(kind.isin("ssn", "card", "phone"), _digits(e))
-        .when(kind == "email", F.lower(e))
-        .when(kind == "secret", F.regexp_replace(e, rf"\A(?:{_PREFIX})", ""))
-        .when(kind == "name", F.regexp_replace(e, rf"\A(?:{_TITLE})\b\.? ", ""))
+        .when(kind.isin("email", "ip6"), F.lower(e))
+        .when(kind == "iban", F.regexp_replace(e, " ", ""))
+        .when(kind == "secret", F.regexp_replace(e, rf"\A(?:{_PREFIX}|{_BEARER})", ""))
+        .when(kind == "name", _let(_parts(e), person))
         .otherwise(e)
     )
 
@@ -273,54 +398,71 @@ def canonical(e: Column, kind: Column) -> Column:
 def entities(docs: DataFrame) -> DataFrame:
     """(kind, value, entity) of each distinct entity: its canonical value, and the least of its spellings."""
     found = docs.where(may_hold(F.col("text"))).select(F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("entity"))
-    found = found.groupBy("entity").agg(F.lit(1)).select("entity").withColumn("kind", type_of(F.col("entity")))
+    found = found.groupBy("entity").agg(F.lit(1)).select("entity").withColumn("kind", type_of(F.col("entity"))).where("kind is not null")
     return found.withColumn("value", canonical(F.col("entity"), F.col("kind"))).groupBy("kind", "value").agg(F.min("entity").alias("entity"))
 
 
-def changes(found: DataFrame, key: str, width: int = 3) -> tuple[dict[str, int], int]:
-    """Attempts other than the first by canonical value, and the syllables of surnames: with these, no two entities
-    have the same surrogate, and no surrogate is an entity of the corpus.
+def changes(found: DataFrame, key: str) -> DataFrame:
+    """(kind, value, attempt) of the entities whose surrogate isn't the first: with these, no two entities have the same
+    surrogate, and no surrogate is an entity of the corpus.
 
     Numbers are permuted and cannot collide with one another; one that maps onto another entity's value is no harm
-    to distinctness, as that one moves on as well. The others are hashed: of those that meet, all but the least take
-    the next attempt, until none meet. Distinct entities are compared by their surrogates' groups, not in pairs."""
-    hashed = found.where(F.col("kind").isin(*HASHED))
-    while True:
-        now = hashed.withColumn("attempt", F.lit(0))
-        for _ in range(ROUNDS):
-            now = now.withColumn("out", canonical(hashed_surrogate(F.col("entity"), F.col("kind"), key, F.col("attempt"), width), F.col("kind")))
-            now = written(now, "pii-surrogates")
-            meet = now.groupBy("kind", "out").agg(F.min("value").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-            taken = now.select("kind", F.col("value").alias("out")).withColumn("taken", F.lit(True))
-            marked = now.join(meet, ["kind", "out"], "left").join(taken, ["kind", "out"], "left")
-            again = F.coalesce(F.col("taken"), F.lit(False)) | F.coalesce(F.col("value") != F.col("least"), F.lit(False))
-            marked = written(marked.withColumn("again", again).withColumn("attempt", F.col("attempt") + again.cast("int")), "pii-marked")
-            if marked.where("again").isEmpty():
-                changed = marked.where("attempt > 0").select("kind", "value", "attempt").limit(MOST_CHANGED + 1).collect()
-                if len(changed) <= MOST_CHANGED:
-                    return {f"{r['kind']}|{r['value']}": r["attempt"] for r in changed}, width
-                break
-            now = marked.drop("out", "least", "taken", "again")
-        width += 1
-
-
-def replace_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
+    to distinctness, as that one moves on as well. The others are hashed: of those that meet, all but the one with the
+    fewest attempts and the least value take the next attempt, until none meet; later attempts are longer, so none
+    fights for a shape that is used up. Distinct entities are compared by their surrogates' groups, not in pairs, and
+    an entity that has found its place is not worked out again."""
+    hashed = written(found.where(F.col("kind").isin(*HASHED)).select("kind", "value", "entity"), "pii-hashed")
+    taken = hashed.select("kind", F.col("value").alias("out"))
+    out = lambda: canonical(hashed_surrogate(F.col("entity"), F.col("kind"), key, F.col("attempt")), F.col("kind"))
+    settled = hashed.sparkSession.createDataFrame([], "kind string, value string, attempt int, out string")
+    left = hashed.withColumn("attempt", F.lit(0))
+    for _ in range(MOST_ATTEMPTS):
+        now = written(left.withColumn("out", out()), "pii-surrogates")
+        # Groups of one surrogate are of any size where a shape is used up; only their least value is kept, map-side first.
+        first = now.join(settled.select("kind", "out"), ["kind", "out"], "left_anti").join(taken, ["kind", "out"], "left_anti")
+        first = first.groupBy("kind", "out").agg(F.min("value").alias("value"))
+        won = written(first, "pii-won")
+        settled = written(settled.unionByName(now.join(won, ["kind", "out", "value"]).select("kind", "value", "attempt", "out")), "pii-settled")
+        left = written(now.join(won, ["kind", "value"], "left_anti").select("kind", "value", "entity", (F.col("attempt") + 1).alias("attempt")), "pii-left")
+        if left.isEmpty():
+            return settled.where("attempt > 0").select("kind", "value", "attempt")
+    raise RuntimeError(f"surrogates still collide after {MOST_ATTEMPTS} attempts")
+
+
+def _marked(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """`docs` with __attempts, a map from kind|value to the attempt of the text's changed entities (null: none). Changed
+    entities are joined to the texts that hold them, by digest; a map is no larger than its text."""
+    digest = digest_of(F.col("text"))
+    held = docs.where(may_hold(F.col("text"))).select(digest.alias("__sha"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))).alias("e"))
+    held = held.withColumn("kind", type_of(F.col("e"))).where("kind is not null").withColumn("value", canonical(F.col("e"), F.col("kind")))
+    held = held.join(changed, ["kind", "value"]).select("__sha", F.concat_ws("|", "kind", "value").alias("k"), "attempt").distinct()
+    maps = written(held.groupBy("__sha").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("__attempts")), "pii-maps")
+    maps = F.broadcast(maps) if maps.count() <= MOST_CHANGED else maps
+    return docs.withColumn("__sha", digest).join(maps, "__sha", "left").drop("__sha")
+
+
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """`docs` (text, and what else it has) with entities in text replaced, and n_entities and n_<type> for each type.
 
     Equal entities, however spelled, get equal surrogates in all documents under one `key`, different ones
-    different surrogates; text around them stays as it is. Null text stays null and has no entities. Repeated
-    rows change alike; an empty table gives no rows. Columns of `docs` with the new names are replaced.
+    different surrogates; text around them stays as it is. Numbers that look like cards or accounts but have wrong check
+    digits are no entities. Null text stays null and has no entities. Repeated rows change alike; an empty table gives no
+    rows. Columns of `docs` with the new names are replaced. Whoever knows the key can tell numbers from their surrogates.
 
     One pass finds the distinct entities, whose table alone is shuffled to settle collisions; another rewrites each
     text in place."""
     docs = docs.drop("n_entities", *[f"n_{k}" for k in TYPES])
-    changed, width = changes(written(entities(docs), "pii-entities"), key)
-    literal = F.create_map(*[F.lit(x) for kv in sorted(changed.items()) for x in kv]) if changed else None
+    changed = written(changes(written(entities(docs), "pii-entities"), key), "pii-changed")
+    few = changed.limit(MOST_CHANGED + 1).collect()
+    if len(few) > MOST_CHANGED:
+        docs, attempts = _marked(docs, changed), F.col("__attempts")
+    else:
+        attempts = F.create_map(*[F.lit(x) for r in sorted(few) for x in (f"{r['kind']}|{r['value']}", r["attempt"])]) if few else None
 
     def swapped(x: Column) -> Column:
         e, kind = x["e"], x["kind"]
-        attempt = F.coalesce(F.element_at(literal, F.concat(kind, F.lit("|"), canonical(e, kind))), F.lit(0)) if literal is not None else F.lit(0)
-        return F.struct(kind.alias("kind"), surrogate(e, kind, key, attempt, width).alias("out"))
+        attempt = F.coalesce(F.element_at(attempts, F.concat(kind, F.lit("|"), canonical(e, kind))), F.lit(0)) if attempts is not None else F.lit(0)
+        return _let(attempt, lambda a: F.struct(kind.alias("kind"), surrogate(e, kind, key, a).alias("out")))
 
     has = may_hold(F.col("text"))
     typed = F.transform(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), lambda e: F.struct(e.alias("e"), type_of(e).alias("kind")))
@@ -328,8 +470,8 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     gaps = F.split("text", ENTITY, -1)
     pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__found.out", i), F.lit(""))))
     x = x.withColumn("text", F.when(has, F.array_join(pieces, "")).otherwise(F.col("text")))
-    counts = {"n_entities": F.coalesce(F.size("__found"), F.lit(0))}
-    counts["n_entities"] = F.when(F.col("__found").isNull(), 0).otherwise(F.size("__found")).cast("long")
+    kinds = F.coalesce(F.filter("__found.kind", lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    counts = {"n_entities": F.size(kinds).cast("long")}
     for kind in TYPES:
-        counts[f"n_{kind}"] = F.when(F.col("__found").isNull(), 0).otherwise(F.size(F.filter("__found.kind", lambda k: k == kind))).cast("long")  # noqa: B023
-    return x.withColumns(counts).drop("__found")
+        counts[f"n_{kind}"] = F.size(F.filter(kinds, lambda k: k == kind)).cast("long")  # noqa: B023
+    return x.withColumns(counts).drop("__found", "__attempts")
