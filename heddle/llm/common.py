@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +36,8 @@ _TABLES: list[str] = []
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written as Parquet to the shared folder and read again: lineage ends there, and a lost
-    executor costs no recomputation. The files go at the end of the `temporaries` it was written in, or else when the
-    driver's JVM ends."""
+    executor costs no recomputation. The files go when a table made from it is `settled`, or else when the driver's JVM
+    ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return kept(df.sparkSession, path, df.schema)
@@ -71,15 +71,27 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
-@contextmanager
-def temporaries(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that were `written` within, when the rows that need them have been written elsewhere."""
-    before = len(_TABLES)
-    yield
-    for path in _TABLES[before:]:
-        files, at = _files(spark, path)
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """`df`, written as by `written`; the tables written since there were `since` of them, which it was made from, go."""
+    out = written(df, name)
+    spare = _TABLES[since:-1]
+    del _TABLES[since:-1]
+    for path in spare:
+        files, at = _files(df.sparkSession, path)
         files.delete(at, True)
-    del _TABLES[before:]
+    return out
+
+
+def tables() -> int:
+    """How many tables are written and still there."""
+    return len(_TABLES)
+
+
+def apart(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], names: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """operator(docs), and the columns that give back those of `docs`, also those that are called like one of `names`,
+    which the operator adds."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in set(names)}
+    return operator(docs.withColumnsRenamed(own)), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
 
 
 def digest_of(text: Column) -> Column:

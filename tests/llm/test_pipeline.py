@@ -45,6 +45,28 @@ def test_dedup_stages(staged):
     assert {r["doc_id"] for r in near} == {i for i, (_, c) in parts.items() if i == c}
 
 
+def test_stages_on_odd_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clash = {c: F.lit(f"own {c}") for c in ("size", "source_size", "target", "copies", "lang_pred", "score", "keep_id", "kept", "component_id", "text_sha256", "node")}
+    long = spark.createDataFrame([(10**6, "the of and that was with this from " * 40_000, "en", "long", 1)], docs.schema)
+    odd = docs.unionByName(docs).unionByName(long).withColumns(clash)
+    for table, empty in ((odd, False), (odd.limit(0), True)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, sf_dir)
+            assert out.isEmpty() == empty, name
+            if name != "packing":
+                assert out.columns == odd.columns and out.where(" or ".join(f"{c} <> 'own {c}'" for c in clash)).isEmpty()
+    assert corpus_pipeline.exact(spark, odd, sf_dir).count() == docs.select("text").distinct().count() + 1
+
+
+def test_run_deletes_what_stages_wrote(spark, sf_dir):
+    from heddle.llm import common
+
+    before = common.tables()
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert common.tables() == before + 1 and out.count() > 0
+
+
 def test_run_gives_the_last_stage(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns[:3] == ["doc_id", "start", "length"]
     assert language.UNDETERMINED == "und"
