@@ -45,13 +45,19 @@ def missing_fields(c: Column) -> Column:
     return F.array_compact(F.array(F.when(no_verdict, "Verdict"), F.when(issue, "Primary Issue"), F.when(no_body, "Critique")))
 
 
+#: The sentences of a critique that stands in for one that could not be read.
+FAILED, FIELDS = "Critique parsing failed.\n", "Missing or invalid fields: "
+USE_SAID = ".\nUse the constitution and any useful critique content below to rewrite the response correctly."
+USE_RULES = ".\nUse the constitution to rewrite the response correctly."
+ALL_FIELDS = "Verdict, Primary Issue, Critique"
+
+
 def fallback_critique(attempts: Column, parsed: Column) -> Column:
     """Text that stands in for a critique none of whose attempts could be read: the fields missing from invalid attempts
     and what the attempts said."""
     said = F.filter(F.transform(attempts, lambda t: stripped(F.coalesce(t, F.lit("")))), lambda t: t != "")
     fields = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(parsed, lambda p: ~p["valid"]), missing_fields))))
     named = F.when(F.size(fields) > 0, F.array_join(fields, ", ")).otherwise("unknown")
-    head = F.concat(F.lit("Critique parsing failed.\nMissing or invalid fields: "), named, F.lit(".\nUse the constitution and any useful critique content below to rewrite the response correctly."))
+    head = F.concat(F.lit(FAILED + FIELDS), named, F.lit(USE_SAID))
     tail = F.array_join(F.transform(said, lambda t, i: F.concat(F.lit("\nAttempt "), (i + 1).cast("string"), F.lit(" raw critique:\n"), t)), "")
-    empty = "Critique parsing failed.\nMissing or invalid fields: Verdict, Primary Issue, Critique.\nUse the constitution to rewrite the response correctly."
-    return F.when(F.size(said) == 0, empty).otherwise(F.concat(head, tail))
+    return F.when(F.size(said) == 0, FAILED + FIELDS + ALL_FIELDS + USE_RULES).otherwise(F.concat(head, tail))

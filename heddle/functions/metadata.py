@@ -54,27 +54,44 @@ def model_family(key: Column, family: Column, model: Column) -> Column:
     return F.when(hay.contains("llama"), "llama").when(hay.contains("gemma"), "gemma").when(family != "", family).otherwise("unknown")
 
 
+#: Words in a run's names, and what they tell, the first that holds.
+GROUP_WORDS = {"CAI": ("self_full", "_model_eval"), "Post-Training": ("sft_zeroshot_eval", "dpo_zeroshot_eval"), "Probe": ("probe",), "Prompting": ("4shot", "4-shot", "zeroshot", "zero-shot")}
+CAI_WORDS = {"DPO (From SFT)": ("dpo_from_sft",), "DPO (Base)": ("dpo_base",), "DPO": ("dpo",), "SFT": ("sft",)}
+POST_WORDS = {"DPO": ("dpo",), "SFT": ("sft",)}
+SHOT_WORDS = {"4-shot": ("4shot", "4-shot"), "Zero-shot": ("zeroshot", "zero-shot")}
+PROBE_WORDS = {"4-shot": ("4shot", "4-shot"), "Zero-shot": ("zeroshot", "zero-shot", "probe_base")}
+SOURCE_WORDS = {
+    "Post-Training SFT": ("_sft_probe", "sft_zeroshot_eval"),
+    "Post-Training DPO": ("_dpo_probe", "dpo_zeroshot_eval"),
+    "Prompting 4-shot": ("probe_4shot", "4shot", "4-shot"),
+    "Prompting Zero-shot": ("probe_base", "zeroshot", "zero-shot"),
+}
+#: What a number of shots tells where words don't.
+SHOTS = {4: ("4-shot", "Prompting 4-shot"), 0: ("Zero-shot", "Prompting Zero-shot")}
+
+
+def told(hay: Column, words: dict[str, tuple[str, ...]], otherwise, shots: Column | None = None) -> Column:
+    """The first name of `words` any of whose words is in `hay`, or that the number of shots stands for; else `otherwise`."""
+    out = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
+    for name, any_of in reversed(words.items()):
+        holds = _holds(hay, *any_of)
+        for n, names in SHOTS.items():
+            holds = holds | (shots == n) if shots is not None and name in names else holds
+        out = F.when(holds, name).otherwise(out)
+    return out
+
+
 def run_group(key: Column, output_dir: Column, model: Column, source: Column) -> Column:
-    hay = haystack(key, output_dir, model)
-    return (
-        F.when(source.isin("Prompting", "Post-Training", "CAI", "Probe"), source)
-        .when(_holds(hay, "self_full", "_model_eval"), "CAI")
-        .when(_holds(hay, "sft_zeroshot_eval", "dpo_zeroshot_eval"), "Post-Training")
-        .when(_holds(hay, "probe"), "Probe")
-        .when(_holds(hay, "4shot", "4-shot", "zeroshot", "zero-shot"), "Prompting")
-        .otherwise("Unknown")
-    )
+    return F.when(source.isin(*GROUP_WORDS), source).otherwise(told(haystack(key, output_dir, model), GROUP_WORDS, "Unknown"))
 
 
 def eval_variant(key: Column, output_dir: Column, model: Column, shots: Column, group: Column) -> Column:
     hay, shots = haystack(key, output_dir, model), F.coalesce(shots, F.lit(0)).cast("int")
-    four, zero, named = _holds(hay, "4shot", "4-shot") | (shots == 4), _holds(hay, "zeroshot", "zero-shot") | (shots == 0), F.concat(shots.cast("string"), F.lit("-shot"))
-    dpo, sft = hay.contains("dpo"), hay.contains("sft")
-    in_cai = F.when(hay.contains("dpo_from_sft"), "DPO (From SFT)").when(hay.contains("dpo_base"), "DPO (Base)").when(dpo, "DPO").when(sft, "SFT").otherwise("Unknown")
-    in_post = F.when(dpo, "DPO").when(sft, "SFT").otherwise("Unknown")
-    in_prompting = F.when(four, "4-shot").when(zero, "Zero-shot").otherwise(named)
-    elsewhere = F.when(dpo, "DPO").when(sft, "SFT").when(four, "4-shot").when(shots == 0, "Zero-shot").otherwise(named)
-    return F.when(group == "CAI", in_cai).when(group == "Post-Training", in_post).when(group == "Prompting", in_prompting).otherwise(elsewhere)
+    named = F.concat(shots.cast("string"), F.lit("-shot"))
+    in_prompting = told(hay, SHOT_WORDS, named, shots)
+    # Elsewhere, words for zero shots alone don't tell.
+    elsewhere = told(hay, POST_WORDS, told(hay, {"4-shot": SHOT_WORDS["4-shot"], "Zero-shot": ()}, named, shots))
+    return F.when(group == "CAI", told(hay, CAI_WORDS, "Unknown")).when(group == "Post-Training", told(hay, POST_WORDS, "Unknown")).when(group == "Prompting", in_prompting).otherwise(elsewhere)
 
 
 def layer_name(tag: Column) -> Column:
@@ -84,19 +101,11 @@ def layer_name(tag: Column) -> Column:
 
 
 def probe_setting(key: Column, samples: Column, output_dir: Column) -> Column:
-    hay = haystack(key, samples, output_dir)
-    return F.when(_holds(hay, "4shot", "4-shot"), "4-shot").when(_holds(hay, "zeroshot", "zero-shot", "probe_base"), "Zero-shot").otherwise("Unknown")
+    return told(haystack(key, samples, output_dir), PROBE_WORDS, "Unknown")
 
 
 def probe_source(key: Column, samples: Column, output_dir: Column, model: Column, shots: Column) -> Column:
-    hay, shots = haystack(key, samples, output_dir, model), F.coalesce(shots, F.lit(0)).cast("int")
-    return (
-        F.when(_holds(hay, "_sft_probe", "sft_zeroshot_eval"), "Post-Training SFT")
-        .when(_holds(hay, "_dpo_probe", "dpo_zeroshot_eval"), "Post-Training DPO")
-        .when(_holds(hay, "probe_4shot", "4shot", "4-shot") | (shots == 4), "Prompting 4-shot")
-        .when(_holds(hay, "probe_base", "zeroshot", "zero-shot") | (shots == 0), "Prompting Zero-shot")
-        .otherwise("Unknown source")
-    )
+    return told(haystack(key, samples, output_dir, model), SOURCE_WORDS, "Unknown source", F.coalesce(shots, F.lit(0)).cast("int"))
 
 
 def family_name(family: Column, short: bool = False) -> Column:
@@ -150,6 +159,20 @@ def decimals(c: Column, signed: bool = False, bold: Column | None = None) -> Col
     return text if bold is None else F.when(bold, F.concat(F.lit("\\textbf{"), text, F.lit("}"))).otherwise(text)
 
 
+def percent(c: Column, places: int = 1) -> Column:
+    """A share as a percentage."""
+    return F.format_string(f"%.{places}f%%", c * 100)
+
+
+def layer_count(config, name: str = "num_hidden_layers") -> int | None:
+    """A setting of a model's configuration, at the top or in the first of the configurations within that has it."""
+    if not isinstance(config, dict):
+        return None
+    if config.get(name) is not None:
+        return int(config[name])
+    return next((found for value in config.values() if (found := layer_count(value, name)) is not None), None)
+
+
 def redacted(c: Column) -> Column:
     """A secret setting as it may be written down."""
     return F.when(c.isNotNull() & (c != ""), "[REDACTED]").otherwise(c)

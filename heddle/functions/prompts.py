@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import capitalized, stripped
+from .text import capitalized, filled, stripped
 
 #: Instructions and turn formats of the two model families.
 LLAMA_SYSTEM = """You are an expert in composing functions. You are given a question and a set of possible functions.
@@ -81,3 +81,28 @@ def chat(family: str, text: Column) -> Column:
         raise ValueError(f"no chat format for family {family!r}")
     before, after = wraps[family]
     return F.concat(F.lit(before), text, F.lit(after))
+
+
+def judged_prompt(family: str, template: Column | str, constitution: Column, request: Column, tools: Column, **answers: Column) -> Column:
+    """A judge's template filled in: CONSTITUTION, USER_REQUEST and TOOLS, and then the answers by their names, stripped."""
+    values = {"CONSTITUTION": constitution, "USER_REQUEST": request, "TOOLS": tools} | {k: stripped(v) for k, v in answers.items()}
+    return chat(family, filled(template, **values))
+
+
+def critique_prompt(family: str, template: Column | str, constitution: Column, request: Column, tools: Column, response: Column) -> Column:
+    return judged_prompt(family, template, constitution, request, tools, ASSISTANT_RESPONSE=response)
+
+
+def revision_prompt(family: str, template: Column | str, constitution: Column, request: Column, tools: Column, response: Column, critique: Column) -> Column:
+    return judged_prompt(family, template, constitution, request, tools, ASSISTANT_RESPONSE=response, CRITIQUE=critique)
+
+
+def preference_prompt(family: str, template: Column | str, constitution: Column, request: Column, tools: Column, a: Column, b: Column) -> Column:
+    return judged_prompt(family, template, constitution, request, tools, RESPONSE_A=a, RESPONSE_B=b)
+
+
+def preference_example(family: str, tools: Column, messages: Column, chosen: Column, rejected: Column) -> Column:
+    """struct(prompt, chosen, rejected): the messages as context, and both answers as the family writes them."""
+    from .toolcall import rendered
+
+    return F.struct(training_prompt(family, tools, messages).alias("prompt"), rendered(chosen, family).alias("chosen"), rendered(rejected, family).alias("rejected"))

@@ -50,11 +50,11 @@ def latest(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     return kept.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def compared(probe: DataFrame, samples: DataFrame, key: str = "uuid") -> DataFrame:
-    """Probe rows with the model's sample of the same key; `matched` tells whether there is one, `same_gold` whether
-    its gold label agrees."""
-    right = samples.select(key, F.col("gold").alias("sample_gold"), "pred_raw", "pred_norm", F.lit(True).alias("__has"))
-    out = probe.join(right, key, "left")
+def compared(probe: DataFrame, samples: DataFrame, key: str = "uuid", ordinal: str | None = None) -> DataFrame:
+    """Probe rows with the model's sample of the same key, the one of the largest `ordinal` (by default the last that is
+    read); `matched` tells whether there is one, `same_gold` whether its gold label agrees."""
+    right = samples.select(key, F.col("gold").alias("sample_gold"), "pred_raw", "pred_norm", F.lit(True).alias("__has"), (F.col(ordinal) if ordinal else F.monotonically_increasing_id()).alias("__at"))
+    out = probe.join(latest(right, key, "__at").drop("__at"), key, "left")
     return out.withColumn("matched", F.coalesce("__has", F.lit(False))).withColumn("same_gold", F.coalesce(F.col("gold") == F.col("sample_gold"), F.lit(False))).drop("__has")
 
 
@@ -68,6 +68,14 @@ def audit(joined: DataFrame) -> DataFrame:
     )
 
 
+def overlap(joined: DataFrame) -> DataFrame:
+    """The matched rows; an error if there are none."""
+    out = joined.where("matched")
+    if out.isEmpty():
+        raise IntegrityError("no key of the probe's rows is among the samples")
+    return out
+
+
 def conflicting(rows: DataFrame, key: str, label: str) -> DataFrame:
     """(key, n_labels, n_rows) of keys whose rows bear more than one label."""
     by = rows.groupBy(key, label).agg(F.count(F.lit(1)).alias("__n"))

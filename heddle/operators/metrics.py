@@ -120,9 +120,14 @@ def agreement(rows: DataFrame, by: str, a: str, b: str, labels: tuple[str, ...])
     return sums.select(by, "n", "n_inside", "n_outside", ratio(F.col("s"), F.col("n")).alias("agreement"), ratio(F.col("si"), F.col("n_inside")).alias("agreement_inside"))
 
 
+def restricted(rows: DataFrame, by: str, model: str, probe: str, labels: tuple[str, ...]) -> DataFrame:
+    """The summary of a probe against a model's predictions, over rows whose prediction is among the labels."""
+    return summary(cells(rows.where(F.col(model).isin(*labels)), by, model, probe), by, labels)
+
+
 def best_choice(scores: DataFrame, by: str, labels: tuple[str, ...]) -> DataFrame:
     """(by, pred_raw, pred_norm): the label of the largest score, and of the largest score per byte of its text; ties go to the
     earlier label. `scores` has label, score and text."""
     place = F.array_position(F.array(*map(F.lit, labels)), F.col("label"))
     score = lambda c: F.struct(c, -place)
-    return scores.groupBy(by).agg(F.max_by("label", score(F.col("score"))).alias("pred_raw"), F.max_by("label", score(F.col("score") / F.octet_length("text"))).alias("pred_norm"))
+    return scores.groupBy(by).agg(F.max_by("label", score(F.col("score"))).alias("pred_raw"), F.max_by("label", score(F.try_divide("score", F.octet_length("text")))).alias("pred_norm"))

@@ -16,9 +16,11 @@ PENALTIES = (0.01, 0.1, 1.0, 10.0)
 
 
 def pipeline(inverse_penalty: float, n: int, iterations: int = 100) -> Pipeline:
-    """Scaling to unit deviation, then regression with the sum-of-loss penalty 1 / (2 C) spread over n rows."""
+    """Scaling to unit deviation, then regression with the sum-of-loss penalty 1 / (2 C) spread over n rows. The scaler's
+    deviation is the sample's; with that of the rows themselves weights would be smaller by sqrt((n - 1) / n), so the penalty
+    is made up for that."""
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="vector", outputCol="scaled")
-    model = LogisticRegression(featuresCol="scaled", labelCol="label", family="multinomial", standardization=False, regParam=1.0 / (inverse_penalty * max(n, 1)), elasticNetParam=0.0, maxIter=iterations)
+    model = LogisticRegression(featuresCol="scaled", labelCol="label", family="multinomial", standardization=False, regParam=max(n - 1, 1) / max(n, 1) / (inverse_penalty * max(n, 1)), elasticNetParam=0.0, maxIter=iterations)
     return Pipeline(stages=[scaler, model])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import response_class, stripped
+from ..functions.toolcall import tools_key
 from ..schemas import PROBE_LABELS
 
 
@@ -47,8 +48,9 @@ def behavior_label(explicit: Column, answer: Column, chosen: Column, allowed: tu
 
 
 def request_key(messages: Column, tools: Column) -> Column:
-    """What makes two rows one request: the first message's text and the tools, whatever their order."""
-    return F.struct(stripped(F.coalesce(F.get(messages, F.lit(0))["content"], F.lit(""))).alias("request"), F.array_sort(tools).alias("tools"))
+    """What makes two rows one request: the first message's text, and the tools (JSON text) by name, the last of a name,
+    whatever the order and spacing of their specifications."""
+    return F.struct(stripped(F.coalesce(F.get(messages, F.lit(0))["content"], F.lit(""))).alias("request"), tools_key(tools).alias("tools"))
 
 
 def sft_export(rows: DataFrame, response: Column) -> DataFrame:
@@ -72,6 +74,26 @@ def distinct_candidates(samples: DataFrame, wanted: int = 2) -> DataFrame:
     return first.withColumn("place", place).where(F.col("place") <= wanted)
 
 
+def response_pairs(samples: DataFrame) -> DataFrame:
+    """(example_id, sampling_attempts, distinct_candidates_found, response_a, response_b) of samples (example_id, attempt,
+    answer): the first two distinct answers, the last sample standing in for a second one. A prompt has a bounded number of
+    samples."""
+    by = samples.groupBy("example_id", "answer").agg(F.min("attempt").alias("first"), F.max("attempt").alias("last"), F.count(F.lit(1)).alias("n"))
+    whole = by.groupBy("example_id").agg(F.sum("n").alias("sampling_attempts"), F.array_sort(F.collect_list(F.struct("first", "answer"))).alias("__d"), F.max_by("answer", "last").alias("__last"))
+    second = F.coalesce(F.get("__d", F.lit(1))["answer"], F.col("__last"))
+    return whole.select("example_id", "sampling_attempts", F.size("__d").cast("long").alias("distinct_candidates_found"), F.get("__d", F.lit(0))["answer"].alias("response_a"), second.alias("response_b"))
+
+
+def real(placeholder: Column) -> Column:
+    """Whether a row is no placeholder; a row that doesn't say is real."""
+    return ~F.coalesce(placeholder, F.lit(False))
+
+
+def scored(scoring: Column, wanted: str, label: Column, labels: tuple[str, ...]) -> Column:
+    """Whether a row is of one scoring and of a label in a list."""
+    return F.coalesce((scoring == wanted) & label.isin(*labels), F.lit(False))
+
+
 def first_of_each(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """The first n rows of each group. Rows go through a per-group top n; none but those n are kept while it sorts."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= n)

@@ -110,6 +110,25 @@ def placeholders(missing: DataFrame, scorings: tuple[str, ...], classes: tuple[s
     return out.withColumns({"accuracy": zero, "macro_f1": zero, "is_placeholder": F.lit(True)})
 
 
+def pending_probes(missing: DataFrame, scorings: tuple[str, ...], classes: tuple[str, ...], key: str = "run_key") -> DataFrame:
+    """Placeholders of probes that are still to be run."""
+    return placeholders(missing, scorings, classes, key).withColumn("is_probe_pending", F.lit(True))
+
+
+def with_panels(pending: DataFrame, panels: DataFrame, key: str = "run_display") -> DataFrame:
+    """Pending rows with the panel that their run is shown in; rows without one stay. `panels` has a row per run."""
+    return pending.join(panels.select(key, "panel").dropDuplicates([key]), key, "left")
+
+
+def value_counts(rows: DataFrame, column: str) -> DataFrame:
+    """(column, n), the commonest value first, equal numbers by value."""
+    return counts_of(rows, column).orderBy(F.desc("n"), column)
+
+
+def counts_of(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
 def extrema(rows: DataFrame, preferences: dict[str, str], eligible: Column | None = None) -> DataFrame:
     """`rows` with <column>_best: whether a value is its column's max or min among eligible rows, to within EPSILON.
     The extremes are one row, joined to all."""

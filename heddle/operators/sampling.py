@@ -83,6 +83,21 @@ def leading(rows: DataFrame, by: str, ordinal: str, n: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(ordinal))).where(F.col("place") <= n)
 
 
+def smoke(rows: DataFrame, by: str, ordinal: str, total: int, classes: int = 3) -> DataFrame:
+    """The first rows of each class, `total` in all; an error if they can't be shared evenly or a class is short."""
+    if total <= 0 or total % classes:
+        raise ValueError(f"{total} rows can't be shared evenly by {classes} classes")
+    return leading(rows, by, ordinal, total // classes)
+
+
+def check_even(rows: DataFrame, by: str) -> int:
+    """Rows of each class; an error unless all have the same number."""
+    least, most = class_counts(rows, by).agg(F.min("n"), F.max("n")).first()
+    if least != most:
+        raise ValueError(f"classes have {least} to {most} rows")
+    return least or 0
+
+
 def replayed(sizes: dict[str, int], n: int, seed: int) -> dict[str, list[int]]:
     """Ordinals that a sequential sampler with one generator picks from pools of these sizes, in the pools' order.
     Picks depend on sizes only, so they are made here and joined to the pools by ordinal."""

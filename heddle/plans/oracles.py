@@ -7,7 +7,7 @@ from ..functions import metadata as M
 from ..functions.text import PAYLOAD
 from ..schemas import LABELS, PROBE_LABELS, RESPONSE_CLASSES
 from .fixtures import TOOLS, quoted, sql_asks, sql_class, sql_marker, sql_payload, sql_refuses, sql_strip, with_tables
-from .queries import RUNS, SEED, SHOTS, TEMPLATE
+from .queries import JUDGE_TEMPLATE, REVISED, RUNS, SEED, SHOTS, TEMPLATE
 
 PERCENT = "round_even(100.0::DOUBLE * {n} / {all} * 100, 0) / 100"
 
@@ -182,6 +182,79 @@ _INSIDE = "(" + ", ".join(map(quoted, PROBE_LABELS)) + ")"
 _SPLIT = "CASE WHEN place <= round(n * {share})::BIGINT THEN 'eval' ELSE 'train' END AS split"
 
 
+#: What is known of the eight kinds of derived responses, by conv_id % 8: the kinds that are calls, and why some aren't valid.
+_CALLS = "conv_id % 8 IN (2, 3, 4, 7)"
+_EVALUATED = (
+    f"ev AS (SELECT conv_id, response, CASE WHEN {_CALLS} THEN 'tool_call' ELSE {sql_class(sql_strip('response'))} END AS class,"
+    " CASE conv_id % 8 WHEN 2 THEN 'valid_tool_call' WHEN 7 THEN 'valid_tool_call' WHEN 3 THEN 'invalid_tool_call' WHEN 4 THEN 'invalid_tool_call' WHEN 6 THEN 'empty' ELSE 'plain_text' END AS structural_kind,"
+    " conv_id % 8 NOT IN (3, 4, 6) AS valid, CASE conv_id % 8 WHEN 3 THEN 'missing_required:id' WHEN 4 THEN 'unknown_tool' WHEN 6 THEN 'empty_response' END AS reason,"
+    " CASE conv_id % 8 WHEN 2 THEN 2 WHEN 7 THEN 2 WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 6 THEN 0 ELSE 1 END::INT AS score FROM responses)"
+)
+
+
+def _counted(measure: str, value: str, table: str, where: str = "true") -> str:
+    return f"SELECT '{measure}' AS measure, {value} AS value, count(*) AS n FROM {table} WHERE ({where}) AND {value} IS NOT NULL GROUP BY {value}"
+
+
+def _total(measure: str, n: str, table: str) -> str:
+    return f"SELECT '{measure}' AS measure, '' AS value, {n} AS n FROM {table}"
+
+
+def _judge_prompt(answers: dict[str, str], before: str, after: str) -> str:
+    out = quoted(JUDGE_TEMPLATE)
+    for name, value in {"CONSTITUTION": "'Call tools when they fit.'", "USER_REQUEST": _conversation(UNANSWERED), "TOOLS": quoted(TOOLS), **{k: sql_strip(v) for k, v in answers.items()}}.items():
+        out = f"replace({out}, '{{{{{name}}}}}', {value})"
+    return f"{quoted(before)} || {out} || {quoted(after)}"
+
+
+def _stage_sql() -> dict[str, str]:
+    arguments = "CASE conv_id % 8 WHEN 2 THEN '{\"id\":' || conv_id || '}' WHEN 7 THEN '{\"id\":' || conv_id || '}' WHEN 3 THEN '{}' WHEN 4 THEN '{}' END"
+    name = "CASE conv_id % 8 WHEN 2 THEN 'lookup' WHEN 3 THEN 'lookup' WHEN 7 THEN 'lookup' WHEN 4 THEN 'nope' END"
+    ev = with_tables("responses") + f", {_EVALUATED} "
+    pairs = with_tables("preference_pairs", "messages", "judge_outputs")
+    key = '{"lookup": {"description": "d", "name": "lookup", "parameters": {"properties": {"id": {"type": "int"}}, "type": "dict"}, "required": ["id"]}}'
+    first = sql_strip("messages[1].content")
+    requests = with_tables("messages") + f", q AS (SELECT conv_id, len(messages) AS n_messages, {first} AS request FROM messages) "
+    samples = "s AS (SELECT conv_id AS example_id, turn AS attempt, split_part(text, ' ', 1) AS answer FROM conversations), f AS (SELECT example_id, answer, min(attempt) AS first FROM s GROUP BY ALL), d AS (SELECT example_id, list(answer ORDER BY first) AS a FROM f GROUP BY example_id)"
+    rp = f"WITH {samples}, rp AS (SELECT s.example_id, count(*) AS sampling_attempts, len(any_value(a))::BIGINT AS distinct_candidates_found, any_value(a)[1] AS response_a, coalesce(any_value(a)[2], arg_max(answer, attempt)) AS response_b FROM s JOIN d USING (example_id) GROUP BY s.example_id) "
+    llama, gemma, qwen = ("<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n", "\n<|eot_id|>\n<|start_header_id|>assistant<|end_header_id|>\n"), ("<start_of_turn>user\n", "<end_of_turn>\n<start_of_turn>model\n"), ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n")
+    used = "conv_id % 6 = 0"
+    revised = f"rv AS (SELECT conv_id, {used} AS used, CASE WHEN {used} THEN class ELSE {sql_class(quoted(REVISED))} END AS class, CASE WHEN {used} THEN structural_kind ELSE 'plain_text' END AS structural_kind, CASE WHEN {used} THEN valid ELSE true END AS valid, CASE WHEN {used} THEN reason END AS reason FROM ev)"
+    shown = lambda c: f"CASE WHEN starts_with({c}, '<TOOLCALL>') THEN '[lookup(id=' || regexp_extract({c}, ':([0-9]+)', 1) || ')]' ELSE {sql_strip(c)} END"
+    union = " UNION ALL ".join
+    return {
+        "toolcall_parse": with_tables("responses") + f"SELECT conv_id, {name} AS name, {arguments} AS arguments, CASE WHEN {_CALLS} THEN '<TOOLCALL>{{\"name\":\"' || {name} || '\",\"arguments\":' || {arguments} || '}}</TOOLCALL>' ELSE {sql_strip('response')} END AS canonical FROM responses",
+        "toolcall_validate": ev + "SELECT conv_id, valid, reason FROM ev",
+        "candidate_eval": ev + "SELECT conv_id, class, score, structural_kind FROM ev",
+        "toolcall_render": with_tables("responses") + f"SELECT conv_id, {shown('response')} AS llama, CASE WHEN conv_id % 8 = 2 THEN '{{\"name\": \"lookup\", \"arguments\": {{\"id\": ' || conv_id || '}}}}' ELSE {sql_strip('response')} END AS gemma FROM responses",
+        "rejected_valid_drop": with_tables("preference_pairs") + f", {_PAIRS} SELECT conv_id, chosen_class, rejected_class FROM pairs WHERE NOT (chosen_class = 'request_for_info' AND (starts_with(rejected, '<TOOLCALL>') OR starts_with(rejected, 'lookup(')))",
+        "generate_stub_pairs": with_tables("responses")
+        + f", g AS (SELECT conv_id::VARCHAR AS example_id, k::INT AS attempt, ['I cannot answer that.', 'Which one do you mean?', 'Here it is.'][1 + ('0x' || substr(md5(({SEED} + conv_id * 6 + k) || '|' || response), 1, 2))::INT % 3] AS answer FROM responses, range(6) t(k))"
+        + ", h AS (SELECT example_id, answer, min(attempt) AS attempt FROM g GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY attempt) AS place FROM h QUALIFY place <= 2",
+        "request_keys": requests + f"SELECT request, {quoted(key)} AS tools, count(*) AS n_rows, min(conv_id) AS first FROM q GROUP BY request",
+        "conflicting_requests": requests + "SELECT split_part(request, ' ', 1) AS words, count(DISTINCT n_messages % 2) AS n_labels, count(*) AS n_rows FROM q GROUP BY words HAVING n_labels > 1",
+        "judge_prompts": pairs
+        + f"SELECT conv_id, {_judge_prompt({'ASSISTANT_RESPONSE': 'chosen'}, *llama)} AS critique, {_judge_prompt({'ASSISTANT_RESPONSE': 'chosen', 'CRITIQUE': 'critique_text'}, *gemma)} AS revision, {_judge_prompt({'RESPONSE_A': 'chosen', 'RESPONSE_B': 'rejected'}, *qwen)} AS preference FROM preference_pairs JOIN messages USING (conv_id) JOIN judge_outputs USING (conv_id)",
+        "tools_indented": f"SELECT DISTINCT conv_id, '[' || chr(10) || '  {{' || chr(10) || '    \"name\": \"lookup\",' || chr(10) || '    \"id\": ' || conv_id || chr(10) || '  }}' || chr(10) || ']' AS shown, {quoted(TOOLS)} AS passed FROM conversations",
+        "preference_examples": _training("llama").replace(f", {sql_strip('messages[-1].content')} AS target FROM messages", f", {shown('chosen')} AS chosen, {shown('rejected')} AS rejected FROM messages JOIN preference_pairs USING (conv_id)").replace("WITH ", with_tables("preference_pairs").rstrip() + ",\n", 1),
+        "initial_summary": ev + union([_counted("output_class_counts", "class", "ev"), _counted("structural_kind_counts", "structural_kind", "ev"), _counted("invalid_reason_counts", "reason", "ev", "NOT valid"), _total("valid_rows", "count(*) FILTER (valid)", "ev")]),
+        "critique_summary": _critique_cte() + " " + union([_total("final_valid_rows", "count(*) FILTER (valid)", "m"), _total("retry_rows", "count(*) FILTER (NOT valid)", "m"), _total("fallback_rows", "count(*) FILTER (NOT valid)", "m"), _total("invalid_attempt_total", "2 * count(*) FILTER (NOT valid)", "m"), "SELECT 'missing_field_counts', x, 2 * count(*) FROM (SELECT unnest(missing) AS x FROM m WHERE NOT valid) GROUP BY x"]),
+        "revision_summary": with_tables("responses") + f", {_EVALUATED}, {revised} " + union([_counted("revision_class_counts", "class", "rv"), _counted("structural_kind_counts", "structural_kind", "rv"), _counted("invalid_reason_counts", "reason", "rv", "NOT valid"), _total("used_original_without_generation_rows", "count(*) FILTER (used)", "rv")]),
+        "response_pairs": rp + "SELECT * FROM rp",
+        "pair_summary": rp.rstrip() + f", c AS (SELECT *, {sql_class('response_a')} AS class_a, {sql_class('response_b')} AS class_b FROM rp) " + union([_counted("response_a_class_counts", "class_a", "c"), _counted("response_b_class_counts", "class_b", "c"), _total("duplicate_rows", "count(*) FILTER (response_a = response_b)", "c"), _total("resampled_rows", "count(*) FILTER (sampling_attempts > 2)", "c"), _total("max_sampling_attempts", "max(sampling_attempts)", "c")]),
+        "export_summary": ev + union([_counted("exported_counts", "CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END", "ev", f"{sql_strip('response')} <> ''"), _counted("revised_structural_kind_counts", "structural_kind", "ev"), _counted("revised_valid_counts", "CASE WHEN valid THEN 'valid' ELSE 'invalid' END", "ev"), _total("empty_revised_rows", f"count(*) FILTER ({sql_strip('response')} = '')", "ev")]),
+        "revision_reuse": _critique_cte() + " SELECT conv_id, valid AND verdict = 'NO_ISSUES' AS reused FROM m",
+        "restricted_metrics": with_tables("probe_preds", "eval_samples", "label_dim")
+        + f", {_COMPARED}, i AS (SELECT run_key, pred_norm AS gold, probe AS pred FROM cmp WHERE matched AND pred_norm IN {_INSIDE}), f AS (SELECT run_key, label, 2 * count(*) FILTER (gold = label AND pred = label) AS t, count(*) FILTER (gold = label) + count(*) FILTER (pred = label) AS b FROM i, label_dim WHERE label IN {_INSIDE} GROUP BY run_key, label)"
+        + ", a AS (SELECT run_key, count(*) AS n_examples, count(*) FILTER (gold = pred) / count(*) AS accuracy FROM i GROUP BY run_key) SELECT run_key, any_value(n_examples) AS n_examples, any_value(accuracy) AS accuracy, sum(CASE WHEN b > 0 THEN t / b ELSE 0.0 END) / 3 AS macro_f1 FROM f JOIN a USING (run_key) GROUP BY run_key",
+        "last_sample_wins": with_tables("probe_preds", "eval_samples") + "SELECT p.run_key, count(*) AS n, count(*) FILTER (CASE WHEN e.uuid % 3 = 0 THEN 'direct' ELSE e.pred_norm END = 'direct') AS n_direct FROM probe_preds p LEFT JOIN eval_samples e USING (uuid) GROUP BY p.run_key",
+        "macro_f1_delta": with_tables("summaries") + "SELECT a.run_key, a.macro_f1 AS raw, b.macro_f1 AS normalized, b.macro_f1 - a.macro_f1 AS macro_f1_delta, printf('%.1f%%', b.macro_f1 * 100) AS percent FROM summaries a JOIN summaries b USING (run_key) WHERE a.scoring = 'raw' AND b.scoring = 'normalized'",
+        "pending_panels": "SELECT 'click' AS run_key, 'normalized' AS scoring, unnest(['tool_call', 'request_for_info', 'cannot_answer']) AS label, 0.0::DOUBLE AS accuracy, 'C' AS panel WHERE EXISTS (SELECT 1 FROM events WHERE event_type = 'click')",
+        "value_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+        "smoke_total": "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE source IS NOT NULL AND lang IN ('en', 'de', 'fr') QUALIFY place <= 5",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "class_counts": with_tables("responses") + f", c AS (SELECT {sql_class('response')} AS class FROM responses) SELECT class, count(*) AS n, {PERCENT.format(n='count(*)', all='sum(count(*)) OVER ()')} AS percent FROM c GROUP BY class",
@@ -252,4 +325,6 @@ def oracle_sql() -> dict[str, str]:
         "pad_batch": f"WITH {_IDS}, g AS (SELECT *, max(len(ids)) OVER (PARTITION BY doc_id // 8) AS longest FROM v) SELECT doc_id, longest AS n, (list_sum(ids) + longest - len(ids))::BIGINT AS sum_input_ids, (list_sum(labels) - 100 * (longest - len(ids)))::BIGINT AS sum_labels, len(ids) AS sum_attention_mask FROM g",
         "layer_specs": "WITH n AS (SELECT n_nationkey + 1 AS n_layers FROM nation), l AS (SELECT n_layers, ceil(n_layers * 0.5)::INT AS m, ceil(n_layers * 0.75)::INT AS t, n_layers AS l FROM n) SELECT n_layers, 'middle' AS tag, m AS transformer_layer, m AS hidden_state_index FROM l UNION ALL SELECT n_layers, 'layer_75pct', t, t FROM l WHERE t <> m UNION ALL SELECT n_layers, 'last', l, l FROM l WHERE l <> m AND l <> t",
     }
-    return {f"q_{k}": v for k, v in out.items()}
+    routed = f"WITH d AS ({out['dpo_export']}) "
+    out["preference_summary"] = routed + " UNION ALL ".join([_counted("valid_counts", "CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END", "d", "valid"), _counted("chosen_class_counts", "chosen_class", "d"), _counted("failure_counts", "failure_reason", "d")])
+    return {f"q_{k}": v for k, v in (out | _stage_sql()).items()}

@@ -11,7 +11,7 @@ from ..functions import judge, prompts
 from ..functions import metadata as M
 from ..functions import text as X
 from ..functions import toolcall as C
-from ..operators import encoding, joins, metrics, probe, records, report, sampling
+from ..operators import encoding, joins, metrics, probe, records, report, sampling, summaries
 from ..schemas import LABELS, OUTCOMES, PROBE_LABELS, RESPONSE_CLASSES
 from . import fixtures as D
 from . import stages
@@ -35,6 +35,10 @@ SHOTS = (
     {"question": "What is the weather in Oslo? ", "tools": D.TOOLS, "answer": '{"name": "lookup", "arguments": {"id": 1}}'},
     {"question": "Book it.", "tools": D.TOOLS, "answer": "Which one do you mean?"},
 )
+#: The one tool, written in another way, and a value that isn't text.
+SPACED_TOOLS = '[ {"required": ["id"], "parameters": {"properties": {"id": {"type": "int"}}, "type": "dict"}, "description": "d", "name": "lookup"} ]'
+JUDGE_TEMPLATE = "{{CONSTITUTION}}\nTools: {{TOOLS}}\nRequest: {{USER_REQUEST}}\nResponse: {{ASSISTANT_RESPONSE}}\nA: {{RESPONSE_A}} B: {{RESPONSE_B}}\nCritique: {{CRITIQUE}}\n"
+REVISED = "Which id do you mean?"
 TEMPLATE = "Rules: {{RULES}}\nRequest: {{REQUEST}}\nResponse: {{RESPONSE}}\n"
 
 
@@ -219,19 +223,13 @@ def train_eval_split(spark, sf_dir):
 # --- stages
 
 
-def _stage_records(spark, sf_dir):
-    source = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), F.col("o_orderkey").alias("source_row_index"), "o_orderstatus")
-    lines = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("example_id"))
-    first = lines.agg(F.max("l_linenumber").alias("n_lines"), F.count(F.lit(1)).alias("n_rows"))
-    second = lines.agg(F.min("l_partkey").alias("least_part"))
-    return source, first, second
-
-
 @query
 def stage_join_ordered(spark, sf_dir):
-    source, first, second = _stage_records(spark, sf_dir)
-    source = source.join(first.select("example_id"), "example_id", "left_semi")
-    return joins.stage_join(source, first, second, checked=False).select("example_id", "source_row_index", "o_orderstatus", "n_lines", "n_rows", "least_part")
+    source = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), F.col("o_orderkey").alias("source_row_index"), "o_orderstatus")
+    # What two stages made of an order comes from one aggregation of its lines.
+    lines = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("example_id"))
+    made = lines.agg(F.max("l_linenumber").alias("n_lines"), F.count(F.lit(1)).alias("n_rows"), F.min("l_partkey").alias("least_part"))
+    return joins.stage_join(source, made, checked=False).select("example_id", "source_row_index", "o_orderstatus", "n_lines", "n_rows", "least_part")
 
 
 @query
@@ -508,3 +506,165 @@ def generate_stub_pairs(spark, sf_dir):
     drawn = stages.generated_attempts(x, stages.stub, attempts=6, seed=SEED)
     return records.distinct_candidates(drawn)
 
+
+# --- keys, prompts and summaries of stages
+
+
+def _requests(spark, sf_dir):
+    tools = F.when(F.col("conv_id") % 2 == 0, D.TOOLS).otherwise(SPACED_TOOLS)
+    return D.messages(spark, sf_dir).select("conv_id", F.size("messages").alias("n_messages"), records.request_key(F.slice("messages", 1, 1), tools).alias("key"))
+
+
+@query
+def request_keys(spark, sf_dir):
+    by = _requests(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.min("conv_id").alias("first"))
+    return by.select(F.col("key.request").alias("request"), F.col("key.tools").alias("tools"), "n_rows", "first")
+
+
+@query
+def conflicting_requests(spark, sf_dir):
+    x = _requests(spark, sf_dir).withColumns({"words": F.substring_index("key.request", " ", 1), "label": F.col("n_messages") % 2})
+    return joins.conflicting(x, "words", "label")
+
+
+def _judged(spark, sf_dir):
+    x = D.preference_pairs(spark, sf_dir).join(D.messages(spark, sf_dir), "conv_id").join(D.judge_outputs(spark, sf_dir), "conv_id")
+    return x.withColumns({"request": X.conversation(records.without_answer(F.col("messages"))), "rules": F.lit("Call tools when they fit.")})
+
+
+@query
+def judge_prompts(spark, sf_dir):
+    c = F.col
+    shared = (JUDGE_TEMPLATE, c("rules"), c("request"), F.lit(D.TOOLS))
+    return _judged(spark, sf_dir).select(
+        "conv_id",
+        prompts.critique_prompt("llama", *shared, c("chosen")).alias("critique"),
+        prompts.revision_prompt("gemma", *shared, c("chosen"), c("critique_text")).alias("revision"),
+        prompts.preference_prompt("qwen", *shared, c("chosen"), c("rejected")).alias("preference"),
+    )
+
+
+@query
+def tools_indented(spark, sf_dir):
+    x = D.responses(spark, sf_dir)
+    tools = F.array(F.struct(F.lit("lookup").alias("name"), F.col("conv_id").alias("id")))
+    return x.select("conv_id", C.tools_text(tools, text=False).alias("shown"), C.tools_text(F.lit(D.TOOLS)).alias("passed"))
+
+
+@query
+def preference_examples(spark, sf_dir):
+    m = F.col("messages")
+    x = D.preference_pairs(spark, sf_dir).join(D.messages(spark, sf_dir), "conv_id").where(records.ends_with_assistant(m) & (F.get(m, F.lit(0))["role"] == "user"))
+    e = prompts.preference_example("llama", F.lit(D.TOOLS), records.context(m), F.col("chosen"), F.col("rejected"))
+    return x.select("conv_id", e.alias("e")).select("conv_id", "e.*")
+
+
+def _evaluated(rows, text):
+    return rows.withColumn("c", C.candidate(F.col(text), F.lit(D.TOOLS))).select("*", "c.class", "c.structural_kind", "c.valid", "c.reason")
+
+
+@query
+def initial_summary(spark, sf_dir):
+    return summaries.initial_outputs(_evaluated(D.responses(spark, sf_dir), "response"))
+
+
+@query
+def critique_summary(spark, sf_dir):
+    x = D.judge_outputs(spark, sf_dir).withColumn("c", judge.critique(F.col("critique_text")))
+    valid, missing = F.col("c.valid"), judge.missing_fields(F.col("c"))
+    tries = F.when(valid, 1).otherwise(2)
+    return summaries.critiques(
+        x.select(
+            valid.alias("final_valid"),
+            tries.alias("attempts"),
+            (~valid).alias("fallback_used"),
+            F.when(valid, 0).otherwise(2).alias("invalid_attempts"),
+            F.when(valid, F.array().cast("array<array<string>>")).otherwise(F.array_repeat(missing, tries)).alias("missing_by_attempt"),
+        )
+    )
+
+
+@query
+def revision_summary(spark, sf_dir):
+    x = D.responses(spark, sf_dir).join(D.judge_outputs(spark, sf_dir), "conv_id").withColumns({"source_row_index": F.col("conv_id"), "c": judge.critique(F.col("critique_text"))})
+    out = stages.revised(x, lambda texts, seed: [REVISED] * len(texts), "critique_text", F.col("response"), F.col("c"))
+    out = out.drop("c").withColumn("used_original", F.col("revision_used_original_without_generation"))
+    return summaries.revisions(_evaluated(out, "revised_output_raw"))
+
+
+def _response_pairs(spark, sf_dir):
+    x = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("example_id"), F.col("turn").alias("attempt"), F.substring_index("text", " ", 1).alias("answer"))
+    return records.response_pairs(x)
+
+
+@query
+def response_pairs(spark, sf_dir):
+    return _response_pairs(spark, sf_dir)
+
+
+@query
+def pair_summary(spark, sf_dir):
+    x = _response_pairs(spark, sf_dir)
+    return summaries.pairs(x.withColumns({"class_a": X.response_class(F.col("response_a")), "class_b": X.response_class(F.col("response_b"))}))
+
+
+@query
+def preference_summary(spark, sf_dir):
+    return summaries.preferences(dpo_export(spark, sf_dir).withColumn("behavior_class", F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd")))
+
+
+@query
+def export_summary(spark, sf_dir):
+    x = _evaluated(D.responses(spark, sf_dir), "response").withColumn("selected", X.stripped(F.col("response")))
+    return summaries.exports(x.withColumn("behavior_class", F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd")))
+
+
+@query
+def revision_reuse(spark, sf_dir):
+    x = D.judge_outputs(spark, sf_dir).withColumn("c", judge.critique(F.col("critique_text")))
+    return x.select("conv_id", stages.reuses_original(F.col("c")).alias("reused"))
+
+
+# --- more metrics and reports
+
+
+@query
+def restricted_metrics(spark, sf_dir):
+    return metrics.restricted(joins.overlap(_compared(spark, sf_dir)), "run_key", "pred_norm", "probe", PROBE_LABELS)
+
+
+@query
+def last_sample_wins(spark, sf_dir):
+    e = D.eval_samples(spark, sf_dir)
+    twice = e.withColumn("at", F.lit(0)).unionByName(e.where(F.col("uuid") % 3 == 0).withColumns({"pred_norm": F.lit("direct"), "at": F.lit(1)}))
+    x = joins.compared(D.probe_preds(spark, sf_dir), twice, ordinal="at")
+    return x.groupBy("run_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred_norm") == "direct").alias("n_direct"))
+
+
+@query
+def macro_f1_delta(spark, sf_dir):
+    x = metrics.summary(metrics.cells(_long(spark, sf_dir), "key", "gold", "pred"), "key", LABELS)
+    x = x.withColumns({"run_key": F.substring_index("key", "|", 1), "scoring": F.substring_index("key", "|", -1)})
+    wide = report.pivoted(x, ["run_key"], "scoring", ("raw", "normalized"), "macro_f1", "key")
+    return wide.withColumn("macro_f1_delta", F.col("normalized") - F.col("raw")).select("run_key", "raw", "normalized", "macro_f1_delta", report.M.percent(F.col("normalized")).alias("percent"))
+
+
+@query
+def pending_panels(spark, sf_dir):
+    keys = D.run_metrics(spark, sf_dir).select("run_key").distinct()
+    missing = report.missing_keys(keys.where("run_key <> 'click'"), keys)
+    rows = report.pending_probes(missing, ("raw", "normalized"), PROBE_LABELS).unionByName(report.placeholders(keys, ("raw",), ("direct",)), allowMissingColumns=True)
+    panels = keys.select(F.col("run_key").alias("run_display"), F.upper(F.substring("run_key", 1, 1)).alias("panel"))
+    pending = rows.where(~records.real(F.col("is_probe_pending")) & records.scored(F.col("scoring"), "normalized", F.col("label"), PROBE_LABELS))
+    return report.with_panels(pending.withColumn("run_display", F.col("run_key")), panels).select("run_key", "scoring", "label", "accuracy", "panel")
+
+
+@query
+def value_counts(spark, sf_dir):
+    return report.value_counts(D.table(spark, sf_dir, "events"), "event_type")
+
+
+@query
+def smoke_total(spark, sf_dir):
+    x = D.table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "lang")
+    return sampling.smoke(x.where(F.col("lang").isin("en", "de", "fr")), "lang", "doc_id", 15)

@@ -38,10 +38,45 @@ def generated(rows: DataFrame, generator: Generator, prompt: str, out: str, batc
     return rows.mapInArrow(run, schema)
 
 
-def generated_attempts(rows: DataFrame, generator: Generator, attempts: int = 6, seed: int = 42) -> DataFrame:
-    """(example_id, attempt, answer): a bounded number of answers to each prompt."""
-    x = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt")).withColumn("__at", F.col("source_row_index") * attempts + F.col("attempt"))
-    return generated(x, generator, "prompt", "answer", batch=1, seed=seed, ordinal="__at").select("example_id", "attempt", "answer")
+def generated_attempts(rows: DataFrame, generator: Generator, attempts: int = 6, seed: int = 42, wanted: int = 2) -> DataFrame:
+    """(example_id, attempt, answer): answers to each prompt until `wanted` of them differ, a bounded number at most. Each is
+    seeded by its row and attempt, so a lost task makes the same ones again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for example, at, prompt in zip(*(c.to_pylist() for c in b.columns)):
+                seen: set[str] = set()
+                for attempt in range(attempts):
+                    [text] = generator([prompt or ""], seed + int(at or 0) * attempts + attempt)
+                    out.append((example, attempt, text))
+                    seen.add(text.strip())
+                    if len(seen) >= wanted:
+                        break
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))], ["example_id", "attempt", "answer"])
+
+    return rows.select(F.col("example_id").cast("string"), "source_row_index", "prompt").mapInArrow(run, "example_id string, attempt int, answer string")
+
+
+def reuses_original(critique: Column) -> Column:
+    """Whether a readable critique found nothing to revise."""
+    return F.coalesce(critique["valid"] & (critique["verdict"] == "NO_ISSUES"), F.lit(False))
+
+
+def revised(rows: DataFrame, generator: Generator, prompt: str, original: Column, critique: Column, out: str = "revised_output_raw", seed: int = 42) -> DataFrame:
+    """`rows` with a revision and revision_used_original_without_generation: only rows with issues go to the generator."""
+    flag = "revision_used_original_without_generation"
+    marked = rows.withColumn(flag, reuses_original(critique))
+    same = marked.where(flag).withColumn(out, original)
+    return same.unionByName(generated(marked.where(~F.col(flag)), generator, prompt, out, seed=seed))
+
+
+def ensured(spark: SparkSession, path: str, make: Callable[[SparkSession], DataFrame]) -> DataFrame:
+    """The table at `path`, made first where it isn't there as a whole."""
+    if not finished(spark, path):
+        make(spark).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def retried(rows: DataFrame, generator: Generator, prompt: str, out: str, valid: Column, seed: int = 42) -> DataFrame:
@@ -52,6 +87,10 @@ def retried(rows: DataFrame, generator: Generator, prompt: str, out: str, valid:
     return good.unionByName(again)
 
 
+#: Settings that are numbers with a fraction.
+REAL = ("TEMPERATURE", "TOP_P", "LEARNING_RATE", "DEV_FRACTION")
+
+
 @dataclass
 class Options:
     """How a run goes. Dry runs list steps, smoke runs take a few rows; strict balance holds for full runs only."""
@@ -73,7 +112,8 @@ class Options:
         """From settings as an environment or a command line holds them: 1, true, yes and on are true."""
         flag = lambda k, d: values.get(k, d).strip().lower() in ("1", "true", "yes", "on")
         whole = lambda k: int(values[k]) if values.get(k, "").strip() else None
-        return cls(flag("DRY_RUN", "0"), flag("SMOKE", "0"), flag("STRICT_BALANCE", "1"), whole("START_INDEX") or 0, whole("MAX_EXAMPLES"))
+        real = {k: float(v) for k, v in values.items() if k in REAL and v.strip()}
+        return cls(flag("DRY_RUN", "0"), flag("SMOKE", "0"), flag("STRICT_BALANCE", "1"), whole("START_INDEX") or 0, whole("MAX_EXAMPLES"), real)
 
 
 @dataclass
@@ -105,7 +145,8 @@ def run(spark: SparkSession, steps: list[Step], options: Options | None = None)
     return log
 
 
-def resumed(source: DataFrame, done: DataFrame | None, make: Callable[[DataFrame], DataFrame], key: str = "example_id") -> DataFrame:
-    """Records of all source rows: those that are done, and those made of the rest. Order by source_row_index to see them in
-    source order."""
-    return make(source) if done is None else done.unionByName(make(pending(source, done, key)))
+def resumed(source: DataFrame, done: DataFrame | None, make: Callable[[DataFrame], DataFrame], key: str = "example_id", ordinal: str = "source_row_index") -> DataFrame:
+    """Records of all source rows in source order: those that are done, and those made of the rest. Rows without
+    an ordinal come in any order."""
+    out = make(source) if done is None else done.unionByName(make(pending(source, done, key)))
+    return out.orderBy(ordinal) if ordinal in out.columns else out

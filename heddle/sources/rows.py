@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -31,9 +33,48 @@ def json_rows(spark: SparkSession, path: str | list[str], schema: StructType, to
 
 
 def numbered(df: DataFrame, name: str = "source_row_index") -> DataFrame:
-    """Rows of one file with their ordinal from 0 in reading order. Partitions are counted, not gathered."""
-    schema = StructType([*df.schema, StructField(name, df.sparkSession.range(0).schema["id"].dataType)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """Rows of one file with their ordinal from 0 in reading order. Partitions are counted, not gathered: a row's ordinal
+    is its place in its partition after the rows of those before."""
+    x = df.withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    counts = x.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
+    starts, at = [], 0
+    for r in counts:
+        starts.append((r["__part"], at))
+        at += r["n"]
+    starts = df.sparkSession.createDataFrame(starts, "__part long, __start long")
+    out = x.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return out.withColumn(name, F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)
+
+
+def json_files(spark: SparkSession, paths: list[str], schema: StructType) -> DataFrame:
+    """JSON lines of several files in the order of `paths`, with file_order, the file's stem, the ordinal in it and an
+    example_id of both."""
+    out = None
+    for k, path in enumerate(paths):
+        stem = re.sub(r"\.[^.]*\Z", "", path.rstrip("/").rsplit("/", 1)[-1])
+        one = numbered(json_rows(spark, path, schema)).withColumns({"file_order": F.lit(k), "stem": F.lit(stem)})
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("example_id", F.format_string("%s:%05d", F.col("stem"), F.col("source_row_index")))
+
+
+def template(spark: SparkSession, path: str) -> str:
+    """A small text file as a whole."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def line_count(spark: SparkSession, path: str) -> int:
+    """Lines of text files that aren't blank."""
+    return spark.read.text(path).where(F.trim("value") != "").count()
+
+
+def has_rows(spark: SparkSession, path: str, least: int = 1, exactly: int | None = None) -> bool:
+    """Whether a text file is there with enough lines, or with exactly so many."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return False
+    n = line_count(spark, path)
+    return n >= least if exactly is None else n == exactly
 
 
 def json_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -70,7 +111,8 @@ def few_shots(spark: SparkSession, path: str, n: int) -> list[dict]:
     if n <= 0:
         return []
     schema = StructType([StructField(c, StringType()) for c in ("id", "category", "question", "tools", "answer")])
-    rows = [r.asDict() for r in spark.read.schema(schema).option("multiLine", True).json(path).limit(n).collect()]
+    read = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("__at", F.monotonically_increasing_id())
+    rows = [r.asDict() for r in read.orderBy("__at").limit(n).drop("__at").collect()]
     if len(rows) < n:
         raise ValueError(f"{n} examples are wanted; {path} has {len(rows)}")
     if lacking := [k for r in rows for k in ("question", "tools", "answer") if not r[k]]:

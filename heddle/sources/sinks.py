@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.report import latex_table
@@ -43,3 +44,11 @@ def write_latex(spark: SparkSession, rows: DataFrame, columns: list[str], header
     """A report table, small by construction, as LaTeX; cells are escaped by the caller's columns."""
     cells = [[str(r[c]) for c in columns] for r in rows.select(*columns).collect()]
     write_text(spark, latex_table(cells, header, caption, label), path)
+
+
+def write_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def read_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
