@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -71,6 +72,17 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
+#: Rows of whole texts that a Python worker holds unpacked at a time.
+UNPACKED = 1024
+
+
+def parts(batches: Iterable[pa.RecordBatch], rows: int = UNPACKED) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in pieces of at most so many rows, so that memory doesn't follow the size of a batch."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def settled(df: DataFrame, name: str, since: int) -> DataFrame:
     """`df`, written as by `written`; the tables written since there were `since` of them, which it was made from, go."""
     out = written(df, name)

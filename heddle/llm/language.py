@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import UNPACKED, parts
+
 #: Labelled documents that the field is fitted to, per language at most, by hash of the id, and in all (each language
 #: has one at least). They are learnt whole, in stretches of so many words. Other documents play no part in fitting.
 DOCS_PER_LANG, MOST_LABELLED, STRETCH = 160, 16_384, 240
@@ -21,7 +23,7 @@ BUCKETS, LEXICON, ROUNDS, PENALTY = 1 << 15, 300, 40, 1e-5
 MOST_KNOWN = 250_000
 #: Documents put through forward-backward at a time, (word, label) scores that they may take with padding, and words
 #: of the documents among which they are chosen by length.
-LANES, CELLS, WAITING = 1024, 1 << 20, 1 << 21
+LANES, CELLS, WAITING = 1024, 1 << 19, 1 << 21
 #: What a text without letters gets.
 UNDETERMINED = "und"
 
@@ -292,7 +294,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(Model(*sent.value))
-        for b in batches:
+        for b in parts(batches, 4 * UNPACKED):
             pred, score = labeller.predict([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, digest_of, without, written
+from .common import batches_of, digest_of, parts, without, written
 from .graph import components
 
 #: Registers of a sketch, the base that spaces their values, the rate of their minima, and their largest value.
@@ -127,7 +127,7 @@ def signed(docs: DataFrame, size: int, digest: bool = False) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
-        for b in batches:
+        for b in parts(batches):
             sets = [shingle(t) for t in b.column(1).to_pylist()]
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sketches = [sketch(s).tobytes() if len(s) else None for s in sets]

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
 from .tokens import encoder
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
@@ -172,7 +173,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", tokens: int = T
             )
 
         placed: list[tuple] = []
-        for b in batches:
+        for b in parts(batches):
             doc_ids, prompts, texts = (c.to_pylist() for c in b.columns)
             for doc_id, p, t in zip(doc_ids, prompts, texts):
                 p = ids_of(p) if prompt else b""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest
+from .common import lowest, parts
 
 #: Words of the stretches that distinct words are counted in, so that the share of them doesn't fall with length.
 STRETCH = 1000
@@ -163,7 +163,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cascade = [rules[k].rejects for k in order]
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
                 f = Facts(text or "")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: Distinct pre-tokens that a worker remembers between batches; beyond, it starts anew. Results don't depend on it.
 MOST_KNOWN = 600_000
 #: Tokens above which a document is over the limit.
@@ -104,7 +106,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(tokenizer(vocabulary), len)
-        for b in batches:
+        for b in parts(batches):
             texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             n = counts_of(texts, known)
             n_bytes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
