@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -83,6 +85,21 @@ def parts(batches: Iterable[pa.RecordBatch], rows: int = UNPACKED) -> Iterator[p
             yield b.slice(k, rows)
 
 
+def tidied(work: Callable) -> Callable:
+    """A task's function on batches that gives freed memory back to the system when it ends: a worker process stays for
+    further tasks, and what its allocators keep would count against the executor's memory meanwhile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def settled(df: DataFrame, name: str, since: int) -> DataFrame:
     """`df`, written as by `written`; the tables written since there were `since` of them, which it was made from, go."""
     out = written(df, name)

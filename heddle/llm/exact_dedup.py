@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_of, kept, shared_dir, without, written
+from .common import digest_of, kept, shared_dir, tidied, without, written
 
 #: Cells per filter segment; a segment is the unit in which partial filters are merged.
 SEGMENT = 1 << 16
@@ -88,7 +88,7 @@ def repeat_filter(keys: DataFrame, cells: int) -> bytes:
         if twice.any():
             yield out()
 
-    parts = keys.mapInArrow(count, "segment int, once binary, twice binary")
+    parts = keys.mapInArrow(tidied(count), "segment int, once binary, twice binary")
     merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary")
     bits = np.zeros((max(1, cells // SEGMENT), segment), np.uint8)
     for s, t in merged.collect():

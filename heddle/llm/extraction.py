@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 from .urls import host_of
 
 #: Pages of a host that its template needs; pages of smaller hosts are judged by a template of their own.
@@ -549,7 +549,7 @@ def _partial(pages: DataFrame) -> DataFrame:
     def rows(by: dict[str, Template]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(by)), pa.array([json.dumps(t.packed()) for t in by.values()])], ["host", "template"])
 
-    return pages.mapInArrow(align, "host string, template string")
+    return pages.mapInArrow(tidied(align), "host string, template string")
 
 
 def _met(partial: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
@@ -619,4 +619,4 @@ def extract(pages: DataFrame) -> DataFrame:
             keep = [k for k, n in enumerate(b.schema.names) if n != "template"]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*(b.schema.names[k] for k in keep), "text", "n_chars"])
 
-    return x.mapInArrow(take, schema)
+    return x.mapInArrow(tidied(take), schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNPACKED, parts
+from .common import UNPACKED, parts, tidied
 
 #: Labelled documents that the field is fitted to, per language at most, by hash of the id, and in all (each language
 #: has one at least). They are learnt whole, in stretches of so many words. Other documents play no part in fitting.
@@ -298,7 +298,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             pred, score = labeller.predict([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(tidied(label), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, digest_of, parts, without, written
+from .common import batches_of, digest_of, parts, tidied, without, written
 from .graph import components
 
 #: Registers of a sketch, the base that spaces their values, the rate of their minima, and their largest value.
@@ -134,7 +134,7 @@ def signed(docs: DataFrame, size: int, digest: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary()), *b.columns[2:]], ["doc_id", "n_shingles", "node", "sketch", *b.schema.names[2:]])
 
     more = [digest_of(F.col("text")).alias("text_sha256")] if digest else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(sign, "doc_id long, n_shingles long, node binary, sketch binary" + ", text_sha256 string" * digest)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(tidied(sign), "doc_id long, n_shingles long, node binary, sketch binary" + ", text_sha256 string" * digest)
 
 
 def banded(classes: DataFrame, threshold: float) -> DataFrame:
@@ -149,7 +149,7 @@ def banded(classes: DataFrame, threshold: float) -> DataFrame:
                 nodes = p.column(0).take(pa.array(np.repeat(np.arange(p.num_rows), bands)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), nodes], ["key", "node"])
 
-    return classes.select("node", "sketch").mapInArrow(cut, "key long, node binary")
+    return classes.select("node", "sketch").mapInArrow(tidied(cut), "key long, node binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -166,7 +166,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
                 keep = pa.array(j >= least)
                 yield pa.RecordBatch.from_arrays([p.column(0).filter(keep), p.column(1).filter(keep), pa.array(j).filter(keep)], ["a", "b", "estimate"])
 
-    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(weigh, "a binary, b binary, estimate double")
+    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(tidied(weigh), "a binary, b binary, estimate double")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     # Ids may repeat, so other texts than the wanted ones can come along, or the same one more than once.
-    return written(texts.mapInArrow(take, "node binary, shingles binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    return written(texts.mapInArrow(tidied(take), "node binary, shingles binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -204,7 +204,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a binary, b binary")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(tidied(compare), "a binary, b binary")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:

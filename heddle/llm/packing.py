@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, tidied
 from .tokens import encoder
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
@@ -186,4 +186,4 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", tokens: int = T
         if placed:
             yield rows(placed)
 
-    return x.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids binary")
+    return x.mapInArrow(tidied(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids binary")

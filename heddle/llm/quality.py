@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest, parts
+from .common import lowest, parts, tidied
 
 #: Words of the stretches that distinct words are counted in, so that the share of them doesn't fall with length.
 STRETCH = 1000
@@ -171,4 +171,4 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.bool_() if t == "boolean" else pa.int64()) for c, t in zip(columns, names.values()))], [*b.schema.names, *names])
 
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(tidied(judge), schema)

@@ -7,6 +7,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import filterfalse
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, tidied
 
 #: Distinct pre-tokens that a worker remembers between batches; beyond, it starts anew. Results don't depend on it.
 MOST_KNOWN = 600_000
@@ -112,7 +113,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
             n_bytes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n_bytes), pa.array(n), pa.array(n > limit)], [*b.schema.names, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.mapInArrow(count, schema)
+    return docs.mapInArrow(tidied(count), schema)
 
 
 #: Fixed value: the pattern that byte-level vocabularies of this kind cut texts by.
@@ -149,10 +150,12 @@ def encoder(name: str) -> Callable[[str], bytes]:
     path = public_tokenizers.path(name) if os.sep not in name else name
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special, ranks, tok = [t["content"] for t in spec["added_tokens"]], byte_ranks(spec), tokenizer(name)
+    special, ranks = [t["content"] for t in spec["added_tokens"]], byte_ranks(spec)
+    del spec
+    library = cache(lambda: tokenizer(name))  # most tasks never need it
 
     def slow(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     if ranks is None:
         return slow
