@@ -6,19 +6,21 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import parts, tidied
+from .common import parts, tidied, written
 
-#: Distinct pre-tokens that a worker remembers between batches; beyond, it starts anew. Results don't depend on it.
-MOST_KNOWN = 600_000
+#: Distinct pre-tokens that a worker puts together before it sends them on. Results don't depend on it.
+MOST_MET = 300_000
+#: Bytes of a worker that frequent pre-tokens take at most, and what each takes beside its own bytes.
+MOST_SENT, OVERHEAD = 48_000_000, 100
 #: Tokens above which a document is over the limit.
 LIMIT = 2048
 #: A letter, and what is neither a letter nor a blank, in texts that LATIN doesn't find.
@@ -53,67 +55,110 @@ def tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name) if os.sep not in name else name)
 
 
-class Known(dict):
-    """What is known of pre-tokens, at most MOST_KNOWN of them; `learn` encodes those that are new."""
+def frequencies(text: str) -> Counter:
+    """How often each pre-token occurs in a text. A pre-token here is a piece that ends where the pattern of a word-level
+    vocabulary always ends one, so a text has as many tokens as its pieces have alone."""
+    return Counter(words_of(text))
 
-    def __init__(self, tok, keep):
-        self.tok, self.keep = tok, keep
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        new = list(filterfalse(self.__contains__, pieces))
-        if len(self) + len(new) > MOST_KNOWN:
-            self.clear()
-            new = list(pieces)
-        if new:
-            for piece, encoded in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                self[piece] = self.keep(encoded)
+def _level(n: Column) -> Column:
+    """A step of the logarithm of a frequency; there are at most 512."""
+    return F.floor(8 * F.log2(n)).cast("int")
 
 
-def counts_of(texts: list[str], known: Known) -> np.ndarray:
-    """Tokens of each text: a table (document, pre-token, frequency), joined to the pieces of each distinct
-    pre-token, and summed by document. A pre-token here is a piece that ends where the pattern of a
-    word-level vocabulary always ends one; ids are never put together for a document."""
-    out = np.zeros(len(texts), np.int64)
-    at, size = 0, 0
-    frequencies: list[Counter] = []
+def pieces_of(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """A row for each distinct pre-token of all texts of `docs`: piece, n (how often it occurs), tokens. Each is encoded
+    once, after the occurrences that a task has met have been put together there."""
 
-    def settle(upto: int) -> None:
-        nonlocal at, size
-        known.learn(set().union(*frequencies))
-        for k, f in enumerate(frequencies, at):
-            out[k] = sum(n * known[p] for p, n in f.items())
-        frequencies.clear()
-        at, size = upto, 0
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
 
-    for k, text in enumerate(texts):
-        frequencies.append(Counter(words_of(text)))
-        size += len(frequencies[-1])
-        if size > MOST_KNOWN // 8:
-            settle(k + 1)
-    settle(len(texts))
-    return out
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(met.keys(), pa.string()), pa.array(met.values(), pa.int64())], ["piece", "n"])
 
-
-def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: int = LIMIT) -> DataFrame:
-    """`docs` (text, and what else it has) with n_bytes, n_tokens and over_limit.
+        for b in parts(batches):
+            for text in b.column(0).to_pylist():
+                met.update(words_of(text))
+                if len(met) > MOST_MET:
+                    yield rows()
+                    met.clear()
+        yield rows()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = cache(lambda: tokenizer(vocabulary))  # a task without rows needs none
+        for b in parts(batches, 8192):
+            encoded = tok().encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(len, encoded), pa.int64())], ["piece", "n", "tokens"])
+
+    met = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidied(meet), "piece string, n long")
+    return written(met.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(tidied(encode), "piece string, n long, tokens long"), "pieces")
+
+
+def _least_sent(pieces: DataFrame, most: int) -> int:
+    """The least level from which on all pre-tokens take at most `most` bytes of a worker."""
+    sizes = pieces.groupBy(_level(F.col("n")).alias("level")).agg(F.sum(F.octet_length("piece") + OVERHEAD).alias("size")).collect()
+    least, total = 1 << 10, 0
+    for r in sorted(sizes, reverse=True):
+        total += r["size"]
+        if total > most:
+            break
+        least = r["level"]
+    return least
+
+
+def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: int = LIMIT, texts: bool = True, most: int = MOST_SENT) -> DataFrame:
+    """`docs` (text, and what else it has; without the texts unless `texts`) with n_bytes, n_tokens and over_limit.
 
     Whole texts as the tokenizer gives them, without added special tokens; special strings within a text are
     handled as the library does by default. Null and empty texts have 0 of both. Repeated rows are counted
     alike; an empty table gives no rows. Columns n_bytes, n_tokens and over_limit of `docs` are replaced.
 
-    Works on each input partition in place: no shuffle, and memory bounded by an Arrow batch and MOST_KNOWN."""
+    The tokens of each distinct pre-token are counted once and joined to the frequencies of each document. The most
+    frequent pre-tokens, `most` bytes of a worker at most, go to every task and are joined where a document is read; the
+    others, which are rare, meet the frequencies in a shuffle, and ids are never put together for a document. So
+    whatever is common to many documents never shuffles, and none of a shuffle's keys is hot."""
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
-    schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(True)}).schema
+    pieces = pieces_of(docs, vocabulary)
+    least, level = _least_sent(pieces, most), _level(F.col("n"))
+    table = pieces.where(level >= least).select("piece", "tokens").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(table["piece"].to_pylist(), table["tokens"].to_pylist())))
+    kept = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("__text", F.coalesce("text", F.lit("")))
+    kept = kept if texts else kept.drop("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(tokenizer(vocabulary), len)
-        for b in parts(batches):
-            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            n = counts_of(texts, known)
-            n_bytes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n_bytes), pa.array(n), pa.array(n > limit)], [*b.schema.names, "n_bytes", "n_tokens", "over_limit"])
+        from pyspark import TaskContext
 
-    return docs.mapInArrow(tidied(count), schema)
+        tokens_of, row = sent.value, TaskContext.get().partitionId() << 40
+        for b in parts(batches):
+            sums, ends, rare, times = [], [0], [], []
+            for text in b.column(b.num_columns - 1).to_pylist():
+                total = 0
+                for piece, n in frequencies(text).items():
+                    tokens = tokens_of.get(piece)
+                    if tokens is None:
+                        rare.append(piece)
+                        times.append(n)
+                    else:
+                        total += n * tokens
+                sums.append(total)
+                ends.append(len(rare))
+            rows = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            open_ = pa.array(np.diff(ends) > 0)
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(times, pa.int64())], ["piece", "n"])
+            own = [rows, pa.array(sums, pa.int64()), open_, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], [*b.schema.names[:-1], "__row", "__sum", "__open", "__rare"])
+
+    added = StructType.fromDDL("__row long, __sum long, __open boolean, __rare array<struct<piece:string,n:long>>")
+    schema = StructType([*kept.drop("__text").schema.fields, *added.fields])
+    # Written before it is read, so that a row's number is the same for all that reads it.
+    met = written(kept.mapInArrow(tidied(count), schema), "counted")
+    pairs = met.where("__open").select("__row", F.inline("__rare"))
+    rare = pieces.where(level < least).select("piece", "tokens")
+    rest = pairs.join(rare, "piece").groupBy("__row").agg(F.sum(F.col("n") * F.col("tokens")).alias("__rest"))
+    met = met.drop("__rare")
+    out = met.where(~F.col("__open")).withColumn("n_tokens", F.col("__sum")).unionByName(met.where("__open").join(rest, "__row").withColumn("n_tokens", F.col("__sum") + F.col("__rest")).drop("__rest"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit).drop("__row", "__sum", "__open")
 
 
 #: Fixed value: the pattern that byte-level vocabularies of this kind cut texts by.

@@ -737,19 +737,36 @@ def test_token_counts(corpus):
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(r["text"].encode()), n > 2048)
 
 
+@pytest.mark.parametrize("most", [0, 2_000, tokens.MOST_SENT])
+def test_frequent_and_rare_pieces_give_the_same_counts(spark, most):
+    tok = tokens.tokenizer("word_bpe_49k.json")
+    texts = [None, "", " ", "a a a b it's", "b c " * 40, "x" * 3_000, "x" * 3_000, *["same same text"] * 50, *[f"row {k} word{k % 7}" for k in range(60)]]
+    docs = spark.createDataFrame([(k % 90, t, "own") for k, t in enumerate(texts)], "doc_id long, text string, n_tokens string").repartition(3)
+    out = tokens.count_tokens(docs, limit=5, most=most).collect()
+    want = sorted((t or "", len(tok.encode(t or "", add_special_tokens=False))) for t in texts)
+    assert sorted((r["text"] or "", r["n_tokens"]) for r in out) == want
+    assert all(r["n_bytes"] == len(r["text"] or "") and r["over_limit"] == (r["n_tokens"] > 5) for r in out)
+    short = tokens.count_tokens(docs, most=most, texts=False)
+    assert short.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and short.count() == len(texts)
+    pieces = tokens.pieces_of(docs, "word_bpe_49k.json").collect()
+    assert len({r["piece"] for r in pieces}) == len(pieces) and all(r["tokens"] == len(tok.encode(r["piece"], add_special_tokens=False)) for r in pieces)
+    assert {r["piece"]: r["n"] for r in pieces} == dict(sum((tokens.frequencies(t or "") for t in texts), tokens.Counter()))
+
+
 def test_pieces_encode_as_within_the_text():
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
     byte, word = tokens.tokenizer("byte_bpe_50k.json"), tokens.tokenizer("word_bpe_49k.json")
-    ids_of, known_word = tokens.encoder("byte_bpe_50k.json"), tokens.Known(word, len)
+    ids_of = tokens.encoder("byte_bpe_50k.json")
 
     @settings(max_examples=1500, deadline=None)
     @given(st.text(alphabet=st.sampled_from(list("abÉµß'sSdt!.,_ \n\t 3²é\u0301漢<|>İ-\x1c")), max_size=14) | st.sampled_from(["<|endoftext|>", "a <|endoftext|> b", "it's <|startoftext|>"]))
     def same(x):
         ids = byte.encode(x, add_special_tokens=False).ids
         assert ids_of(x) == struct.pack(f"<{len(ids)}I", *ids)
-        assert list(tokens.counts_of([x], known_word)) == [len(word.encode(x, add_special_tokens=False))]
+        alone = {p: len(word.encode(p, add_special_tokens=False)) for p in tokens.frequencies(x)}
+        assert sum(n * alone[p] for p, n in tokens.frequencies(x).items()) == len(word.encode(x, add_special_tokens=False))
 
     same()
 
