@@ -115,8 +115,9 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
 
     The tokens of each distinct pre-token are counted once and joined to the frequencies of each document. The most
     frequent pre-tokens, `most` bytes of a worker at most, go to every task and are joined where a document is read; the
-    others, which are rare, meet the frequencies in a shuffle, and ids are never put together for a document. So
-    whatever is common to many documents never shuffles, and none of a shuffle's keys is hot."""
+    others meet the frequencies in a shuffle, whose keys have no more rows than the least frequent of those sent has
+    occurrences; where the most frequent alone take more than `most`, none is sent. Ids are never put together for a
+    document. Pre-tokens and counts are written to the shared folder, with the texts if they stay."""
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     pieces = pieces_of(docs, vocabulary)
     least, level = _least_sent(pieces, most), _level(F.col("n"))
