@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, extraction, language, mixing, near_dedup, packing, pii, quality, tokens, urls
+from . import decontamination, divergence, exact_dedup, extraction, interaction, language, mixing, near_dedup, packing, pii, quality, tokens, urls
 from .common import read
 
 
@@ -57,5 +57,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), texts=False).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontamination.mark(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), texts=False)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents").select("lang", "source", "text")).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_pii, op4_exact_dedup, op5_language_id, op6_packing, op7_near_dedup, op8_html_extraction, op9_url_filter, op10_token_counts)}
+    made = (op1_quality_rules, op2_mixing, op3_pii, op4_exact_dedup, op5_language_id, op6_packing, op7_near_dedup, op8_html_extraction, op9_url_filter, op10_token_counts)
+    return {f.__name__: f for f in (*made, op11_decontamination, op12_source_divergence, op13_filter_interaction)}
