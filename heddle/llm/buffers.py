@@ -53,14 +53,20 @@ def words(column: pa.Array, of: np.ndarray) -> Words:
     return Words(low, starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, cuts))
 
 
+#: Slices that are compared or hashed at a time.
+SLICES = 1 << 17
+
+
 def equal(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether slice k of `a` and of `b`, both of sizes[k] bytes and not empty, are the same byte for byte."""
-    if not len(sizes):
-        return np.zeros(0, np.bool_)
-    ends = np.cumsum(sizes)
-    within = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-    same = a[np.repeat(a_starts, sizes) + within] == b[np.repeat(b_starts, sizes) + within]
-    return np.logical_and.reduceat(same, ends - sizes)
+    out = np.zeros(len(sizes), np.bool_)
+    for k in range(0, len(sizes), SLICES):
+        size = sizes[k : k + SLICES]
+        ends = np.cumsum(size)
+        within = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        same = a[np.repeat(a_starts[k : k + SLICES], size) + within] == b[np.repeat(b_starts[k : k + SLICES], size) + within]
+        out[k : k + SLICES] = np.logical_and.reduceat(same, ends - size)
+    return out
 
 
 def together(batches: Iterable[pa.RecordBatch], text: str, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import Words, equal, table, together, words
+from .buffers import SLICES, Words, equal, table, together, words
 from .common import tidied, written
 
 #: Bytes of terms: letters, and all of characters beyond ASCII.
@@ -18,15 +18,18 @@ TERMS = table([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: Documents of a language that a term is in at least, terms reported for a group, the unit of shares, and what is added to
 #: each count.
 LEAST_DOCS, TOP, UNIT, ADDED = 10, 10, 1_000_000_000, 2
-#: Bytes of texts that a task counts together, and counts (a term in a source) of a language that meet in a task.
-PIECE, CHUNK = 1 << 24, 1 << 20
+#: Bytes of texts that a task counts together, counts that it puts together before they leave, and counts (a term in a
+#: source) of a language that meet in a task.
+PIECE, MET, CHUNK = 1 << 22, 1 << 19, 1 << 20
 
 
 def grouped(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(term of each word, a word of each term): words are the same term if their bytes are. Slices are grouped by xxhash;
     each is compared with the first of its group, and those that differ are told apart by their bytes."""
     view, digest = memoryview(w.low), xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(view[a:b]) for a, b in zip(w.starts.tolist(), w.ends.tolist())), np.uint64, len(w.starts))
+    hashes = np.zeros(len(w.starts), np.uint64)
+    for k in range(0, len(hashes), SLICES):
+        hashes[k : k + SLICES] = [digest(view[a:b]) for a, b in zip(w.starts[k : k + SLICES].tolist(), w.ends[k : k + SLICES].tolist())]
     return settled_groups(w, hashes)
 
 
@@ -49,42 +52,58 @@ def settled_groups(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return term, np.concatenate([one, np.array(added, one.dtype)])
 
 
+_COUNTS = ["lang", "source", "term", "n", "docs"]
+
+
+def _counted(lang: pa.Array, source: pa.Array, text: pa.Array) -> pa.RecordBatch:
+    """The counts of a piece, by way of its CSR matrix of documents by terms, whose rows are summed by group."""
+    langs, sources = lang.dictionary_encode(), source.dictionary_encode()
+    group = np.asarray(langs.indices, np.int64) * max(1, len(sources.dictionary)) + np.asarray(sources.indices, np.int64)
+    groups, group = np.unique(group, return_inverse=True)
+    w = words(text, TERMS)
+    term, one = grouped(w)
+    n_terms = max(1, len(one))
+    # CSR of documents by terms: an entry for each document and term in it, with its count.
+    entry, times = np.unique(w.text_of() * n_terms + term, return_counts=True)
+    # Entries of a group and term lie together after a sort; reduceat sums them.
+    cell = group[entry // n_terms] * n_terms + entry % n_terms
+    order = np.argsort(cell)
+    cell, times = cell[order], times[order]
+    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+    at = cell[begin]
+    n = np.add.reduceat(times, begin) if len(begin) else times
+    sizes = (w.ends - w.starts)[one]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    data = w.low[np.repeat(w.starts[one] - ends[:-1], sizes) + np.arange(ends[-1])]
+    names = pa.Array.from_buffers(pa.large_string(), len(one), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    made = groups[at // n_terms]
+    parts = [langs.dictionary.take(pa.array(made // max(1, len(sources.dictionary)))), sources.dictionary.take(pa.array(made % max(1, len(sources.dictionary)))), names.take(pa.array(at % n_terms)).cast(pa.string())]
+    return pa.RecordBatch.from_arrays([*parts, pa.array(n, pa.int64()), pa.array(np.diff(begin, append=len(cell)), pa.int64())], _COUNTS)
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in the documents of a language and source, and documents that
-    have it. Each piece of a task is a CSR matrix of documents by terms, whose rows are summed by group before they leave."""
+    have it. What a task counts is put together there; a term's counts meet in one exchange by language and term, in which
+    a frequent term has a row for each task and source."""
     kept = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: list[pa.RecordBatch] = []
+
+        def summed() -> pa.Table:
+            table = pa.Table.from_batches(met).group_by(_COUNTS[:3], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+            return table.select([*_COUNTS[:3], "n_sum", "docs_sum"]).rename_columns(_COUNTS)
+
         for b in together(batches, "text", PIECE):
-            langs, sources = b.column(0).dictionary_encode(), b.column(1).dictionary_encode()
-            group = np.asarray(langs.indices, np.int64) * len(sources.dictionary) + np.asarray(sources.indices, np.int64)
-            groups, group = np.unique(group, return_inverse=True)
-            w = words(b.column(2), TERMS)
-            term, one = grouped(w)
-            n_terms = max(1, len(one))
-            # CSR of documents by terms: an entry for each document and term in it, with its count.
-            entry, times = np.unique(w.text_of() * n_terms + term, return_counts=True)
-            row, column = entry // n_terms, entry % n_terms
-            # Entries of a group and term lie together after the sort; reduceat sums them.
-            cell = group[row] * n_terms + column
-            order = np.argsort(cell, kind="stable")
-            cell, times = cell[order], times[order]
-            begin = np.flatnonzero(np.diff(cell, prepend=-1))
-            if not len(begin):
-                continue
-            at = cell[begin]
-            made = groups[at // n_terms]
-            lang, source = langs.dictionary.take(pa.array(made // len(sources.dictionary))), sources.dictionary.take(pa.array(made % len(sources.dictionary)))
-            sizes = (w.ends - w.starts)[one]
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            data = w.low[np.repeat(w.starts[one] - ends[:-1], sizes) + np.arange(ends[-1])]
-            names = pa.Array.from_buffers(pa.large_string(), len(one), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-            term = names.take(pa.array(at % n_terms)).cast(pa.string())
-            n, in_docs = np.add.reduceat(times, begin), np.diff(begin, append=len(cell))
-            yield pa.RecordBatch.from_arrays([lang, source, term, pa.array(n, pa.int64()), pa.array(in_docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
+            met.append(_counted(*b.columns))
+            if sum(m.num_rows for m in met) > MET:
+                yield from summed().to_batches()
+                met.clear()
+        if met:
+            yield from summed().to_batches()
 
     met = kept.mapInArrow(tidied(count), "lang string, source string, term string, n long, docs long")
-    return met.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return met.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -158,8 +177,9 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     a CSR matrix. Languages with many counts are dealt by term over several tasks, whose sums of distances are added; a
     language's sources meet each chunk in a cogroup, so nothing is broadcast by hand."""
     groups = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    told = counts(docs).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("per"))
-    kept = written(told.where(F.col("docs") >= least).drop("docs"), "divergence-terms")
+    # Terms that are dropped go before the rest are gathered into rows; neither moves a row again.
+    told = counts(docs).withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(F.col("docs") >= least)
+    kept = written(told.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("per")), "divergence-terms")
     of_lang = written(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum(F.size("per")).alias("nnz")), "divergence-langs")
     of_lang = of_lang.withColumn("chunks", (1 + F.floor(F.col("nnz") / CHUNK)).cast("long")).drop("nnz")
     of_group = kept.select("lang", F.inline("per")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
