@@ -53,6 +53,13 @@ def training_prompt(family: str, tools: Column, context: Column) -> Column:
     return F.when(first["role"] == "user", prompt).otherwise(F.raise_error(F.lit("the first context message has to be a user's")))
 
 
+def policy_prompt(family: str, tools: Column, messages: Column) -> Column:
+    """The prompt that a policy answers: as for training, with a last answer of the assistant's left out."""
+    from ..operators.records import without_answer
+
+    return training_prompt(family, tools, without_answer(messages))
+
+
 def eval_prompt(family: str, question: Column, tools: Column, shots: tuple[dict, ...] = ()) -> Column:
     """The prompt for a question after worked examples (question, tools, answer as they are to appear)."""
     if family == "llama":

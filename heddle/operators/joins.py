@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -10,37 +12,70 @@ class IntegrityError(ValueError):
     """Records of two stages that don't belong together."""
 
 
-def _some(rows: DataFrame, key: str) -> list:
-    return [r[0] for r in rows.select(key).limit(5).collect()]
+def _blank(key: str) -> Column:
+    return F.col(key).isNull() | (F.col(key).cast("string") == "")
+
+
+def _sided(source: DataFrame, stages: Sequence[DataFrame], key: str) -> tuple[DataFrame, list[list[str]]]:
+    """All sides' rows with the number of stage rows of their key (`__n1`, ...) and each stage's other columns as a struct
+    (`__s1`, ...), the source's rows marked `__side` = 0; and the columns of each struct. Each side is read once; the rows of
+    a key meet in the one exchange, where a window over them counts and spreads what a join would repeat."""
+    taken, columns = set(source.columns), []
+    sides = source.withColumn("__side", F.lit(0))
+    for k, stage in enumerate(stages, 1):
+        own = [c for c in stage.columns if c not in taken]
+        taken |= set(own)
+        columns.append(own)
+        sides = sides.unionByName(stage.select(key, F.struct(F.lit(True).alias("__"), *own).alias(f"__s{k}"), F.lit(k).alias("__side")), allowMissingColumns=True)
+    of_key = Window.partitionBy(key)
+    added = {f"__n{k}": F.count_if(F.col("__side") == k).over(of_key) for k in range(1, len(columns) + 1)}
+    added |= {f"__s{k}": F.first(f"__s{k}", ignorenulls=True).over(of_key) for k in range(1, len(columns) + 1)}
+    return sides.withColumns({"__n0": F.count_if(F.col("__side") == 0).over(of_key), **added}), columns
+
+
+def _faults(key: str, stages: int, names: Sequence[str] | None, every: bool) -> Column:
+    """What is wrong with the rows of a key, as a text, or null. `every` demands a row of each stage for each of the source's."""
+    shown = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    out = F.lit(None).cast("string")
+    for k in reversed(range(1, stages + 1)):
+        n, name = F.col(f"__n{k}"), names[k - 1] if names else f"stage {k}"
+        say = lambda text: F.concat(F.lit(f"{name}: {text} "), shown)  # noqa: B023, E731
+        out = F.when((n > 0) & _blank(key), F.lit(f"{name}: a row without {key}")).when(n > 1, say("more than one row of")).when((n > 0) & (F.col("__n0") == 0), say("the source lacks")).otherwise(out)
+        out = F.when((F.col("__n0") > 0) & (n == 0), say("no row of")).otherwise(out) if every else out
+    return out
+
 
+def _kept(sides: DataFrame, fault: Column, wanted: Column) -> DataFrame:
+    """The rows that are `wanted`; any row with a fault ends the action, also one that nobody would ask for."""
+    return sides.where(F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("IntegrityError: "), fault)).cast("boolean")).otherwise(wanted))
 
-def check_keys(left: DataFrame, right: DataFrame, key: str) -> None:
-    """Raises unless `right` has each of left's keys once, no blank one and no other. Each check stops at a few rows."""
-    if bad := _some(right.where(F.col(key).isNull() | (F.col(key).cast("string") == "")), key):
-        raise IntegrityError(f"{len(bad)} or more rows without {key}")
-    if bad := _some(right.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), key):
-        raise IntegrityError(f"more than one row of {bad}")
-    if bad := _some(left.join(right, key, "left_anti"), key):
-        raise IntegrityError(f"no row of {bad}")
-    if bad := _some(right.join(left, key, "left_anti"), key):
-        raise IntegrityError(f"rows of {bad} that the source lacks")
 
+def stage_join(source: DataFrame, *stages: DataFrame, key: str = "example_id", checked: bool = True, names: Sequence[str] | None = None, seen: Observation | None = None) -> DataFrame:
+    """Source rows with the columns of each stage, one to one; of columns that share a name the first stays.
 
-def stage_join(source: DataFrame, *stages: DataFrame, key: str = "example_id", checked: bool = True) -> DataFrame:
-    """Source rows with the columns of each stage, one to one. All share the key, so one partitioning serves every join."""
-    out = source
-    for stage in stages:
-        if checked:
-            check_keys(source, stage, key)
-        out = out.join(stage.select(key, *[c for c in stage.columns if c not in out.columns]), key)
-    return out
+    Checked, every source row has to have one row of each stage, and no stage may hold a key twice, a blank one, or one
+    that the source lacks: the action on the result raises where one is found, with the stage's name (`names`). `seen`
+    then counts the rows of each side (source, stage_1, ...) on the way. All sides are read once and meet in one exchange by
+    key, whatever their number. A source may repeat a key. Unchecked, it is a chain of inner joins by the key."""
+    if not checked:
+        out = source
+        for stage in stages:
+            out = out.join(stage.select(key, *[c for c in stage.columns if c not in out.columns]), key)
+        return out
+    sides, columns = _sided(source, stages, key)
+    if seen is not None:
+        sides = sides.observe(seen, *(F.count_if(F.col("__side") == k).alias(f"stage_{k}" if k else "source") for k in range(len(stages) + 1)))
+    out = _kept(sides, _faults(key, len(stages), names, True), F.col("__side") == 0)
+    return out.select(*source.columns, *(F.col(f"__s{k}.{c}").alias(c) for k, own in enumerate(columns, 1) for c in own))
 
 
 def pending(source: DataFrame, done: DataFrame, key: str, checked: bool = True) -> DataFrame:
-    """Source rows that no record of `done` covers; records of other keys raise."""
-    if checked and (bad := _some(done.join(source, key, "left_anti"), key)):
-        raise IntegrityError(f"records of {bad} that the source lacks")
-    return source.join(done.select(key), key, "left_anti")
+    """Source rows that no record of `done` covers. Checked, the action raises for records whose key is blank, repeated or not
+    the source's; both sides are read once and meet in one exchange."""
+    if not checked:
+        return source.join(done.select(key), key, "left_anti")
+    sides, _ = _sided(source, [done.select(key)], key)
+    return _kept(sides, _faults(key, 1, ["records"], False), (F.col("__side") == 0) & (F.col("__n1") == 0)).select(*source.columns)
 
 
 def latest(rows: DataFrame, key: str, ordinal: str) -> DataFrame:

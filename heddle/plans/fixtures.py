@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +109,55 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer(raw, "middle", 0, 0.0).unionByName(layer(norm, "layer_75pct", 1, 0.0)).unionByName(layer(norm, "last", 2, 0.125))
 
 
+#: Tools of varied calls: for each argument its name, type, its value in JSON, in Python's syntax and as Python shows it, and
+#: a value of a wrong type in JSON and as Python shows it. K, C, S, P and R stand for an order's columns.
+SHAPES = (
+    ("lookup", (("id", "integer", "{K}", "{K}", "{K}", "[{K}]", "[{K}]"),)),
+    ("book", (("status", "string", '"{S}"', "'{S}'", "'{S}'", "1", "1"), ("price", "float", "{P}", "{P}", "{P}"), ("paid", "boolean", "true", "True", "True"))),
+    ("get_weather", (("where", "dict", '{"city":"{R}","units":["C",null]}', "{'city': '{R}', 'units': ['C', null]}".replace("null", "None"), "{'city': '{R}', 'units': ['C', None]}", '"x"', "'x'"),)),
+    ("rank", (("ids", "array", "[{K},{C}]", "({K}, {C})", "[{K}, {C}]", "{K}", "{K}"), ("label", "str", '"it\'s \\"{S}\\""', '"it\'s \\"{S}\\""', "'it\\'s \"{S}\"'"))),
+    ("convert", (("unit", "string", '"metric"', "metric", "'metric'", "7", "7"), ("when", "string", '"a + b"', "a + b", "'a + b'"))),
+)
+#: Their specifications; the first argument of each has to be there.
+VARIED_TOOLS = json.dumps([{"name": n, "parameters": {"type": "dict", "properties": {a[0]: {"type": a[1]} for a in given}}, "required": [given[0][0]]} for n, given in SHAPES])
+_COLUMNS = {"K": "o_orderkey", "C": "o_custkey", "S": "o_orderstatus", "P": "o_totalprice", "R": "o_orderpriority"}
+
+
+def _spelled(template: str) -> str:
+    """A template as SQL that both engines read alike: pieces of text, quotes and backslashes by number, and columns."""
+    pieces = [p for p in re.split(r"(['\"\\]|\{[KCSPR]\})", template) if p]
+    return " || ".join(_COLUMNS[p[1]] if re.fullmatch(r"\{[KCSPR]\}", p) else f"chr({ord(p)})" if p in "'\"\\" else f"'{p}'" for p in pieces) or "''"
+
+
+def _given(pattern: str, value: int, wrong: int, glue: str) -> str:
+    """SQL for a call's arguments: all of them, or without the first, with one that the tool lacks, or with a wrong first one."""
+    tools = []
+    for _, given in SHAPES:
+        whole = [pattern % (a[0], a[value]) for a in given]
+        odd = {1: whole[1:], 2: [*whole, pattern % ("zz", "1")], 3: [pattern % (given[0][0], given[0][wrong]), *whole[1:]]}
+        tools.append("CASE o_orderkey % 7 " + " ".join(f"WHEN {k} THEN {_spelled(glue.join(v))}" for k, v in odd.items()) + f" ELSE {_spelled(glue.join(whole))} END")
+    return "(CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(tools)) + " END)"
+
+
+CALL_NAME = "(CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN '{n}'" for k, (n, _) in enumerate(SHAPES)) + " END)"
+CALL_FIRST = "(CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN '{given[0][0]}'" for k, (_, given) in enumerate(SHAPES)) + " END)"
+CALL_JSON, CALL_PYTHON, CALL_SHOWN = _given('"%s":%s', 2, 5, ","), _given("%s=%s", 3, 5, ", "), _given("%s=%s", 4, 6, ", ")
+_OBJECT = f"{_spelled(chr(123) + chr(34) + 'name' + chr(34) + ':' + chr(34))} || {CALL_NAME} || {_spelled(chr(34) + ',' + chr(34) + 'arguments' + chr(34) + ':' + chr(123))} || {CALL_JSON} || '}}}}'"
+_SPACED = f"{_spelled('  { ' + chr(34) + 'name' + chr(34) + ' : ' + chr(34))} || {CALL_NAME} || {_spelled(chr(34) + ', ' + chr(34) + 'parameters' + chr(34) + ' : { ')} || {CALL_JSON} || ' }}}} '"
+CALL_CANONICAL = f"'<TOOLCALL>' || {_OBJECT} || '</TOOLCALL>'"
+#: A call as a text, in one of six syntaxes by o_orderkey % 6.
+CALL_TEXT = (
+    f"CASE o_orderkey % 6 WHEN 0 THEN {CALL_CANONICAL} WHEN 1 THEN {_SPACED} WHEN 2 THEN '[' || {_OBJECT} || ']'"
+    f" WHEN 3 THEN ' ' || {CALL_NAME} || '(' || {CALL_PYTHON} || ') ' WHEN 4 THEN 'So: <TOOLCALL> [' || {_OBJECT} || '] </TOOLCALL> done' ELSE {_OBJECT} || ' and so on' END"
+)
+
+
+def varied_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, text): a call made of each order, of five tools with arguments of all types, in six syntaxes, some of them
+    invalid in one of three ways."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(CALL_TEXT).alias("text"))
+
+
 # --- the same in SQL ---------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,10 @@ from ..functions import judge, prompts
 from ..functions import metadata as M
 from ..functions.text import PAYLOAD
 from ..schemas import LABELS, PROBE_LABELS, RESPONSE_CLASSES
+from . import fixtures as D
 from .fixtures import TOOLS, quoted, sql_asks, sql_class, sql_marker, sql_payload, sql_refuses, sql_strip, with_tables
-from .queries import JUDGE_TEMPLATE, REVISED, RUNS, SEED, SHOTS, TEMPLATE
+from .queries import JUDGE_TEMPLATE, REVISED, RUNS, SEED, SHOTS, SPELLINGS, TEMPLATE
+from .stages import STUB
 
 PERCENT = "round_even(100.0::DOUBLE * {n} / {all} * 100, 0) / 100"
 
@@ -207,6 +209,47 @@ def _judge_prompt(answers: dict[str, str], before: str, after: str) -> str:
     return f"{quoted(before)} || {out} || {quoted(after)}"
 
 
+def _drawn(attempt: str, prompt: str) -> str:
+    """Which of the stub's answers a prompt gets in a round."""
+    return f"('0x' || substr(md5({attempt} || '|' || {prompt}), 1, 2))::INT % 3"
+
+
+def _sampled() -> str:
+    kinds = ", ".join(map(quoted, (STUB[0], SPELLINGS[0], SPELLINGS[0])))
+    return (
+        f"WITH g AS (SELECT o_orderkey::VARCHAR AS example_id, k, [{kinds}][1 + {_drawn('k', chr(40) + 'o_orderkey || ' + quoted('|') + ' || o_orderpriority' + chr(41))}] AS form FROM orders, range(6) t(k)),"
+        " f AS (SELECT example_id, arg_min(form, k) AS a FROM g GROUP BY example_id), e AS (SELECT example_id, min(k) AS later FROM g JOIN f USING (example_id) WHERE form <> a GROUP BY example_id),"
+        " n AS (SELECT example_id, a, coalesce(later, 5) + 1 AS n, later IS NOT NULL AS two FROM f LEFT JOIN e USING (example_id))"
+        f" SELECT example_id, n AS sampling_attempts, CASE WHEN two THEN 2 ELSE 1 END::BIGINT AS distinct_candidates_found, a AS response_a, CASE WHEN NOT two THEN a WHEN a = {quoted(STUB[0])} THEN {quoted(SPELLINGS[0])} ELSE {quoted(STUB[0])} END AS response_b,"
+        # Plain texts are valid as calls are.
+        " n AS n_valid FROM n"
+    )
+
+
+def _varied() -> dict[str, str]:
+    kind, first = "o_orderkey % 7", D.CALL_FIRST
+    reason = f"CASE {kind} WHEN 1 THEN 'missing_required:' || {first} WHEN 2 THEN 'unsupported_arguments:zz' WHEN 3 THEN 'bad_argument_type:' || {first} END"
+    object_ = f"'{{{{' || {D.CALL_JSON} || '}}}}'".replace("{{", "{").replace("}}", "}")
+    shown = f"'[' || {D.CALL_NAME} || '(' || {D.CALL_SHOWN} || ')]'"
+    payload = f"regexp_extract({D.CALL_TEXT}, '<TOOLCALL>(.*)</TOOLCALL>', 1)"
+    return {
+        "varied_calls": f"SELECT o_orderkey, {D.CALL_NAME} AS name, {object_} AS arguments, {D.CALL_CANONICAL} AS canonical, {kind} NOT IN (1, 2, 3) AS valid, {reason} AS reason, CASE WHEN {kind} IN (1, 2, 3) THEN 'invalid_tool_call' ELSE 'valid_tool_call' END AS structural_kind FROM orders",
+        "choice_conversion": f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN trim({D.CALL_TEXT}) WHEN o_orderkey % 6 IN (3, 5) THEN {D.CALL_TEXT} ELSE {shown} END AS llama, CASE WHEN o_orderkey % 4 = 0 THEN trim({D.CALL_TEXT}) WHEN o_orderkey % 6 IN (0, 4) THEN trim({payload}) ELSE {D.CALL_TEXT} END AS gemma FROM orders",
+    }
+
+
+def _policy() -> str:
+    whole = _training("llama"), _training("gemma")
+    texts = [t.rsplit("SELECT conv_id, ", 1)[1].rsplit(" AS prompt, ", 1)[0].replace("messages[2:len(messages) - 1]", "u[2:]") for t in whole]
+    return with_tables("messages").rstrip() + f", w AS (SELECT *, {UNANSWERED} AS u FROM messages) SELECT conv_id, {texts[0]} AS llama, {texts[1]} AS gemma FROM w WHERE messages[1].role = 'user'"
+
+
+def _four() -> tuple[str, str]:
+    head = _critique_cte() + f", responses AS ({D.CTE['responses']}), messages AS ({D.CTE['messages']}), j AS (SELECT *, {sql_class('response')} AS initial_class, len(messages) AS n_messages FROM m JOIN responses USING (conv_id) JOIN messages USING (conv_id)) "
+    four = head + f"SELECT conv_id AS source_row_index, n_messages, initial_class, valid, verdict, CASE WHEN coalesce(valid AND verdict = 'NO_ISSUES', false) THEN response ELSE {quoted(REVISED)} END AS revised FROM j"
+    return four, head + "SELECT initial_class, verdict, count(*) AS n_rows, sum(n_messages)::BIGINT AS n_messages FROM j GROUP BY ALL"
+
+
 def _stage_sql() -> dict[str, str]:
     arguments = "CASE conv_id % 8 WHEN 2 THEN '{\"id\":' || conv_id || '}' WHEN 7 THEN '{\"id\":' || conv_id || '}' WHEN 3 THEN '{}' WHEN 4 THEN '{}' END"
     name = "CASE conv_id % 8 WHEN 2 THEN 'lookup' WHEN 3 THEN 'lookup' WHEN 7 THEN 'lookup' WHEN 4 THEN 'nope' END"
@@ -224,12 +267,17 @@ def _stage_sql() -> dict[str, str]:
     union = " UNION ALL ".join
     return {
         "toolcall_parse": with_tables("responses") + f"SELECT conv_id, {name} AS name, {arguments} AS arguments, CASE WHEN {_CALLS} THEN '<TOOLCALL>{{\"name\":\"' || {name} || '\",\"arguments\":' || {arguments} || '}}</TOOLCALL>' ELSE {sql_strip('response')} END AS canonical FROM responses",
+        **_varied(),
+        "sampled_pairs": _sampled(),
+        "policy_prompts": _policy(),
+        "stage_join_four": _four()[0],
+        "stage_join_three": _four()[1],
         "toolcall_validate": ev + "SELECT conv_id, valid, reason FROM ev",
         "candidate_eval": ev + "SELECT conv_id, class, score, structural_kind FROM ev",
         "toolcall_render": with_tables("responses") + f"SELECT conv_id, {shown('response')} AS llama, CASE WHEN conv_id % 8 = 2 THEN '{{\"name\": \"lookup\", \"arguments\": {{\"id\": ' || conv_id || '}}}}' ELSE {sql_strip('response')} END AS gemma FROM responses",
         "rejected_valid_drop": with_tables("preference_pairs") + f", {_PAIRS} SELECT conv_id, chosen_class, rejected_class FROM pairs WHERE NOT (chosen_class = 'request_for_info' AND (starts_with(rejected, '<TOOLCALL>') OR starts_with(rejected, 'lookup(')))",
         "generate_stub_pairs": with_tables("responses")
-        + f", g AS (SELECT conv_id::VARCHAR AS example_id, k::INT AS attempt, ['I cannot answer that.', 'Which one do you mean?', 'Here it is.'][1 + ('0x' || substr(md5(({SEED} + conv_id * 6 + k) || '|' || response), 1, 2))::INT % 3] AS answer FROM responses, range(6) t(k))"
+        + f", g AS (SELECT conv_id::VARCHAR AS example_id, k::INT AS attempt, [{', '.join(map(quoted, STUB))}][1 + {_drawn('k', 'response')}] AS answer FROM responses, range(6) t(k))"
         + ", h AS (SELECT example_id, answer, min(attempt) AS attempt FROM g GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY attempt) AS place FROM h QUALIFY place <= 2",
         "request_keys": requests + f"SELECT request, {quoted(key)} AS tools, count(*) AS n_rows, min(conv_id) AS first FROM q GROUP BY request",
         "conflicting_requests": requests + "SELECT split_part(request, ' ', 1) AS words, count(DISTINCT n_messages % 2) AS n_labels, count(*) AS n_rows FROM q GROUP BY words HAVING n_labels > 1",

@@ -39,6 +39,7 @@ SHOTS = (
 SPACED_TOOLS = '[ {"required": ["id"], "parameters": {"properties": {"id": {"type": "int"}}, "type": "dict"}, "description": "d", "name": "lookup"} ]'
 JUDGE_TEMPLATE = "{{CONSTITUTION}}\nTools: {{TOOLS}}\nRequest: {{USER_REQUEST}}\nResponse: {{ASSISTANT_RESPONSE}}\nA: {{RESPONSE_A}} B: {{RESPONSE_B}}\nCritique: {{CRITIQUE}}\n"
 REVISED = "Which id do you mean?"
+SPELLINGS = ('<TOOLCALL>{"name":"lookup","arguments":{"id":1}}</TOOLCALL>', '<TOOLCALL>{"name": "lookup",  "arguments": {"id": 1}}</TOOLCALL>')
 TEMPLATE = "Rules: {{RULES}}\nRequest: {{REQUEST}}\nResponse: {{RESPONSE}}\n"
 
 
@@ -225,11 +226,35 @@ def train_eval_split(spark, sf_dir):
 
 @query
 def stage_join_ordered(spark, sf_dir):
+    # Some orders have no lines, so the checks, which want a row of each stage, are off.
     source = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), F.col("o_orderkey").alias("source_row_index"), "o_orderstatus")
-    # What two stages made of an order comes from one aggregation of its lines.
     lines = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("example_id"))
-    made = lines.agg(F.max("l_linenumber").alias("n_lines"), F.count(F.lit(1)).alias("n_rows"), F.min("l_partkey").alias("least_part"))
-    return joins.stage_join(source, made, checked=False).select("example_id", "source_row_index", "o_orderstatus", "n_lines", "n_rows", "least_part")
+    initial = lines.agg(F.max("l_linenumber").alias("n_lines"), F.count(F.lit(1)).alias("n_rows"))
+    critique = lines.agg(F.min("l_partkey").alias("least_part"))
+    return joins.stage_join(source, initial, critique, checked=False).select("example_id", "source_row_index", "o_orderstatus", "n_lines", "n_rows", "least_part")
+
+
+def _stage_records(spark, sf_dir):
+    """The source, and what three stages made of each of its rows: a response, a critique of it, and a revision."""
+    of = lambda x: x.withColumnRenamed("conv_id", "example_id")
+    source = of(D.messages(spark, sf_dir)).select("example_id", F.col("example_id").alias("source_row_index"), F.size("messages").alias("n_messages"))
+    initial = of(D.responses(spark, sf_dir)).withColumn("initial_class", X.response_class(F.col("response")))
+    critique = of(D.judge_outputs(spark, sf_dir)).select("example_id", judge.critique(F.col("critique_text")).alias("c"))
+    revision = joins.stage_join(initial, critique, names=["critiques"]).select("example_id", F.when(stages.reuses_original(F.col("c")), F.col("response")).otherwise(REVISED).alias("revised"))
+    return source, initial, critique.select("example_id", "c.valid", "c.verdict"), revision
+
+
+@query
+def stage_join_four(spark, sf_dir):
+    source, *made = _stage_records(spark, sf_dir)
+    return joins.stage_join(source, *made, names=["initial outputs", "critiques", "revisions"]).select("source_row_index", "n_messages", "initial_class", "valid", "verdict", "revised")
+
+
+@query
+def stage_join_three(spark, sf_dir):
+    source, initial, critique, _ = _stage_records(spark, sf_dir)
+    x = joins.stage_join(source, initial, critique, names=["initial outputs", "critiques"])
+    return x.groupBy("initial_class", "verdict").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_messages").alias("n_messages"))
 
 
 @query
@@ -500,11 +525,48 @@ def probe_fit_predict(spark, sf_dir):
     return probe.predict(model, x).select("example_id", "label_id", "prediction", F.array_max("probabilities").alias("confidence"))
 
 
+def _by_round(texts, seed):
+    """The stub's texts by the round of the seed alone, so that they don't depend on how prompts are batched."""
+    return stages.stub(texts, (seed - SEED) // stages.ROUND)
+
+
 @query
 def generate_stub_pairs(spark, sf_dir):
     x = D.responses(spark, sf_dir).select(F.col("conv_id").cast("string").alias("example_id"), F.col("conv_id").alias("source_row_index"), F.col("response").alias("prompt"))
-    drawn = stages.generated_attempts(x, stages.stub, attempts=6, seed=SEED)
-    return records.distinct_candidates(drawn)
+    drawn = stages.generated_attempts(x, _by_round, attempts=6, seed=SEED)
+    return records.distinct_candidates(drawn.select("example_id", "attempt", "answer"))
+
+
+@query
+def sampled_pairs(spark, sf_dir):
+    # Two of the three answers are one call in two spellings.
+    spelled = {t: t if k == 0 else SPELLINGS[k - 1] for k, t in enumerate(stages.STUB)}
+    x = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("example_id"), F.col("o_orderkey").alias("source_row_index"), F.concat_ws("|", "o_orderkey", "o_orderpriority").alias("prompt"), F.lit(D.TOOLS).alias("tools"))
+    drawn = stages.generated_attempts(x, lambda texts, seed: [spelled[t] for t in _by_round(texts, seed)], attempts=6, seed=SEED)
+    pairs = records.response_pairs(drawn.select("example_id", "attempt", F.col("canonical").alias("answer")))
+    return pairs.join(drawn.groupBy("example_id").agg(F.count_if("valid").alias("n_valid")), "example_id")
+
+
+# --- calls of many tools, types and syntaxes
+
+
+@query
+def varied_calls(spark, sf_dir):
+    x = D.varied_calls(spark, sf_dir).withColumns({"p": C.parsed_call(F.col("text")), "c": C.candidate(F.col("text"), F.lit(D.VARIED_TOOLS))})
+    return x.select("o_orderkey", "p.name", "p.arguments", "p.canonical", "c.valid", "c.reason", "c.structural_kind")
+
+
+@query
+def choice_conversion(spark, sf_dir):
+    label = F.when(F.col("o_orderkey") % 4 == 0, "cannot_answer").otherwise("tool_call")
+    convert = lambda family: C.converted_choice(label, F.col("text"), family).alias(family)
+    return D.varied_calls(spark, sf_dir).select("o_orderkey", convert("llama"), convert("gemma"))
+
+
+@query
+def policy_prompts(spark, sf_dir):
+    x = D.messages(spark, sf_dir).where(F.get("messages", F.lit(0))["role"] == "user")
+    return x.select("conv_id", *(prompts.policy_prompt(f, F.lit(D.TOOLS), F.col("messages")).alias(f) for f in ("llama", "gemma")))
 
 
 # --- keys, prompts and summaries of stages

@@ -10,16 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import toolcall
 from ..operators.joins import pending
 
 #: What a generator is: prompts and the seed of their batch in, one text for each out.
 Generator = Callable[[list[str], int], list[str]]
 
 
+#: Answers of the generator without a model.
+STUB = ("I cannot answer that.", "Which one do you mean?", "Here it is.")
+
+
 def stub(prompts: list[str], seed: int) -> list[str]:
     """A generator without a model: one of three answers, by a hash of the prompt and the seed."""
-    kinds = ("I cannot answer that.", "Which one do you mean?", "Here it is.")
-    return [kinds[hashlib.md5(f"{seed}|{p}".encode()).digest()[0] % 3] for p in prompts]
+    return [STUB[hashlib.md5(f"{seed}|{p}".encode()).digest()[0] % 3] for p in prompts]
 
 
 def generated(rows: DataFrame, generator: Generator, prompt: str, out: str, batch: int = 16, seed: int = 42, ordinal: str = "source_row_index") -> DataFrame:
@@ -38,25 +42,42 @@ def generated(rows: DataFrame, generator: Generator, prompt: str, out: str, batc
     return rows.mapInArrow(run, schema)
 
 
-def generated_attempts(rows: DataFrame, generator: Generator, attempts: int = 6, seed: int = 42, wanted: int = 2) -> DataFrame:
-    """(example_id, attempt, answer): answers to each prompt until `wanted` of them differ, a bounded number at most. Each is
-    seeded by its row and attempt, so a lost task makes the same ones again."""
+#: What lies between the seeds of two rounds of attempts.
+ROUND = 100_000
+_CANDIDATE = "example_id string, attempt int, answer string, canonical string, class string, valid boolean, reason string, structural_kind string"
+
+
+def generated_attempts(rows: DataFrame, generator: Generator, attempts: int = 6, seed: int = 42, wanted: int = 2, batch: int = 16) -> DataFrame:
+    """(example_id, attempt, answer, canonical, class, valid, reason, structural_kind): answers to each prompt until `wanted` of
+    their canonical forms differ, so a call that is only spelled otherwise is no other answer, or `attempts` are made.
+
+    `rows` has example_id, source_row_index, prompt and maybe tools (JSON text), by which calls are judged. The prompts that
+    come to a task together go through rounds: each round sends those that are still open to the generator in whole batches,
+    under a seed of the round and of the first of the batch, so a lost task makes the same answers again. A prompt that
+    is null is empty; repeated rows are prompts of their own."""
+    tools = F.col("tools") if "tools" in rows.columns else F.lit("[]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict] = {}
         for b in batches:
+            example, ordinal, prompt, spec = (c.to_pylist() for c in b.columns)
+            seen: list[set[str]] = [set() for _ in example]
             out: list[tuple] = []
-            for example, at, prompt in zip(*(c.to_pylist() for c in b.columns)):
-                seen: set[str] = set()
-                for attempt in range(attempts):
-                    [text] = generator([prompt or ""], seed + int(at or 0) * attempts + attempt)
-                    out.append((example, attempt, text))
-                    seen.add(text.strip())
-                    if len(seen) >= wanted:
-                        break
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))], ["example_id", "attempt", "answer"])
-
-    return rows.select(F.col("example_id").cast("string"), "source_row_index", "prompt").mapInArrow(run, "example_id string, attempt int, answer string")
+            for attempt in range(attempts):
+                open_ = [k for k, forms in enumerate(seen) if len(forms) < wanted]
+                for part in (open_[at : at + batch] for at in range(0, len(open_), batch)):
+                    texts = generator([prompt[k] or "" for k in part], seed + attempt * ROUND + int(ordinal[part[0]] or 0) % ROUND)
+                    for k, text in zip(part, texts, strict=True):
+                        if spec[k] not in known:
+                            known[spec[k]] = toolcall.tools_of(spec[k])
+                        e = toolcall.evaluate(text, known[spec[k]])
+                        seen[k].add(e["canonical"])
+                        out.append((example[k], attempt, text, e["canonical"], e["class"], e["valid"], e["reason"], e["structural_kind"]))
+            schema = [("example_id", pa.string()), ("attempt", pa.int32()), *((n, pa.string()) for n in ("answer", "canonical", "class")), ("valid", pa.bool_()), ("reason", pa.string()), ("structural_kind", pa.string())]
+            columns = list(zip(*out)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
+
+    return rows.select(F.col("example_id").cast("string"), "source_row_index", "prompt", tools).mapInArrow(run, _CANDIDATE)
 
 
 def reuses_original(critique: Column) -> Column:
