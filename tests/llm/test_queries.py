@@ -36,7 +36,7 @@ def results(spark, sf_dir):
 
 
 def test_columns_and_a_row_each(results, texts, spark, sf_dir):
-    assert set(results) == set(COLUMNS) | {"op3_pii"}
+    assert set(results) == set(COLUMNS) | {"op3_pii", "op11_decontamination", "op12_source_divergence", "op13_filter_interaction"}
     pages = {r[0] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id").collect()}
     for name, wanted in COLUMNS.items():
         columns, rows = results[name]
