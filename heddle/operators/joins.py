@@ -46,8 +46,9 @@ def _faults(key: str, stages: int, names: Sequence[str] | None, every: bool) ->
 
 
 def _kept(sides: DataFrame, fault: Column, wanted: Column) -> DataFrame:
-    """The rows that are `wanted`; any row with a fault ends the action, also one that nobody would ask for."""
-    return sides.where(F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("IntegrityError: "), fault)).cast("boolean")).otherwise(wanted))
+    """The rows that are `wanted`; any row with a fault ends the action, also one that a later filter wouldn't want: the number
+    of the partition decides nothing, but keeps filters from being moved before the check."""
+    return sides.where((F.spark_partition_id() >= 0) & F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("IntegrityError: "), fault)).cast("boolean")).otherwise(wanted))
 
 
 def stage_join(source: DataFrame, *stages: DataFrame, key: str = "example_id", checked: bool = True, names: Sequence[str] | None = None, seen: Observation | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import response_class, stripped
-from ..functions.toolcall import tools_key
+from ..functions.calls import tools_key
 from ..schemas import PROBE_LABELS
 
 

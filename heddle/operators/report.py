@@ -15,7 +15,8 @@ PENDING = "Pending probe run"
 def counted(rows: DataFrame, *by: str) -> DataFrame:
     """(by..., n, percent) of each combination of values, nulls kept; percent of all rows to two decimals, half to even."""
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    whole = F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(*by))
+    # The total is a subquery of one number, to which each task adds one; the groups stay where they were counted.
+    whole = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("percent", F.rint(F.lit(100.0) * F.col("n") / whole * 100) / 100)
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Leading hexadecimal digits of the hash that cut a class into buckets.
@@ -98,8 +104,77 @@ def check_even(rows: DataFrame, by: str) -> int:
     return least or 0
 
 
-def replayed(sizes: dict[str, int], n: int, seed: int) -> dict[str, list[int]]:
-    """Ordinals that a sequential sampler with one generator picks from pools of these sizes, in the pools' order.
-    Picks depend on sizes only, so they are made here and joined to the pools by ordinal."""
-    generator = random.Random(seed)
-    return {label: generator.sample(range(size), n) for label, size in sizes.items()}
+def replayed(spark: SparkSession, sizes: dict[str, int], n: int, seed: int) -> DataFrame:
+    """(label, place, ordinal): what a sequential sampler with one generator picks from pools of these sizes, in the pools' order.
+    Picks depend on sizes only; a task makes them one pool after the other, and they are joined to the pools by ordinal."""
+    pools = list(sizes.items())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            generator = random.Random(seed)
+            for label, size in pools:
+                picks = generator.sample(range(size), n)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(picks, pa.int64())], ["label", "place", "ordinal"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(pick, "label string, place long, ordinal long")
+
+
+#: Rounds of a permutation.
+ROUNDS = 6
+
+
+def permuted(x: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The numbers 0 to n - 1 under a keyed permutation: a Feistel network over pairs (x // b, x % b), whose halves are of about
+    the root of n, walked on from what falls beyond n until it comes back, which it does."""
+    x, n = np.array(x, np.uint64), int(n)
+    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    b = -(-n // a)
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v // np.uint64(b), v % np.uint64(b)
+        for k in range(ROUNDS):
+            # The halves take turns; the one that stays says by how much the other moves on.
+            stays, moves, size = (right, left, a) if k % 2 == 0 else (left, right, b)
+            by = _mixed(stays, hash_of(seed, k))
+            moved = (moves + by % np.uint64(size)) % np.uint64(size)
+            left, right = (moved, right) if k % 2 == 0 else (left, moved)
+        return left * np.uint64(b) + right
+
+    out = once(x)
+    while (far := out >= n).any():
+        out[far] = once(out[far])
+    return out.astype(np.int64)
+
+
+def hash_of(seed: int, k: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{seed}|{k}".encode(), digest_size=8).digest(), "big")
+
+
+def _mixed(x: np.ndarray, key: int) -> np.ndarray:
+    """64 bits that depend on all bits of x and of the key: two rounds of an odd multiplication and a shift."""
+    x = x ^ np.uint64(key)
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(odd)
+    return x ^ (x >> np.uint64(29))
+
+
+def shuffled(rows: DataFrame, ordinal: str, n: int, seed: int, name: str = "place") -> DataFrame:
+    """`rows` with the place, from 0, of each in a shuffle of all n: a keyed permutation of their ordinals 0 to n - 1. Nothing
+    is moved or sorted; a writer that wants the order sorts by the place, or cuts it into ranges. An ordinal that is null or
+    out of range raises."""
+
+    @F.pandas_udf("long")
+    def at(x: pd.Series) -> pd.Series:
+        if len(x) and (x.isna().any() or x.min() < 0 or x.max() >= n):
+            raise ValueError(f"ordinals have to be 0 to {n - 1}")
+        return pd.Series(permuted(x.to_numpy(), n, seed))
+
+    return rows.withColumn(name, at(F.col(ordinal).cast("long")))
+
+
+def split_audit(halves: DataFrame, by: str, requested: int | None = None) -> DataFrame:
+    """One row: seed-independent facts of a balanced split: rows of each class and half, whether halves and classes are even,
+    and the total, for the record that goes with the split."""
+    counts = halves.groupBy(by, "half").agg(F.count(F.lit(1)).alias("n"))
+    one = counts.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"), F.sort_array(F.collect_list(F.struct(F.col(by).alias("class"), "half", "n"))).alias("counts"))
+    return one.select(F.lit(requested).cast("long").alias("requested_per_class"), "total", (F.col("least") == F.col("most")).alias("even"), "counts")

@@ -88,10 +88,9 @@ def eval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(uuid, run_key, gold, probe) of nine in ten events."""
+    """(uuid, run_key, gold, probe) from events."""
     e = F.col("event_id")
-    x = table(spark, sf_dir, "events").where(e % 10 != 0)
-    return x.select(e.alias("uuid"), F.col("event_type").alias("run_key"), label_at(1 + F.col("user_id") % 3).alias("gold"), label_at(1 + e % 3).alias("probe"))
+    return table(spark, sf_dir, "events").select(e.alias("uuid"), F.col("event_type").alias("run_key"), label_at(1 + F.col("user_id") % 3).alias("gold"), label_at(1 + e % 3).alias("probe"))
 
 
 def choice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +119,9 @@ SHAPES = (
 )
 #: Their specifications; the first argument of each has to be there.
 VARIED_TOOLS = json.dumps([{"name": n, "parameters": {"type": "dict", "properties": {a[0]: {"type": a[1]} for a in given}}, "required": [given[0][0]]} for n, given in SHAPES])
+#: Tools of a conversation: one of three descriptions, in one of two spellings that mean the same.
+ROW_TOOLS = """CASE WHEN conv_id % 2 = 0 THEN '[{"name":"lookup","description":"d' || conv_id % 3 || '","parameters":{"type":"dict","properties":{"id":{"type":"int"}}},"required":["id"]},{"name":"book","price":2.5}]'
+    ELSE '[ {"price": 2.5, "name": "book"} , {"required": ["id"], "parameters": {"properties": {"id": {"type": "int"}}, "type": "dict"}, "description": "d' || conv_id % 3 || '", "name": "lookup"} ]' END"""
 _COLUMNS = {"K": "o_orderkey", "C": "o_custkey", "S": "o_orderstatus", "P": "o_totalprice", "R": "o_orderpriority"}
 
 
@@ -205,7 +207,7 @@ CTE = {
         CASE conv_id % 6 WHEN 0 THEN E'Winner: A\nReason: ' || text WHEN 1 THEN E'winner: b\nreason: z' WHEN 2 THEN E'Winner: C\nReason: q' WHEN 3 THEN 'Reason: only' WHEN 4 THEN '' ELSE 'Winner: A' END AS preference_text FROM last_turns""",
     "messages": "SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id",
     "eval_samples": f"SELECT event_id AS uuid, event_type AS run_key, {LABEL_LIST}[1 + (1 + user_id % 3)] AS gold, {LABEL_LIST}[1 + event_id % 4] AS pred_raw, {LABEL_LIST}[1 + (event_id + user_id) % 4] AS pred_norm FROM events",
-    "probe_preds": f"SELECT event_id AS uuid, event_type AS run_key, {LABEL_LIST}[1 + (1 + user_id % 3)] AS gold, {LABEL_LIST}[1 + (1 + event_id % 3)] AS probe FROM events WHERE event_id % 10 <> 0",
+    "probe_preds": f"SELECT event_id AS uuid, event_type AS run_key, {LABEL_LIST}[1 + (1 + user_id % 3)] AS gold, {LABEL_LIST}[1 + (1 + event_id % 3)] AS probe FROM events",
     "label_dim": "SELECT unnest(['direct', 'tool_call', 'request_for_info', 'cannot_answer']) AS label, unnest([0, 1, 2, 3]) AS k",
     "choice_scores": "SELECT event_id AS uuid, label, ((event_id * 31 + 17 * (k + 1)) % 97)::DOUBLE AS score, repeat('x', (5 + k)::INT) AS text FROM events, label_dim",
     "long_samples": "SELECT uuid, run_key, gold, 'raw' AS scoring, pred_raw AS pred FROM eval_samples UNION ALL SELECT uuid, run_key, gold, 'normalized', pred_norm FROM eval_samples",

@@ -128,7 +128,7 @@ def _any(*words: str) -> str:
 
 
 def _named() -> str:
-    rows = ", ".join("(" + ", ".join(quoted(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in RUNS)
+    rows = ", ".join("(" + ", ".join(quoted(v) if isinstance(v, str) else str(v) for v in (k, *r)) + ")" for k, r in enumerate(RUNS))
     group = f"CASE WHEN source IN ('Prompting', 'Post-Training', 'CAI', 'Probe') THEN source WHEN {_any('self_full', '_model_eval')} THEN 'CAI' WHEN {_any('sft_zeroshot_eval', 'dpo_zeroshot_eval')} THEN 'Post-Training' WHEN {_any('probe')} THEN 'Probe' WHEN {_any('4shot', '4-shot', 'zeroshot', 'zero-shot')} THEN 'Prompting' ELSE 'Unknown' END"
     four, zero = f"({_any('4shot', '4-shot')} OR shots = 4)", f"({_any('zeroshot', 'zero-shot')} OR shots = 0)"
     variant = (
@@ -139,7 +139,8 @@ def _named() -> str:
     short = "CASE run_group || '|' || variant_label " + " ".join(f"WHEN {quoted(f'{g}|{v}')} THEN {quoted(s)}" for (g, v), s in M.SHORT_VARIANT.items()) + " ELSE variant_label END"
     fam = "CASE model_family WHEN 'llama' THEN 'Llama' WHEN 'gemma' THEN 'Gemma' ELSE model_family END"
     return (
-        f"WITH r(run_key, family, model, output_dir, shots, source) AS (VALUES {rows}),"
+        f"WITH v(k, run_key, family, model, output_dir, shots, source) AS (VALUES {rows}), ev AS (SELECT DISTINCT event_type, user_id FROM events),"
+        f" r AS (SELECT v.run_key || '_' || event_type || '_' || user_id AS run_key, family, model, output_dir || '/' || user_id AS output_dir, shots, source FROM ev JOIN v ON v.k = (length(event_type) + user_id) % {len(RUNS)}),"
         " a AS (SELECT *, lower(run_key || ' ' || family || ' ' || model) AS fh, lower(run_key || ' ' || output_dir || ' ' || model) AS hay FROM r),"
         f" b AS (SELECT *, CASE WHEN contains(fh, 'llama') THEN 'llama' WHEN contains(fh, 'gemma') THEN 'gemma' WHEN family <> '' THEN family ELSE 'unknown' END AS model_family, {group} AS run_group FROM a),"
         f" c AS (SELECT *, {variant} AS variant_label FROM b),"
@@ -179,7 +180,7 @@ def _selection() -> str:
 
 
 _DIRECT = "dr AS (SELECT run_key, scoring, count(*) AS n_examples, count(*) FILTER (pred = 'direct') AS n_direct, count(*) FILTER (pred = 'direct') / greatest(count(*), 1) AS direct_rate FROM long_samples GROUP BY ALL)"
-_COMPARED = "cmp AS (SELECT p.*, s.gold AS sample_gold, s.pred_norm, s.uuid IS NOT NULL AS matched FROM probe_preds p LEFT JOIN (SELECT * FROM eval_samples WHERE uuid % 7 <> 0) s ON p.uuid = s.uuid)"
+_COMPARED = "cmp AS (SELECT p.*, s.gold AS sample_gold, s.pred_norm, s.uuid IS NOT NULL AS matched FROM probe_preds p LEFT JOIN (SELECT uuid + 7 AS uuid, run_key, gold, pred_raw, pred_norm FROM eval_samples) s ON p.uuid = s.uuid)"
 _INSIDE = "(" + ", ".join(map(quoted, PROBE_LABELS)) + ")"
 _SPLIT = "CASE WHEN place <= round(n * {share})::BIGINT THEN 'eval' ELSE 'train' END AS split"
 
@@ -255,10 +256,10 @@ def _stage_sql() -> dict[str, str]:
     name = "CASE conv_id % 8 WHEN 2 THEN 'lookup' WHEN 3 THEN 'lookup' WHEN 7 THEN 'lookup' WHEN 4 THEN 'nope' END"
     ev = with_tables("responses") + f", {_EVALUATED} "
     pairs = with_tables("preference_pairs", "messages", "judge_outputs")
-    key = '{"lookup": {"description": "d", "name": "lookup", "parameters": {"properties": {"id": {"type": "int"}}, "type": "dict"}, "required": ["id"]}}'
+    key = """'{"book":{"name":"book","price":2.5},"lookup":{"description":"d' || conv_id % 3 || '","name":"lookup","parameters":{"properties":{"id":{"type":"int"}},"type":"dict"},"required":["id"]}}'"""
     first = sql_strip("messages[1].content")
-    requests = with_tables("messages") + f", q AS (SELECT conv_id, len(messages) AS n_messages, {first} AS request FROM messages) "
-    samples = "s AS (SELECT conv_id AS example_id, turn AS attempt, split_part(text, ' ', 1) AS answer FROM conversations), f AS (SELECT example_id, answer, min(attempt) AS first FROM s GROUP BY ALL), d AS (SELECT example_id, list(answer ORDER BY first) AS a FROM f GROUP BY example_id)"
+    requests = with_tables("messages") + f", q AS (SELECT conv_id, len(messages) AS n_messages, {first} AS request, {key} AS tools FROM messages) "
+    samples = "s AS (SELECT conv_id AS example_id, turn AS attempt, text AS answer FROM conversations), f AS (SELECT example_id, answer, min(attempt) AS first FROM s GROUP BY ALL), d AS (SELECT example_id, list(answer ORDER BY first) AS a FROM f GROUP BY example_id)"
     rp = f"WITH {samples}, rp AS (SELECT s.example_id, count(*) AS sampling_attempts, len(any_value(a))::BIGINT AS distinct_candidates_found, any_value(a)[1] AS response_a, coalesce(any_value(a)[2], arg_max(answer, attempt)) AS response_b FROM s JOIN d USING (example_id) GROUP BY s.example_id) "
     llama, gemma, qwen = ("<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n", "\n<|eot_id|>\n<|start_header_id|>assistant<|end_header_id|>\n"), ("<start_of_turn>user\n", "<end_of_turn>\n<start_of_turn>model\n"), ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n")
     used = "conv_id % 6 = 0"
@@ -279,8 +280,8 @@ def _stage_sql() -> dict[str, str]:
         "generate_stub_pairs": with_tables("responses")
         + f", g AS (SELECT conv_id::VARCHAR AS example_id, k::INT AS attempt, [{', '.join(map(quoted, STUB))}][1 + {_drawn('k', 'response')}] AS answer FROM responses, range(6) t(k))"
         + ", h AS (SELECT example_id, answer, min(attempt) AS attempt FROM g GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY attempt) AS place FROM h QUALIFY place <= 2",
-        "request_keys": requests + f"SELECT request, {quoted(key)} AS tools, count(*) AS n_rows, min(conv_id) AS first FROM q GROUP BY request",
-        "conflicting_requests": requests + "SELECT split_part(request, ' ', 1) AS words, count(DISTINCT n_messages % 2) AS n_labels, count(*) AS n_rows FROM q GROUP BY words HAVING n_labels > 1",
+        "request_keys": requests + "SELECT request, tools, count(*) AS n_rows, min(conv_id) AS first FROM q GROUP BY request, tools",
+        "conflicting_requests": requests + "SELECT tools, count(DISTINCT n_messages % 2) AS n_labels, count(*) AS n_rows FROM q GROUP BY tools HAVING n_labels > 1",
         "judge_prompts": pairs
         + f"SELECT conv_id, {_judge_prompt({'ASSISTANT_RESPONSE': 'chosen'}, *llama)} AS critique, {_judge_prompt({'ASSISTANT_RESPONSE': 'chosen', 'CRITIQUE': 'critique_text'}, *gemma)} AS revision, {_judge_prompt({'RESPONSE_A': 'chosen', 'RESPONSE_B': 'rejected'}, *qwen)} AS preference FROM preference_pairs JOIN messages USING (conv_id) JOIN judge_outputs USING (conv_id)",
         "tools_indented": f"SELECT DISTINCT conv_id, '[' || chr(10) || '  {{' || chr(10) || '    \"name\": \"lookup\",' || chr(10) || '    \"id\": ' || conv_id || chr(10) || '  }}' || chr(10) || ']' AS shown, {quoted(TOOLS)} AS passed FROM conversations",
@@ -297,9 +298,9 @@ def _stage_sql() -> dict[str, str]:
         + ", a AS (SELECT run_key, count(*) AS n_examples, count(*) FILTER (gold = pred) / count(*) AS accuracy FROM i GROUP BY run_key) SELECT run_key, any_value(n_examples) AS n_examples, any_value(accuracy) AS accuracy, sum(CASE WHEN b > 0 THEN t / b ELSE 0.0 END) / 3 AS macro_f1 FROM f JOIN a USING (run_key) GROUP BY run_key",
         "last_sample_wins": with_tables("probe_preds", "eval_samples") + "SELECT p.run_key, count(*) AS n, count(*) FILTER (CASE WHEN e.uuid % 3 = 0 THEN 'direct' ELSE e.pred_norm END = 'direct') AS n_direct FROM probe_preds p LEFT JOIN eval_samples e USING (uuid) GROUP BY p.run_key",
         "macro_f1_delta": with_tables("summaries") + "SELECT a.run_key, a.macro_f1 AS raw, b.macro_f1 AS normalized, b.macro_f1 - a.macro_f1 AS macro_f1_delta, printf('%.1f%%', b.macro_f1 * 100) AS percent FROM summaries a JOIN summaries b USING (run_key) WHERE a.scoring = 'raw' AND b.scoring = 'normalized'",
-        "pending_panels": "SELECT 'click' AS run_key, 'normalized' AS scoring, unnest(['tool_call', 'request_for_info', 'cannot_answer']) AS label, 0.0::DOUBLE AS accuracy, 'C' AS panel WHERE EXISTS (SELECT 1 FROM events WHERE event_type = 'click')",
+        "pending_panels": with_tables("run_metrics") + "SELECT run_key, 'normalized' AS scoring, unnest(['tool_call', 'request_for_info', 'cannot_answer']) AS label, 0.0::DOUBLE AS accuracy, upper(substr(run_key, 1, 1)) AS panel FROM run_metrics GROUP BY run_key HAVING max(accuracy) < (SELECT avg(accuracy) FROM run_metrics)",
         "value_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
-        "smoke_total": "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE source IS NOT NULL AND lang IN ('en', 'de', 'fr') QUALIFY place <= 5",
+        "smoke_total": "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents QUALIFY place <= 5",
     }
 
 
@@ -340,7 +341,7 @@ def oracle_sql() -> dict[str, str]:
         + f", x AS (SELECT conv_id, {sql_strip('chosen')} AS a, {sql_strip('rejected')} AS b, {_preference()} FROM preference_pairs JOIN judge_outputs USING (conv_id))"
         + ", y AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 'empty_candidate' WHEN a = b THEN 'duplicate_candidates' WHEN NOT valid THEN 'preference_parse_failed' END AS failure_reason FROM x)"
         + f" SELECT conv_id, failure_reason IS NULL AS valid, failure_reason, CASE WHEN failure_reason IS NULL THEN CASE winner WHEN 'A' THEN a ELSE b END END AS preferred, CASE WHEN failure_reason IS NULL THEN CASE winner WHEN 'A' THEN b ELSE a END END AS rejected, CASE WHEN failure_reason IS NULL THEN CASE winner WHEN 'A' THEN {sql_class('a')} ELSE {sql_class('b')} END END AS chosen_class FROM y",
-        "distinct_candidates": "WITH f AS (SELECT conv_id AS example_id, split_part(text, ' ', 1) AS answer, min(turn) AS attempt FROM conversations GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY attempt) AS place FROM f QUALIFY place <= 2",
+        "distinct_candidates": "WITH f AS (SELECT conv_id AS example_id, text AS answer, min(turn) AS attempt FROM conversations GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY attempt) AS place FROM f QUALIFY place <= 2",
         "confusion_matrix": with_tables("eval_samples", "label_dim") + "SELECT r.run_key, a.label AS gold, b.label AS pred, count(e.uuid) AS n FROM (SELECT DISTINCT run_key FROM eval_samples) r, label_dim a, label_dim b LEFT JOIN eval_samples e ON e.run_key = r.run_key AND e.gold = a.label AND e.pred_raw = b.label GROUP BY ALL",
         "accuracy_macro_f1": _summary(LABELS),
         "accuracy_macro_f1_three": _summary(PROBE_LABELS),

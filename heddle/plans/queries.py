@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import judge, prompts
+from ..functions import calls, judge, prompts
 from ..functions import metadata as M
 from ..functions import text as X
 from ..functions import toolcall as C
@@ -35,8 +35,8 @@ SHOTS = (
     {"question": "What is the weather in Oslo? ", "tools": D.TOOLS, "answer": '{"name": "lookup", "arguments": {"id": 1}}'},
     {"question": "Book it.", "tools": D.TOOLS, "answer": "Which one do you mean?"},
 )
-#: The one tool, written in another way, and a value that isn't text.
-SPACED_TOOLS = '[ {"required": ["id"], "parameters": {"properties": {"id": {"type": "int"}}, "type": "dict"}, "description": "d", "name": "lookup"} ]'
+#: How much later the ids of compared samples are than those of events.
+SHIFT = 7
 JUDGE_TEMPLATE = "{{CONSTITUTION}}\nTools: {{TOOLS}}\nRequest: {{USER_REQUEST}}\nResponse: {{ASSISTANT_RESPONSE}}\nA: {{RESPONSE_A}} B: {{RESPONSE_B}}\nCritique: {{CRITIQUE}}\n"
 REVISED = "Which id do you mean?"
 SPELLINGS = ('<TOOLCALL>{"name":"lookup","arguments":{"id":1}}</TOOLCALL>', '<TOOLCALL>{"name": "lookup",  "arguments": {"id": 1}}</TOOLCALL>')
@@ -291,7 +291,7 @@ def dpo_export(spark, sf_dir):
 
 @query
 def distinct_candidates(spark, sf_dir):
-    x = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("example_id"), F.col("turn").alias("attempt"), F.substring_index("text", " ", 1).alias("answer"))
+    x = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("example_id"), F.col("turn").alias("attempt"), F.col("text").alias("answer"))
     return records.distinct_candidates(x)
 
 
@@ -362,7 +362,8 @@ def norm_delta(spark, sf_dir):
 
 
 def _compared(spark, sf_dir):
-    return joins.compared(D.probe_preds(spark, sf_dir), D.eval_samples(spark, sf_dir).where(F.col("uuid") % 7 != 0))
+    # Samples of later ids: the first probes have none.
+    return joins.compared(D.probe_preds(spark, sf_dir), D.eval_samples(spark, sf_dir).withColumn("uuid", F.col("uuid") + SHIFT))
 
 
 @query
@@ -409,17 +410,24 @@ def best_hparam(spark, sf_dir):
     return report.best_parameter(D.run_metrics(spark, sf_dir), "run_key", "layer_tag", "macro_f1", "position")
 
 
-def _named(spark):
-    runs = spark.createDataFrame(list(RUNS), "run_key string, family string, model string, output_dir string, shots int, source string")
+def _runs(spark, sf_dir):
+    """Runs made of events: a key for each kind of event and user, with one of the settings of RUNS by both."""
+    e = D.table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    settings = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("run_key", "family", "model", "output_dir", "shots", "source"))]) for r in RUNS])
+    s = F.element_at(settings, (1 + (F.length("event_type") + F.col("user_id")) % len(RUNS)).cast("int"))
+    return e.select(F.concat_ws("_", s["run_key"], F.col("event_type"), "user_id").alias("run_key"), s["family"].alias("family"), s["model"].alias("model"), F.concat(s["output_dir"], F.lit("/"), "user_id").alias("output_dir"), (s["shots"] + F.lit(0)).cast("int").alias("shots"), s["source"].alias("source"))
+
+
+def _named(spark, sf_dir):
     c = F.col
-    x = runs.withColumn("model_family", M.model_family(c("run_key"), c("family"), c("model"))).withColumn("run_group", M.run_group(c("run_key"), c("output_dir"), c("model"), c("source")))
+    x = _runs(spark, sf_dir).withColumn("model_family", M.model_family(c("run_key"), c("family"), c("model"))).withColumn("run_group", M.run_group(c("run_key"), c("output_dir"), c("model"), c("source")))
     x = x.withColumn("variant_label", M.eval_variant(c("run_key"), c("output_dir"), c("model"), c("shots"), c("run_group")))
     return x.withColumns({"run_display": M.run_display(c("model_family"), c("run_group"), c("variant_label")), "short_display": M.short_display(c("model_family"), c("run_group"), c("variant_label"))})
 
 
 @query
 def sort_runs(spark, sf_dir):
-    return report.with_ranks(_named(spark)).select("run_key", *[r for r in report.RANKS if r != "run_key"])
+    return report.with_ranks(_named(spark, sf_dir)).select("run_key", *[r for r in report.RANKS if r != "run_key"])
 
 
 @query
@@ -445,7 +453,7 @@ def extrema_bold(spark, sf_dir):
 
 @query
 def run_metadata(spark, sf_dir):
-    x = _named(spark)
+    x = _named(spark, sf_dir)
     c = F.col
     x = x.withColumns({"setting": M.probe_setting(c("run_key"), F.lit(""), c("output_dir")), "probe_of": M.probe_source(c("run_key"), F.lit(""), c("output_dir"), c("model"), c("shots"))})
     return x.select("run_key", "model_family", "run_group", "variant_label", "run_display", "short_display", "setting", "probe_of", M.probe_display(c("model_family"), c("setting"), c("probe_of")).alias("probe_display"), M.model_slug(c("model")).alias("model_slug"))
@@ -458,7 +466,7 @@ def latex_escape(spark, sf_dir):
 
 def _ids(spark, sf_dir):
     x = D.table(spark, sf_dir, "documents").select("doc_id", "source", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
-    return x.select("doc_id", "source", F.slice("ids", 1, 5).alias("prompt"), F.slice("ids", 6, 1_000_000).alias("target"))
+    return x.select("doc_id", "source", F.slice("ids", 1, 5).alias("prompt"), F.slice("ids", 6, F.greatest(F.size("ids"), F.lit(1))).alias("target"))
 
 
 def _sums(x, *more):
@@ -490,8 +498,7 @@ def layer_specs(spark, sf_dir):
 
 @query
 def toolcall_parse(spark, sf_dir):
-    x = D.responses(spark, sf_dir).withColumn("c", C.parsed_call(F.col("response")))
-    return x.select("conv_id", "c.name", "c.arguments", "c.canonical")
+    return calls.parsed_calls(D.responses(spark, sf_dir), "response", "c").select("conv_id", "c.name", "c.arguments", "c.canonical")
 
 
 @query
@@ -521,8 +528,9 @@ def rejected_valid_drop(spark, sf_dir):
 @query
 def probe_fit_predict(spark, sf_dir):
     x = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("example_id"), F.col("embedding").alias("features"), F.col("label").alias("label_id"))
-    model, _, _ = probe.fit(x)
-    return probe.predict(model, x).select("example_id", "label_id", "prediction", F.array_max("probabilities").alias("confidence"))
+    x = sampling.fraction_split(x, "example_id", 0.25, SEED, by="label_id").withColumnRenamed("split", "part")
+    model, _, _ = probe.fit(x.where("part = 'train'").drop("part"))
+    return probe.predict(model, x.where("part = 'eval'")).select("example_id", "label_id", "prediction", F.array_max("probabilities").alias("confidence"))
 
 
 def _by_round(texts, seed):
@@ -552,7 +560,7 @@ def sampled_pairs(spark, sf_dir):
 
 @query
 def varied_calls(spark, sf_dir):
-    x = D.varied_calls(spark, sf_dir).withColumns({"p": C.parsed_call(F.col("text")), "c": C.candidate(F.col("text"), F.lit(D.VARIED_TOOLS))})
+    x = calls.parsed_calls(D.varied_calls(spark, sf_dir), "text", "p").withColumn("c", C.candidate(F.col("text"), F.lit(D.VARIED_TOOLS)))
     return x.select("o_orderkey", "p.name", "p.arguments", "p.canonical", "c.valid", "c.reason", "c.structural_kind")
 
 
@@ -573,8 +581,7 @@ def policy_prompts(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    tools = F.when(F.col("conv_id") % 2 == 0, D.TOOLS).otherwise(SPACED_TOOLS)
-    return D.messages(spark, sf_dir).select("conv_id", F.size("messages").alias("n_messages"), records.request_key(F.slice("messages", 1, 1), tools).alias("key"))
+    return D.messages(spark, sf_dir).select("conv_id", F.size("messages").alias("n_messages"), records.request_key(F.col("messages"), F.expr(D.ROW_TOOLS)).alias("key"))
 
 
 @query
@@ -585,8 +592,8 @@ def request_keys(spark, sf_dir):
 
 @query
 def conflicting_requests(spark, sf_dir):
-    x = _requests(spark, sf_dir).withColumns({"words": F.substring_index("key.request", " ", 1), "label": F.col("n_messages") % 2})
-    return joins.conflicting(x, "words", "label")
+    x = _requests(spark, sf_dir).select(F.col("key.tools").alias("tools"), (F.col("n_messages") % 2).alias("label"))
+    return joins.conflicting(x, "tools", "label")
 
 
 def _judged(spark, sf_dir):
@@ -655,7 +662,7 @@ def revision_summary(spark, sf_dir):
 
 
 def _response_pairs(spark, sf_dir):
-    x = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("example_id"), F.col("turn").alias("attempt"), F.substring_index("text", " ", 1).alias("answer"))
+    x = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("example_id"), F.col("turn").alias("attempt"), F.col("text").alias("answer"))
     return records.response_pairs(x)
 
 
@@ -698,7 +705,7 @@ def restricted_metrics(spark, sf_dir):
 @query
 def last_sample_wins(spark, sf_dir):
     e = D.eval_samples(spark, sf_dir)
-    twice = e.withColumn("at", F.lit(0)).unionByName(e.where(F.col("uuid") % 3 == 0).withColumns({"pred_norm": F.lit("direct"), "at": F.lit(1)}))
+    twice = e.withColumn("at", F.lit(0)).unionByName(e.withColumns({"pred_norm": F.when(F.col("uuid") % 3 == 0, "direct").otherwise(F.col("pred_norm")), "at": F.lit(1)}))
     x = joins.compared(D.probe_preds(spark, sf_dir), twice, ordinal="at")
     return x.groupBy("run_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred_norm") == "direct").alias("n_direct"))
 
@@ -713,8 +720,10 @@ def macro_f1_delta(spark, sf_dir):
 
 @query
 def pending_panels(spark, sf_dir):
-    keys = D.run_metrics(spark, sf_dir).select("run_key").distinct()
-    missing = report.missing_keys(keys.where("run_key <> 'click'"), keys)
+    made = D.run_metrics(spark, sf_dir)
+    keys = made.select("run_key").distinct()
+    # Runs below the mean accuracy of all are taken for those whose probes are still to come.
+    missing = report.missing_keys(made.groupBy("run_key").agg(F.max("accuracy").alias("a")).where(F.col("a") >= made.agg(F.avg("accuracy")).scalar()).select("run_key"), keys)
     rows = report.pending_probes(missing, ("raw", "normalized"), PROBE_LABELS).unionByName(report.placeholders(keys, ("raw",), ("direct",)), allowMissingColumns=True)
     panels = keys.select(F.col("run_key").alias("run_display"), F.upper(F.substring("run_key", 1, 1)).alias("panel"))
     pending = rows.where(~records.real(F.col("is_probe_pending")) & records.scored(F.col("scoring"), "normalized", F.col("label"), PROBE_LABELS))
@@ -728,5 +737,4 @@ def value_counts(spark, sf_dir):
 
 @query
 def smoke_total(spark, sf_dir):
-    x = D.table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "lang")
-    return sampling.smoke(x.where(F.col("lang").isin("en", "de", "fr")), "lang", "doc_id", 15)
+    return sampling.smoke(D.table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 20, classes=4)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import toolcall
 from ..operators.joins import pending
+from ..sources.rows import small_text
+from ..sources.sinks import write_text
 
 #: What a generator is: prompts and the seed of their batch in, one text for each out.
 Generator = Callable[[list[str], int], list[str]]
@@ -139,29 +142,75 @@ class Options:
 
 @dataclass
 class Step:
+    """A table and how it is made. `inputs` are the paths that it is read from, of earlier steps or from outside; `settings` are
+    what else its rows depend on."""
+
     name: str
     path: str
     make: Callable[[SparkSession], DataFrame]
+    inputs: tuple[str, ...] = ()
+    settings: dict = field(default_factory=dict)
+
+
+#: The file beside a step's output that holds the fingerprint of what it was made from.
+FINGERPRINT = "_FINGERPRINT"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _contents(spark: SparkSession, path: str) -> list:
+    """What tells an input from another: an earlier step's fingerprint, or else each file's name, size and time."""
+    if (stored := small_text(spark, f"{path}/{FINGERPRINT}")) is not None:
+        return [path, stored]
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return [path, None]
+    found, listed = files.listFiles(at, True) if files.getFileStatus(at).isDirectory() else None, []
+    if found is None:
+        one = files.getFileStatus(at)
+        return [path, [[one.getPath().getName(), one.getLen(), one.getModificationTime()]]]
+    while found.hasNext():
+        one = found.next()
+        if not one.getPath().getName().startswith("."):
+            listed.append([one.getPath().toString(), one.getLen(), one.getModificationTime()])
+    return [path, sorted(listed)]
+
+
+def fingerprint(spark: SparkSession, step: Step) -> str:
+    """A digest of a step's name, settings and inputs."""
+    told = json.dumps([step.name, step.settings, [_contents(spark, p) for p in step.inputs]], sort_keys=True, default=str)
+    return hashlib.sha256(told.encode()).hexdigest()
 
 
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a job's output is there as a whole."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return _exists(spark, f"{path}/_SUCCESS")
 
 
 def run(spark: SparkSession, steps: list[Step], options: Options | None = None) -> list[tuple[str, str]]:
-    """Makes each step's table unless it is there already; (name, what happened) in order. Tables lie between steps, so what
-    is lost in one is made again from the one before."""
+    """Makes each step's table unless it is there already, made from the same inputs with the same settings; (name, what
+    happened) in order. Tables lie between steps, so what is lost in one is made again from the one before, and what depends
+    on a changed one is made again, nothing else. A table without a fingerprint, as one made elsewhere, is made again if its
+    step names inputs or settings. A dry run plans what it would make, and what would follow from that."""
     options = options or Options()
-    log = []
+    log, stale = [], set()
     for step in steps:
-        if finished(spark, step.path):
+        told = fingerprint(spark, step)
+        tracked = bool(step.inputs or step.settings)
+        fresh = finished(spark, step.path) and (not tracked or small_text(spark, f"{step.path}/{FINGERPRINT}") == told) and not stale & set(step.inputs)
+        if fresh:
             log.append((step.name, "skipped"))
         elif options.dry:
+            stale.add(step.path)
             log.append((step.name, "planned"))
         else:
             step.make(spark).write.mode("overwrite").parquet(step.path)
+            if tracked:
+                write_text(spark, told, f"{step.path}/{FINGERPRINT}")
             log.append((step.name, "made"))
     return log
 

@@ -58,6 +58,20 @@ def json_files(spark: SparkSession, paths: list[str], schema: StructType) -> Dat
     return out.withColumn("example_id", F.format_string("%s:%05d", F.col("stem"), F.col("source_row_index")))
 
 
+def small_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, also of one that readers of tables pass over for its name; None where there is none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def template(spark: SparkSession, path: str) -> str:
     """A small text file as a whole."""
     return spark.read.text(path, wholetext=True).first()[0]

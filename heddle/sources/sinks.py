@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.ml import PipelineModel
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.probe import Probe
 from ..operators.report import latex_table
 
 
@@ -20,15 +22,19 @@ def write_features(rows: DataFrame, path: str) -> None:
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
-    """A small text file written under another name and then renamed, so that no reader sees half of it."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
-    fs = at.getFileSystem(conf)
-    out = fs.create(part, True)
+    """A small text file written under another name and then renamed over the old one in one step, so that readers have the old
+    text or the new one, also where the writer dies on the way."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    at, part = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.part")
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    out = files.create(part, True)
     out.write(bytearray(text.encode()))
+    out.hsync()
     out.close()
-    fs.delete(at, False)
-    fs.rename(part, at)
+    over = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), context._jsc.hadoopConfiguration()).rename(files.makeQualified(part), files.makeQualified(at), over)
 
 
 def write_document(spark: SparkSession, document: dict, path: str) -> None:
@@ -46,9 +52,12 @@ def write_latex(spark: SparkSession, rows: DataFrame, columns: list[str], header
     write_text(spark, latex_table(cells, header, caption, label), path)
 
 
-def write_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def write_model(model: Probe, path: str) -> None:
+    """A fitted probe as a JSON document; numbers come back as they were."""
+    arrays = {name: getattr(model, name).tolist() for name in ("mean", "deviation", "weights")}
+    write_document(SparkSession.active(), {"labels": model.labels, **arrays}, path)
 
 
-def read_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def read_model(path: str) -> Probe:
+    stored = json.loads(SparkSession.active().read.text(path, wholetext=True).first()[0])
+    return Probe(stored["labels"], *(np.array(stored[name]) for name in ("mean", "deviation", "weights")))

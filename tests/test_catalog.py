@@ -48,5 +48,5 @@ def test_rows_only_queries_give_what_is_known(spark, sf_dir):
     kinds = {r["conv_id"] % 8: r for r in queries.CATALOG["q_candidate_eval"](spark, sf_dir).collect()}
     assert {k: kinds[k]["structural_kind"] for k in (2, 3, 4, 6, 7)} == {2: "valid_tool_call", 3: "invalid_tool_call", 4: "invalid_tool_call", 6: "empty", 7: "valid_tool_call"}
     probe = queries.CATALOG["q_probe_fit_predict"](spark, sf_dir).collect()
-    most = max(sum(r["label_id"] == k for r in probe) for k in {r["label_id"] for r in probe})
-    assert sum(r["label_id"] == r["prediction"] for r in probe) > most
+    # Predictions are compared with plain numbers in test_probe.py; the labels of these rows don't follow from their vectors.
+    assert {r["prediction"] for r in probe} <= {r["label_id"] for r in probe} and all(0.1 < r["confidence"] <= 1 for r in probe)

@@ -79,10 +79,11 @@ def test_features_and_models_come_back(spark, tmp_path):
 
 def test_attempts_end_when_answers_differ(spark):
     rows = spark.createDataFrame([("x", 0, "p"), ("y", 1, "q")], "example_id string, source_row_index long, prompt string")
-    answers = lambda prompts, seed: ["same" if prompts[0] == "q" or seed % 6 < 2 else "other"]
-    out = stages.generated_attempts(rows, answers, seed=0).collect()
-    assert [(r["example_id"], r["attempt"]) for r in out] == [("x", 0), ("x", 1), ("x", 2), *[("y", k) for k in range(6)]]
-    pairs = {r["example_id"]: r for r in records.response_pairs(spark.createDataFrame(out)).collect()}
+    answers = lambda prompts, seed: ["same" if p == "q" or seed < 2 * stages.ROUND else "other" for p in prompts]
+    made = stages.generated_attempts(rows, answers, seed=0)
+    out = made.collect()
+    assert sorted((r["example_id"], r["attempt"]) for r in out) == [("x", 0), ("x", 1), ("x", 2), *[("y", k) for k in range(6)]]
+    pairs = {r["example_id"]: r for r in records.response_pairs(spark.createDataFrame(out, made.schema)).collect()}
     assert (pairs["x"]["response_a"], pairs["x"]["response_b"], pairs["x"]["sampling_attempts"]) == ("same", "other", 3)
     assert (pairs["y"]["response_a"], pairs["y"]["response_b"], pairs["y"]["distinct_candidates_found"]) == ("same", "same", 1)
 
@@ -129,7 +130,7 @@ def test_reasons_come_in_order():
 
 
 def test_renderings_and_settings(spark):
-    assert toolcall.render("  plain ", "llama", bare=False) == "  plain " and toolcall.render(" <TOOLCALL>{\"name\": \"f\", \"arguments\": {}}</TOOLCALL>", "llama", bare=False) == "[f()]"
+    assert toolcall.render("  plain ", "llama") == "plain" and toolcall.render(" <TOOLCALL>{\"name\": \"f\", \"arguments\": {}}</TOOLCALL>", "llama") == "[f()]"
     assert metadata.layer_count({"x": {"text_config": {"num_hidden_layers": 28}}}) == 28 and metadata.layer_count({"a": 1}) is None
     one = spark.range(1).select(metadata.percent(F.lit(0.4567)).alias("p"), metadata.redacted(F.lit("s")).alias("r"), encoding.zero_types(F.array(F.lit(4), F.lit(5))).alias("z"), text.filled("{{A}}", A=F.lit("x")).alias("t")).first()
     assert (one["p"], one["r"], list(one["z"]), one["t"]) == ("45.7%", "[REDACTED]", [0, 0], "x")

@@ -20,11 +20,11 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, KEYED)
 
 
-@pytest.mark.parametrize(("rows", "why"), [([("a", 1)], "no row"), ([("a", 1), ("b", 1), ("b", 2)], "more than one"), ([("a", 1), ("", 2)], "without"), ([("a", 1), ("b", 1), ("c", 1)], "lacks")])
+@pytest.mark.parametrize(("rows", "why"), [([("a", 1)], "no row"), ([("a", 1), ("b", 1), ("b", 2)], "more than one"), ([("a", 1), ("b", 1), ("", 2)], "without"), ([("a", 1), ("b", 1), ("c", 1)], "lacks")])
 def test_stage_joins_check_keys(spark, rows, why):
     source = frame(spark, [("a", 0), ("b", 0)])
-    with pytest.raises(joins.IntegrityError, match=why):
-        joins.stage_join(source, frame(spark, rows).withColumnRenamed("n", "m"))
+    with pytest.raises(Exception, match=f"IntegrityError.*{why}"):
+        joins.stage_join(source, frame(spark, rows).withColumnRenamed("n", "m")).collect()
     good = joins.stage_join(source, frame(spark, [("b", 2), ("a", 1)]).withColumnRenamed("n", "m"))
     assert {tuple(r) for r in good.collect()} == {("a", 0, 1), ("b", 0, 2)}
 
@@ -32,8 +32,8 @@ def test_stage_joins_check_keys(spark, rows, why):
 def test_resume(spark):
     source, done = frame(spark, [("a", 0), ("b", 1)]), frame(spark, [("a", 0)])
     assert [r[0] for r in joins.pending(source, done, "example_id").collect()] == ["b"]
-    with pytest.raises(joins.IntegrityError):
-        joins.pending(done, source, "example_id")
+    with pytest.raises(Exception, match="IntegrityError"):
+        joins.pending(done, source, "example_id").collect()
     assert stages.resumed(source, done, lambda x: x.withColumn("n", F.lit(9).cast("long"))).orderBy("example_id").collect()[1]["n"] == 9
     assert joins.latest(frame(spark, [("a", 1), ("a", 3), ("a", 2)]), "example_id", "n").collect()[0]["n"] == 3
 
@@ -51,7 +51,8 @@ def test_samples(spark):
     split = sampling.fraction_split(x, "id", 0.1, 1, by="c").groupBy("c", "split").count().collect()
     assert {(r["c"], r["split"]): r["count"] for r in split}["a", "eval"] == 70
     pick = random.Random(3)
-    assert sampling.replayed({"x": 10, "y": 5}, 2, 3) == {"x": pick.sample(range(10), 2), "y": pick.sample(range(5), 2)}
+    picks = {(r["label"], r["place"]): r["ordinal"] for r in sampling.replayed(spark, {"x": 10, "y": 5}, 2, 3).collect()}
+    assert picks == {(x, k): v for x, size in (("x", 10), ("y", 5)) for k, v in enumerate(pick.sample(range(size), 2))}
 
 
 def test_metrics_by_hand(spark):
