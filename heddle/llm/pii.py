@@ -25,8 +25,8 @@ GIVEN = {
 }
 #: More given names by which persons are found.
 COMMON = {
-    "f": "Alice Amanda Angela Anna Anne Barbara Birgit Carmen Carol Caroline Catherine Chloe Christine Claire Claudia Deborah Diana Elena Elizabeth Emily Emma Eva Fatima Hannah Helen Irene Jane Jennifer Jessica Julia Karen Kate Laura Lauren Linda Lisa Lucia Maria Marie Martina Mary Melissa Monica Nancy Nicole Olga Olivia Petra Rachel Rebecca Rosa Ruth Sabine Sandra Sara Sarah Silvia Sofia Sophie Stephanie Susan Ursula".split(),
-    "m": "Adam Ahmed Alan Albert Alex Andreas Andrew Anthony Antonio Arthur Bernd Brian Carlos Charles Christian Daniel David Dennis Dieter Eric Fernando Francisco Frank Gary George Hans Henry Ivan Jack Jacob James Jan Javier Jeffrey John Jorge Jose Joseph Juan Jürgen Karl Kevin Klaus Larry Louis Lucas Luis Manuel Mark Martin Matthew Michael Miguel Mohammed Oliver Oscar Patrick Paul Pedro Peter Pierre Rahul Richard Robert Roger Ryan Samuel Scott Stefan Stephen Steven Thomas Timothy Walter Werner William Wolfgang".split(),
+    "f": "Aisha Alice Amanda Angela Anna Anne Barbara Birgit Carmen Carol Caroline Catherine Chloe Christine Claire Claudia Deborah Diana Elena Elizabeth Emily Emma Eva Fatima Hannah Helen Irene Jane Jennifer Jessica Julia Karen Kate Laura Lauren Linda Lisa Lucia Lucía Maria María Marie Mei Martina Mary Melissa Monica Nancy Nicole Olga Olivia Petra Priya Rachel Rebecca Rosa Ruth Sabine Sandra Sara Sarah Silvia Sofia Sofía Sophie Stephanie Susan Ursula Yuki".split(),
+    "m": "Adam Ahmed Alan Albert Alex André Andreas Andrew Anthony Antonio Arthur Bernd Brian Carlos Charles Christian Daniel David Dennis Dieter Eric Fernando Francisco Frank Gary George Hans Henry Hiroshi Ivan Jack Jacob James Jan Javier Jeffrey John Jorge Jose José Joseph Juan Jürgen Karl Kevin Klaus Larry Louis Lucas Luis Manuel Mark Martin Matthew Michael Miguel Mohammed Oliver Oscar Patrick Paul Pedro Peter Pierre Rahul Richard Robert Roger Ryan Samuel Scott Stefan Stephen Steven Thomas Timothy Walter Wei Werner William Wolfgang".split(),
 }
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"),
@@ -38,46 +38,64 @@ SYLLABLES = {
     "cyrillic": ("бар", "вел", "гор", "дан", "зор", "кал", "лин", "мор", "нов", "пет", "рад", "сол", "тар", "фед", "хор", "цар", "шев", "юр", "яр", "жел", "бел", "крас", "глад", "стар"),
 }
 
-_NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}\p{Ll}+)?"
+#: A word of a name as a whole: inner capitals, apostrophes and hyphens belong to it, and no letter follows.
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]?\p{Lu}[\p{Ll}\p{M}]+)*+(?![\p{L}\p{N}\p{M}])"
+#: Words in lower case that stand within surnames, and initials.
+_PARTICLE = r"(?:van|von|vom|zu|zur|de|del|della|di|da|do|dos|du|der|den|la|le|ten|ter|bin|ibn|al)"
+_BETWEEN = rf"(?: \p{{Lu}}\.){{0,3}}(?: {_PARTICLE}\b){{0,3}} "
 _TITLE = "|".join(sorted((t for titles in TITLES.values() for t in titles), key=len, reverse=True))
-_FIRST = "|".join(sorted({n for names in (*GIVEN.values(), *COMMON.values()) for n in names}))
+_FIRSTS = sorted({n for names in (*GIVEN.values(), *COMMON.values()) for n in names}, key=lambda n: (-len(n), n))
+_FIRST = "|".join(_FIRSTS)
+#: Names written in capitals.
+_LOUD, _LOUD_NAME = "|".join(n.upper() for n in _FIRSTS if len(n) > 3 and n not in ("Frank", "Mark")), r"\p{Lu}{2,}(?:[-'’]\p{Lu}{2,})*+(?![\p{L}\p{N}\p{M}])"
+#: No name begins within a word, or behind a hyphen or an apostrophe that joins it to one.
+_START = r"(?<![\p{L}\p{N}\p{M}])(?<![\p{L}\p{N}\p{M}][-'’])(?=\p{Lu})"
 #: The words before a secret. Its value runs to the closing quote, or else to white space or a quote, without the marks
 #: that end a sentence; four letters or digits of it at least, as these are what a surrogate replaces.
-_PREFIX = r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)"
+_PREFIX = (
+    r"(?i:(?<![\p{L}\p{N}_-])(?:[a-z0-9]{1,24}[_-]){0,5}(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
+    r"(?:[_-](?:access[_-]?key|key|value|hash|prod|dev|test|[0-9]{1,3})){0,3}[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+    r"|\b(?:password|passphrase)\s{1,3}is:?\s{1,3}(?=[^\s]{0,64}[0-9])[\"']?)"
+)
 _SECRET = (
     r"(?:(?<=\")(?=(?:[^\"\r\n\p{L}0-9]*[\p{L}0-9]){4})[^\"\r\n]{8,}(?=\"|\z)|(?<=')(?=(?:[^'\r\n\p{L}0-9]*[\p{L}0-9]){4})[^'\r\n]{8,}(?='|\z)"
     r"|(?=(?:[^\s\"'\p{L}0-9]*[\p{L}0-9]){4})[^\s\"']{7,}[^\s\"'.,;:!?)\]}>])"
 )
 _BEARER = r"(?i:\bbearer)[ \t]{1,3}"
 #: Words before a date of birth, and before a name.
+_MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _BIRTH = r"(?i:\b(?:born(?: on)?|date of birth|birth date|birthday|dob|geboren(?: am)?|geburtsdatum|née? le|nacid[oa] el)\b:?\s{1,3})"
 _CALLED = r"(?<=\b(?i:my name is|name is|name:|signed by|regards,|sincerely,|dear|attn:|attention:)\s{1,3})"
 _HEX = "[0-9A-Fa-f]{1,4}"
+#: Words of streets that come before the name, as in French, Spanish and Italian.
+_ROAD = r"(?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]alle|[Aa]venida|[Vv]ia|[Pp]iazza)"
 _STREET = r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Court|Square)"
 #: Types in order of precedence, each with its pattern.
 TYPES = {
     "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\sA-Za-z0-9+/=:,-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----",
     "secret": rf"{_PREFIX}{_SECRET}|{_BEARER}(?=[A-Za-z._~+/=-]*\d)[A-Za-z0-9._~+/-]{{16,}}",
-    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bxox[abeprs]-[A-Za-z0-9-]{10,}|\bAIza[A-Za-z0-9_-]{35}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bxox[abeprs]-[A-Za-z0-9-]{10,}|\bAIza[A-Za-z0-9_-]{35}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|\b(?:sk|pk|rk)[-_](?:[A-Za-z]{2,8}[-_]){0,2}(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{20,}",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     # All eight groups, or fewer around a double colon with a digit and a group of three letters or digits among them.
     "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*[0-9])(?=[0-9A-Fa-f]{{0,2}}(?::+[0-9A-Fa-f]{{0,2}})*[0-9A-Fa-f]{{3}})(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])",
     "iban": r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}\b|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?\b)",
-    "birth": rf"{_BIRTH}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}[./]\d{{2}}[./]\d{{4}})(?!\d)",
+    "birth": rf"{_BIRTH}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}[./]\d{{2}}[./]\d{{4}}|\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}},? \d{{4}})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     # With a right check digit, which `type_of` looks at.
     "card": r"(?<!\d)(?:\d{13,18}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
     # Without a plus or parentheses: three, three and four digits, or a leading 0 and 8 to 12 digits in all, but no date.
     r"|(?<![\p{L}\d.,/-])(?:1[ .-])?[2-9]\d{2}(?: [2-9]\d{2} |-[2-9]\d{2}-|\.[2-9]\d{2}\.)\d{4}(?![.,/-]?\d)"
+    # Ten digits in a row only behind a word for it.
+    r"|(?<=\b(?i:phone|tel|telephone|telefon|mobile|cell|fax|call|whatsapp)\b[^\p{L}\d\r\n]{0,4}(?:(?i:is|at|me at|us at)[ :]{1,3})?)[2-9]\d{2}[2-9]\d{6}(?![.,/-]?\d)"
     r"|(?<![\p{L}\d.,/-])(?!\d\d[ ./-]\d\d[ ./-]\d{4}(?!\d))(?=(?:[ ./-]?\d){8,12}(?![ .,/-]?\d))0[1-9]\d{0,3}[ ./-]\d{2,8}(?:[ .-]\d{2,8}){0,4}",
-    "address": rf"(?<![\p{{L}}\d.,/-])\d{{1,5}} (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}{_STREET}\b|\b\p{{Lu}}\p{{Ll}}{{2,}}(?:straße|strasse|gasse|allee) \d{{1,4}}\b",
-    "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME}|{_CALLED}{_NAME} {_NAME})",
+    "address": rf"(?<![\p{{L}}\d.,/-])\d{{1,5}} (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}{_STREET}\b|(?<![\p{{L}}\d.,/-])\d{{1,5}},? {_ROAD} (?:(?:de|du|des|del|della|di|la|le|les|los|las|dei) ){{0,3}}(?:[dl]['’])?{_NAME}(?: {_NAME}){{0,2}}|\b\p{{Lu}}\p{{Ll}}{{2,}}(?:straße|strasse|gasse|allee) \d{{1,4}}\b",
+    "name": rf"{_START}(?:(?:{_TITLE})\b\.?{_BETWEEN}{_NAME}(?:{_BETWEEN}{_NAME})?|(?:{_FIRST})(?:-\p{{Lu}}\p{{Ll}}+)?(?: (?:{_FIRST}))?{_BETWEEN}{_NAME}|{_CALLED}{_NAME}{_BETWEEN}{_NAME}|(?:{_LOUD})(?: \p{{Lu}}\.){{0,2}} {_LOUD_NAME})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: What no entity is without: texts that lack all of them are left alone at the cost of a plain scan.
-CUE, NAME_CUE = "[0-9@=:]", rf"\b(?=\p{{Lu}})(?:{_TITLE}|{_FIRST})\b|(?i:name is|signed by|regards,|sincerely,|dear) \p{{Lu}}"
+CUE, NAME_CUE = "[0-9@=:]", rf"\b(?=\p{{Lu}})(?:{_TITLE}|{_FIRST}|{_LOUD})\b|(?i:name is|signed by|regards,|sincerely,|dear) \p{{Lu}}"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщэюя"
 
@@ -90,7 +108,7 @@ def may_hold(text: Column) -> Column:
 def type_of(e: Column) -> Column:
     """The first type whose pattern an entity fits as a whole; null for a number that looks like a card or an account, but
     whose check digits are wrong."""
-    out = F.lit("name")
+    out = F.when(e.rlike(r"\A\d{10}\z"), "phone").otherwise("name")
     for kind, pattern in reversed(list(TYPES.items())):
         # What stands before a name is no longer there.
         out = F.when(e.rlike(rf"\A(?:{pattern})\z"), F.lit(kind)).otherwise(out)
@@ -211,7 +229,18 @@ def _birth(e: Column, key: str) -> Column:
     head = F.regexp_extract(e, rf"\A(?:{_BIRTH})", 0)
     moved = F.lit(400 + int(hashlib.sha256(f"{key}|birth".encode()).hexdigest(), 16) % 4000)
 
+    def spelled(x: Column) -> Column:
+        """A date with its month as a word, in the first of the formats that reads it."""
+        told = F.lit(None).cast("string")
+        for form in reversed(("d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy")):
+            read = F.try_to_timestamp(x, F.lit(form)).cast("date")
+            told = F.coalesce(F.date_format(F.date_add(read, moved), form), told)
+        return F.coalesce(told, F.lit("1 January 1970"))
+
     def shown(x: Column) -> Column:
+        return F.when(x.rlike(_MONTH), spelled(x)).otherwise(numbers(x))
+
+    def numbers(x: Column) -> Column:
         iso = x.rlike(r"\A\d{4}")
         point = x.substr(F.lit(3), F.lit(1))
         day = F.when(iso, x).otherwise(F.concat(x.substr(F.lit(7), F.lit(4)), F.lit("-"), x.substr(F.lit(4), F.lit(2)), F.lit("-"), x.substr(F.lit(1), F.lit(2))))
@@ -309,8 +338,11 @@ def _iban(e: Column, key: str, attempt: Column) -> Column:
 
 def _address(e: Column, key: str, attempt: Column) -> Column:
     """Letters and digits replaced; the word for a street, and the order of its parts, stay."""
+    road = F.regexp_extract(e, rf"\A\d+,? {_ROAD} (?:\p{{Ll}}+ )*(?:[dl]['’])?", 0)
+    behind = lambda d: F.concat(_lettered_digits(road, d), _lettered(e.substr(F.length(road) + 1, F.length(e)), d), _growth(d, attempt))
     kept = F.regexp_extract(e, rf"(?: {_STREET}|(?:straße|strasse|gasse|allee) \d+)\z", 0)
-    return _let(_digest(e, key + "address", attempt), lambda d: F.concat(_lettered(F.left(e, F.length(e) - F.length(kept)), d), _growth(d, attempt), F.when(kept.rlike("[0-9]"), _lettered_digits(kept, d)).otherwise(kept)))
+    before = lambda d: F.concat(_lettered(F.left(e, F.length(e) - F.length(kept)), d), _growth(d, attempt), F.when(kept.rlike("[0-9]"), _lettered_digits(kept, d)).otherwise(kept))
+    return _let(_digest(e, key + "address", attempt), lambda d: F.when(road != "", behind(d)).otherwise(before(d)))
 
 
 def _lettered_digits(e: Column, digest: Column) -> Column:
@@ -320,14 +352,22 @@ def _lettered_digits(e: Column, digest: Column) -> Column:
 def _gender(title: Column, first: Column) -> Column:
     """f or m by a title, or else by a given name; null where neither tells."""
     by_title = F.when(title.rlike(rf"\A(?:{'|'.join(TITLES['f'])})\b"), "f").when(title.rlike(rf"\A(?:{'|'.join(TITLES['m'])})\b"), "m")
+    first = F.initcap(F.substring_index(first, "-", 1))
     named = {g: [*GIVEN[g, "latin"], *GIVEN[g, "cyrillic"], *COMMON[g]] for g in "fm"}
     return F.coalesce(by_title, F.when(first.isin(*named["f"]), "f").when(first.isin(*named["m"]), "m"))
 
 
 def _parts(e: Column) -> Column:
-    """struct(title, first, last) of a name; the given name is empty where there is none."""
+    """struct(title, first, middle, last) of a name; the given name is empty where there is none, and a name that begins
+    with initials or particles has them in the middle."""
     title = F.regexp_extract(e, rf"\A(?:{_TITLE})\b\.? ", 0)
-    return _let(F.struct(title.alias("t"), F.split(e.substr(F.length(title) + 1, F.length(e)), " ").alias("w")), lambda x: F.struct(x["t"].alias("title"), F.when(F.size(x["w"]) > 1, x["w"][0]).otherwise("").alias("first"), F.element_at(x["w"], -1).alias("last")))
+    given = lambda w: (F.size(w) > 1) & ~w[0].rlike(rf"\A(?:\p{{Lu}}\.|{_PARTICLE})\z")
+
+    def cut(x: Column) -> Column:
+        w, n = x["w"], F.when(given(x["w"]), 2).otherwise(1)
+        return F.struct(x["t"].alias("title"), F.when(given(w), w[0]).otherwise("").alias("first"), F.slice(w, n, F.greatest(F.size(w) - n, F.lit(0))).alias("middle"), F.element_at(w, -1).alias("last"))
+
+    return _let(F.struct(title.alias("t"), F.split(e.substr(F.length(title) + 1, F.length(e)), " ").alias("w")), cut)
 
 
 #: Syllables of a surname; more come with attempts.
@@ -335,14 +375,25 @@ WIDTH = 3
 
 
 def _name(e: Column, key: str, attempt: Column) -> Column:
-    """Title kept; a given name becomes another of its gender and script; a surname gets syllables of its script.
-    Surnames are replaced by themselves, so that a person is the same with and without a given name."""
+    """Title kept; a given name becomes another of its gender and script; a surname gets syllables of its script, and capitals
+    if it has nothing else. Surnames are replaced by themselves, so that a person is the same with and without a given
+    name. Particles stay; initials are moved on in the alphabet, by a number of places that the surname tells."""
+
+    def chosen(x: Column, n: Column, gender: Column) -> Column:
+        pick = lambda g: F.when(x["cyrillic"], _pick(GIVEN[g, "cyrillic"], n)).otherwise(_pick(GIVEN[g, "latin"], n))
+        return F.when(gender == "f", pick("f")).otherwise(pick("m"))
 
     def given(x: Column) -> Column:
         gender = F.coalesce(_gender(x["title"], x["first"]), F.when(_byte(x["d"], F.lit(9)) % 2 == 0, "f").otherwise("m"))
-        n = _byte(x["d"], F.lit(3))
-        pick = lambda g: F.when(x["cyrillic"], _pick(GIVEN[g, "cyrillic"], n)).otherwise(_pick(GIVEN[g, "latin"], n))
-        return F.when(x["first"] == "", "").otherwise(F.concat(F.when(gender == "f", pick("f")).otherwise(pick("m")), F.lit(" ")))
+        return F.when(x["first"] == "", "").otherwise(F.concat(chosen(x, _byte(x["d"], F.lit(3)), gender), F.lit(" ")))
+
+    def middle(x: Column) -> Column:
+        by = 1 + _byte(x["s"], F.lit(90)) % 25
+        initial = lambda w: F.concat(F.chr((F.ascii(w) - 65 + by) % 26 + 65), F.lit("."))
+        # A further given name becomes another, whatever its gender, by its letters.
+        more = lambda w, k: chosen(x, _byte(_digest(w, key + "given", attempt), k), F.lit("f"))
+        one = lambda w, k: F.when(w.rlike(r"\A[A-Z]\.\z"), initial(w)).when(w.rlike(rf"\A{_PARTICLE}\z"), w).otherwise(more(w, k))
+        return F.when(F.size(x["middle"]) == 0, "").otherwise(F.concat(F.array_join(F.transform(x["middle"], one), " "), F.lit(" ")))
 
     def surname(x: Column) -> Column:
         at = lambda k: _byte(x["s"], k * 5) * 256 + _byte(x["s"], k * 5 + 1)
@@ -350,10 +401,10 @@ def _name(e: Column, key: str, attempt: Column) -> Column:
         return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.floor(attempt / 2).cast("int") + WIDTH), syllable), ""))
 
     def named(x: Column) -> Column:
-        digests = F.struct(x["title"].alias("title"), x["first"].alias("first"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"), _digest(x["first"], key + "given", attempt).alias("d"), _digest(x["last"], key + "surname", attempt).alias("s"))
-        return _let(digests, lambda y: F.concat(y["title"], given(y), surname(y)))
+        digests = F.struct(x["title"].alias("title"), x["first"].alias("first"), x["middle"].alias("middle"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"), _digest(F.initcap(x["first"]), key + "given", attempt).alias("d"), _digest(F.initcap(x["last"]), key + "surname", attempt).alias("s"))
+        return _let(digests, lambda y: F.concat(y["title"], given(y), middle(y), surname(y)))
 
-    return _let(_parts(e), named)
+    return _let(_let(_parts(e), named), lambda out: F.when(e.rlike(r"\A[^\p{Ll}]+\z"), F.upper(out)).otherwise(out))
 
 
 #: Types whose surrogates are hashed, and so may collide; the others' are permuted.
@@ -384,7 +435,7 @@ def surrogate(e: Column, kind: Column, key: str, attempt: Column) -> Column:
 def canonical(e: Column, kind: Column) -> Column:
     """What makes two spellings one entity: case of addresses, separators of numbers, the words before a secret, and of a
     title its gender."""
-    person = lambda x: F.concat_ws("|", F.coalesce(_gender(x["title"], x["first"]), F.lit("")), F.concat_ws(" ", F.nullif(x["first"], F.lit("")), x["last"]))
+    person = lambda x: F.concat_ws("|", F.coalesce(_gender(x["title"], x["first"]), F.lit("")), F.concat_ws(" ", F.nullif(x["first"], F.lit("")), x["middle"], x["last"]))
     return (
         F.when(kind.isin("ssn", "card", "phone"), _digits(e))
         .when(kind.isin("email", "ip6"), F.lower(e))
