@@ -18,9 +18,9 @@ TERMS = table([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: Documents of a language that a term is in at least, terms reported for a group, the unit of shares, and what is added to
 #: each count.
 LEAST_DOCS, TOP, UNIT, ADDED = 10, 10, 1_000_000_000, 2
-#: Bytes of texts that a task counts together, counts that it puts together before they leave, and counts (a term in a
-#: source) of a language that meet in a task.
-PIECE, MET, CHUNK = 1 << 22, 1 << 19, 1 << 20
+#: Bytes of texts that a task counts together, counts that it puts together before they leave, counts (a term in a source)
+#: of a language that meet in a chunk, unless it has more pairs of sources, and numbers written out at a time there.
+PIECE, MET, CHUNK, DENSE = 1 << 22, 1 << 19, 1 << 15, 1 << 20
 
 
 def grouped(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def _chunk(terms: pa.Table, totals: pa.Table) -> tuple[list, list]:
         column, n = places[np.asarray(of.indices, np.int64)], np.asarray(per.values.field("n"), np.int64)
         indptr = ends - ends[0]
         column, n = column[ends[0] : ends[-1]], n[ends[0] : ends[-1]]
-        stretch = max(1, CHUNK // size)
+        stretch = max(1, DENSE // size)
         for low in range(0, terms.num_rows, stretch):
             rows = np.diff(indptr[low : low + stretch + 1])
             part = slice(indptr[low], indptr[low] + rows.sum())
@@ -180,8 +180,11 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     # Terms that are dropped go before the rest are gathered into rows; neither moves a row again.
     told = counts(docs).withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(F.col("docs") >= least)
     kept = written(told.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("per")), "divergence-terms")
-    of_lang = written(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum(F.size("per")).alias("nnz")), "divergence-langs")
-    of_lang = of_lang.withColumn("chunks", (1 + F.floor(F.col("nnz") / CHUNK)).cast("long")).drop("nnz")
+    of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum(F.size("per")).alias("nnz"))
+    # A chunk sends a row for each pair of sources, so it has no fewer counts than there are pairs.
+    pairs = groups.groupBy("lang").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("pairs"))
+    of_lang = of_lang.join(pairs, "lang").withColumn("chunks", (1 + F.floor(F.col("nnz") / F.greatest(F.lit(CHUNK), F.col("pairs")))).cast("long"))
+    of_lang = written(of_lang.select("lang", "v", "chunks"), "divergence-chunks")
     of_group = kept.select("lang", F.inline("per")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     totals = groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left")
     totals = totals.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("chunks") - 1, F.lit(0)))).alias("chunk"))
