@@ -61,7 +61,11 @@ def policy_prompt(family: str, tools: Column, messages: Column) -> Column:
 
 
 def eval_prompt(family: str, question: Column, tools: Column, shots: tuple[dict, ...] = ()) -> Column:
-    """The prompt for a question after worked examples (question, tools, answer as they are to appear)."""
+    """The prompt for a question after worked examples (question, tools, answer): a tagged call as an answer is written as
+    the family writes it, all else stripped."""
+    from .toolcall import shot_answer
+
+    shots = tuple({**s, "answer": shot_answer(s["answer"], family)} for s in shots)
     if family == "llama":
         head = f"<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n{LLAMA_SYSTEM}<|eot_id|>\n"
         user, answer = f"<|start_header_id|>user<|end_header_id|>\n{LLAMA_TOOLS}", "\n<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n"

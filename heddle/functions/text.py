@@ -72,6 +72,16 @@ def conversation(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(role(m), F.lit(": "), stripped(F.coalesce(m["content"], F.lit(""))))), "\n")
 
 
+def question(messages: Column) -> Column:
+    """Messages as a question: the text of a single user's message, else a line `Role: content` for each, where a message
+    without a role is a user's."""
+    role = lambda m: capitalized(stripped(F.coalesce(m["role"], F.lit("user"))))
+    content = lambda m: stripped(F.coalesce(m["content"], F.lit("")))
+    lines = stripped(F.array_join(F.transform(messages, lambda m: F.concat(role(m), F.lit(": "), content(m))), "\n"))
+    first = F.get(messages, F.lit(0))
+    return F.when((F.size(messages) == 1) & (first["role"] == "user"), content(first)).otherwise(lines)
+
+
 def filled(template: Column | str, **values: Column) -> Column:
     """A template with {{KEY}} replaced, one key after the other, so a value may itself hold a later key."""
     out = F.lit(template) if isinstance(template, str) else template

@@ -47,6 +47,29 @@ def behavior_label(explicit: Column, answer: Column, chosen: Column, allowed: tu
     return F.coalesce(ok(explicit), F.when(answer.isNotNull(), ok(response_class(answer))), F.when(chosen.isNotNull(), ok(response_class(chosen))))
 
 
+def canonical_record(tools: Column, messages: Column, source_split: str | Column, behavior_class: Column) -> list[Column]:
+    """The four columns of a training record, in order."""
+    split = F.lit(source_split) if isinstance(source_split, str) else source_split
+    return [tools.alias("tools"), messages.alias("messages"), split.alias("source_split"), behavior_class.alias("behavior_class")]
+
+
+def sft_pool(rows: DataFrame, classes: tuple[str, ...] = ("cannot_answer", "request_for_info", "other_plain_text")) -> DataFrame:
+    """Records of the rows (tools, messages) that end with an answer of one of the classes."""
+    label = response_class(last(F.col("messages"))["content"])
+    return rows.where(ends_with_assistant(F.col("messages")) & label.isin(*classes)).select(*canonical_record(F.col("tools"), F.col("messages"), "train_sft", label))
+
+
+def preference_pool(rows: DataFrame) -> DataFrame:
+    """Records of the rows (tools, messages, chosen: a text) whose chosen response is a call, with it as the answer."""
+    label = response_class(F.col("chosen"))
+    return rows.where(label == "tool_call").select(*canonical_record(F.col("tools"), with_answer(F.col("messages"), F.col("chosen")), "train_pref_chosen", label))
+
+
+def label_audit(rows: DataFrame, label: Column) -> DataFrame:
+    """(label, n): rows of each label, and as `ignored` those without one, which no pool takes."""
+    return rows.groupBy(F.coalesce(label, F.lit("ignored")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def request_key(messages: Column, tools: Column) -> Column:
     """What makes two rows one request: the first message's text, and the tools (JSON text) by name, the last of a name,
     whatever the order and spacing of their specifications."""

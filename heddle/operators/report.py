@@ -103,6 +103,25 @@ def missing_keys(existing: DataFrame, expected: DataFrame, key: str = "run_key")
     return expected.select(key).distinct().join(existing.select(key), key, "left_anti")
 
 
+def is_subset(a: Column, b: Column) -> Column:
+    """Whether each value of one array is in the other; of an empty one, it is."""
+    return F.size(F.array_except(a, b)) == 0
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values, however often and in whatever order."""
+    return is_subset(a, b) & is_subset(b, a)
+
+
+def value_sets(rows: DataFrame, by: str, value: str, expected: tuple[str, ...]) -> DataFrame:
+    """(by, n_values, covers, within, same, missing): how the values of each group stand to the expected ones. Distinct values
+    are found by partial aggregation; a group's are as few as the values there are."""
+    x = rows.groupBy(by).agg(F.collect_set(value).alias("__v"))
+    wanted = F.array(*map(F.lit, expected))
+    missing = F.array_sort(F.array_except(wanted, F.col("__v")))
+    return x.select(by, F.size("__v").alias("n_values"), is_subset(wanted, F.col("__v")).alias("covers"), is_subset(F.col("__v"), wanted).alias("within"), same_set(F.col("__v"), wanted).alias("same"), F.array_join(missing, ",").alias("missing"))
+
+
 def placeholders(missing: DataFrame, scorings: tuple[str, ...], classes: tuple[str, ...], key: str = "run_key") -> DataFrame:
     """A row of zeros for each missing key, scoring and class, made by unfolding literals in place."""
     zero = F.lit(0.0)

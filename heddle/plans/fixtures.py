@@ -154,6 +154,13 @@ CALL_TEXT = (
 )
 
 
+def shots(spark: SparkSession, sf_dir: str, n: int = 2) -> list[dict]:
+    """The first n conversations as worked examples, whose answers are a tagged call and a text in turn."""
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question")).orderBy("conv_id").limit(n).collect()
+    calls = ['<TOOLCALL>{"name": "lookup", "arguments": {"id": %d}}</TOOLCALL>', " Which one is %d? "]
+    return [{"question": r["question"], "tools": TOOLS, "answer": calls[k % 2] % r["conv_id"]} for k, r in enumerate(first)]
+
+
 def varied_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, text): a call made of each order, of five tools with arguments of all types, in six syntaxes, some of them
     invalid in one of three ways."""

@@ -8,7 +8,7 @@ from ..functions.text import PAYLOAD
 from ..schemas import LABELS, PROBE_LABELS, RESPONSE_CLASSES
 from . import fixtures as D
 from .fixtures import TOOLS, quoted, sql_asks, sql_class, sql_marker, sql_payload, sql_refuses, sql_strip, with_tables
-from .queries import JUDGE_TEMPLATE, REVISED, RUNS, SEED, SHOTS, SPELLINGS, TEMPLATE
+from .queries import JUDGE_TEMPLATE, REVISED, RUNS, SEED, SPELLINGS, TEMPLATE
 from .stages import STUB
 
 PERCENT = "round_even(100.0::DOUBLE * {n} / {all} * 100, 0) / 100"
@@ -50,9 +50,12 @@ def _fewshot() -> str:
     q = sql_strip("messages[1].content")
     user = f"<|start_header_id|>user<|end_header_id|>\n{prompts.LLAMA_TOOLS}"
     answer = "\n<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n"
-    llama = f"<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n{prompts.LLAMA_SYSTEM}<|eot_id|>\n" + "".join(f"{user}{s['tools']}\n\n{s['question'].strip()}{answer}{s['answer']}\n<|eot_id|>\n" for s in SHOTS) + user + TOOLS + "\n\n"
-    gemma = "<start_of_turn>user\n" + prompts.GEMMA_USER + "".join(f"\nExample {k}\nFunctions:\n{s['tools']}\nQuestion:\n{s['question'].strip()}\nAnswer:\n{s['answer']}\n" for k, s in enumerate(SHOTS, 1)) + "\nFunctions:\n" + TOOLS + "\nQuestion:\n"
-    return with_tables("messages") + f"SELECT conv_id, {quoted(llama)} || {q} || {quoted(answer)} AS llama, {quoted(gemma)} || {q} || {quoted('<end_of_turn>' + chr(10) + '<start_of_turn>model' + chr(10))} AS gemma FROM messages"
+    of = lambda c, k: f"(SELECT {c} FROM shots WHERE k = {k})"
+    llama = quoted(f"<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n{prompts.LLAMA_SYSTEM}<|eot_id|>\n") + "".join(f" || {quoted(user + TOOLS + chr(10) * 2)} || {of('question', k)} || {quoted(answer)} || {of('llama', k)} || {quoted(chr(10) + '<|eot_id|>' + chr(10))}" for k in (1, 2)) + f" || {quoted(user + TOOLS + chr(10) * 2)}"
+    gemma = quoted("<start_of_turn>user\n" + prompts.GEMMA_USER) + "".join(f" || {quoted(f'{chr(10)}Example {k}{chr(10)}Functions:{chr(10)}{TOOLS}{chr(10)}Question:{chr(10)}')} || {of('question', k)} || {quoted(chr(10) + 'Answer:' + chr(10))} || {of('gemma', k)} || {quoted(chr(10))}" for k in (1, 2)) + f" || {quoted(chr(10) + 'Functions:' + chr(10) + TOOLS + chr(10) + 'Question:' + chr(10))}"
+    shots = f"""shots AS (SELECT k, {q} AS question, CASE k WHEN 1 THEN '[lookup(id=' || conv_id || ')]' ELSE 'Which one is ' || conv_id || '?' END AS llama,
+        CASE k WHEN 1 THEN '{{"name": "lookup", "arguments": {{"id": ' || conv_id || '}}}}' ELSE 'Which one is ' || conv_id || '?' END AS gemma FROM (SELECT *, row_number() OVER (ORDER BY conv_id) AS k FROM messages) WHERE k <= 2)"""
+    return with_tables("messages").rstrip() + f", {shots} SELECT conv_id, {llama} || {q} || {quoted(answer)} AS llama, {gemma} || {q} || {quoted('<end_of_turn>' + chr(10) + '<start_of_turn>model' + chr(10))} AS gemma FROM messages"
 
 
 def _template() -> str:
@@ -210,6 +213,15 @@ def _judge_prompt(answers: dict[str, str], before: str, after: str) -> str:
     return f"{quoted(before)} || {out} || {quoted(after)}"
 
 
+def _question(m: str) -> str:
+    lines = f"array_to_string([{_cap(sql_strip('coalesce(x.role, ' + quoted('user') + ')'))} || ': ' || {sql_strip('x.content')} FOR x IN {m}], chr(10))"
+    return f"CASE WHEN len({m}) = 1 AND {m}[1].role = 'user' THEN {sql_strip(f'{m}[1].content')} ELSE {sql_strip(lines)} END"
+
+
+def _probe_class(c: str) -> str:
+    return f"(CASE WHEN {sql_class(c)} IN {_INSIDE} THEN {sql_class(c)} END)"
+
+
 def _drawn(attempt: str, prompt: str) -> str:
     """Which of the stub's answers a prompt gets in a round."""
     return f"('0x' || substr(md5({attempt} || '|' || {prompt}), 1, 2))::INT % 3"
@@ -269,6 +281,13 @@ def _stage_sql() -> dict[str, str]:
     return {
         "toolcall_parse": with_tables("responses") + f"SELECT conv_id, {name} AS name, {arguments} AS arguments, CASE WHEN {_CALLS} THEN '<TOOLCALL>{{\"name\":\"' || {name} || '\",\"arguments\":' || {arguments} || '}}</TOOLCALL>' ELSE {sql_strip('response')} END AS canonical FROM responses",
         **_varied(),
+        "question_render": with_tables("messages").rstrip() + f", u AS (SELECT conv_id, messages, {UNANSWERED} AS m FROM messages) SELECT conv_id, {_question('m')} AS question, {_question('messages[1:1]')} AS opening FROM u",
+        "label_audit": with_tables("responses", "messages").rstrip() + f", x AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 'tool_call' END AS explicit, CASE WHEN {ANSWERED} THEN {_probe_class('messages[-1].content')} END AS answer, {_probe_class('response')} AS chosen FROM messages JOIN responses USING (conv_id)) SELECT coalesce(explicit, answer, chosen, 'ignored') AS label, count(*) AS n FROM x GROUP BY ALL",
+        "record_pools": with_tables("responses", "messages").rstrip()
+        + f", p AS (SELECT 'train_sft' AS source_split, {sql_class('messages[-1].content')} AS behavior_class, len(messages) AS n, length(messages[-1].content) AS c FROM messages WHERE {ANSWERED} AND {sql_class('messages[-1].content')} <> 'tool_call'"
+        + f" UNION ALL SELECT 'train_pref_chosen', 'tool_call', len(messages) + 1, length(response) FROM messages JOIN responses USING (conv_id) WHERE {sql_class('response')} = 'tool_call') SELECT source_split, behavior_class, count(*) AS n, sum(n)::BIGINT AS n_messages, sum(c)::BIGINT AS n_characters FROM p GROUP BY ALL",
+        "label_sets": with_tables("long_samples") + f"SELECT run_key || '|' || scoring AS key, count(DISTINCT pred)::INT AS n_values, count(DISTINCT pred) FILTER (pred IN {_INSIDE}) = 3 AS covers, count(*) FILTER (pred NOT IN {_INSIDE}) = 0 AS within, covers AND within AS same,"
+        + f" array_to_string([x FOR x IN list_sort(['tool_call', 'request_for_info', 'cannot_answer']) IF NOT list_contains(list(DISTINCT pred), x)], ',') AS missing FROM long_samples GROUP BY run_key, scoring",
         "sampled_pairs": _sampled(),
         "policy_prompts": _policy(),
         "stage_join_four": _four()[0],
@@ -371,7 +390,7 @@ def oracle_sql() -> dict[str, str]:
         "run_metadata": _metadata(),
         "latex_escape": _latex(),
         "token_encode": f"WITH {_IDS} SELECT doc_id, len(ids) AS n, list_sum(ids)::BIGINT AS sum_input_ids, list_sum(labels)::BIGINT AS sum_labels, len(ids) AS sum_attention_mask, n0 > 256 AS truncated, least(n0, 256) - 1 AS extracted_index FROM v",
-        "pad_batch": f"WITH {_IDS}, g AS (SELECT *, max(len(ids)) OVER (PARTITION BY doc_id // 8) AS longest FROM v) SELECT doc_id, longest AS n, (list_sum(ids) + longest - len(ids))::BIGINT AS sum_input_ids, (list_sum(labels) - 100 * (longest - len(ids)))::BIGINT AS sum_labels, len(ids) AS sum_attention_mask FROM g",
+        "pad_batch": f"WITH {_IDS}, g AS (SELECT *, max(len(ids)) OVER (PARTITION BY doc_id // 8) AS longest FROM v) SELECT doc_id, longest AS n, (list_sum(ids) + longest - len(ids))::BIGINT AS sum_input_ids, (list_sum(labels) - 100 * (longest - len(ids)))::BIGINT AS sum_labels, len(ids) AS sum_attention_mask, longest AS n_zero_types FROM g",
         "layer_specs": "WITH n AS (SELECT n_nationkey + 1 AS n_layers FROM nation), l AS (SELECT n_layers, ceil(n_layers * 0.5)::INT AS m, ceil(n_layers * 0.75)::INT AS t, n_layers AS l FROM n) SELECT n_layers, 'middle' AS tag, m AS transformer_layer, m AS hidden_state_index FROM l UNION ALL SELECT n_layers, 'layer_75pct', t, t FROM l WHERE t <> m UNION ALL SELECT n_layers, 'last', l, l FROM l WHERE l <> m AND l <> t",
     }
     routed = f"WITH d AS ({out['dpo_export']}) "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calls, judge, prompts
@@ -31,10 +31,6 @@ RUNS = (
     ("other_2shot", "mistral", "m", "out/i", 2, "Prompting"),
     ("plain", "", "", "", 3, "Unknown"),
 )
-SHOTS = (
-    {"question": "What is the weather in Oslo? ", "tools": D.TOOLS, "answer": '{"name": "lookup", "arguments": {"id": 1}}'},
-    {"question": "Book it.", "tools": D.TOOLS, "answer": "Which one do you mean?"},
-)
 #: How much later the ids of compared samples are than those of events.
 SHIFT = 7
 JUDGE_TEMPLATE = "{{CONSTITUTION}}\nTools: {{TOOLS}}\nRequest: {{USER_REQUEST}}\nResponse: {{ASSISTANT_RESPONSE}}\nA: {{RESPONSE_A}} B: {{RESPONSE_B}}\nCritique: {{CRITIQUE}}\n"
@@ -110,6 +106,32 @@ def render_conversation(spark, sf_dir):
     return D.messages(spark, sf_dir).select("conv_id", X.conversation(records.without_answer(F.col("messages"))).alias("rendered"))
 
 
+@query
+def question_render(spark, sf_dir):
+    m = F.col("messages")
+    first = F.slice(m, 1, 1)
+    return D.messages(spark, sf_dir).select("conv_id", X.question(records.without_answer(m)).alias("question"), X.question(first).alias("opening"))
+
+
+def _labelled(spark, sf_dir):
+    x = D.messages(spark, sf_dir).join(D.responses(spark, sf_dir), "conv_id")
+    explicit = F.when(F.col("conv_id") % 3 == 0, "tool_call").when(F.col("conv_id") % 3 == 1, "direct")
+    answer = F.when(records.ends_with_assistant(F.col("messages")), records.last(F.col("messages"))["content"])
+    return x.withColumn("label", records.behavior_label(explicit, answer, F.col("response")))
+
+
+@query
+def label_audit(spark, sf_dir):
+    return records.label_audit(_labelled(spark, sf_dir), F.col("label"))
+
+
+@query
+def record_pools(spark, sf_dir):
+    x = D.messages(spark, sf_dir).join(D.responses(spark, sf_dir).withColumnRenamed("response", "chosen"), "conv_id").withColumn("tools", F.lit(D.TOOLS))
+    pool = records.sft_pool(x).unionByName(records.preference_pool(x))
+    return pool.groupBy("source_split", "behavior_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("messages")).alias("n_messages"), F.sum(F.length(records.last(F.col("messages"))["content"])).alias("n_characters"))
+
+
 def _training(spark, sf_dir, family):
     m = F.col("messages")
     x = D.messages(spark, sf_dir).where(records.ends_with_assistant(m) & (F.get(m, F.lit(0))["role"] == "user"))
@@ -129,8 +151,8 @@ def training_prompt_gemma(spark, sf_dir):
 @query
 def eval_prompt_fewshot(spark, sf_dir):
     q = F.get("messages", F.lit(0))["content"]
-    x = D.messages(spark, sf_dir)
-    return x.select("conv_id", prompts.eval_prompt("llama", q, F.lit(D.TOOLS), SHOTS).alias("llama"), prompts.eval_prompt("gemma", q, F.lit(D.TOOLS), SHOTS).alias("gemma"))
+    x, shots = D.messages(spark, sf_dir), tuple(D.shots(spark, sf_dir))
+    return x.select("conv_id", *(prompts.eval_prompt(f, q, F.lit(D.TOOLS), shots).alias(f) for f in ("llama", "gemma")))
 
 
 @query
@@ -206,6 +228,17 @@ def balanced_cap(spark, sf_dir):
     return sampling.balanced_cap(x, "gold", "uuid", PROBE_LABELS, 1000, SEED)
 
 
+@query
+def global_shuffle(spark, sf_dir):
+    # A sample of each class, numbered, and the places that its rows take in a shuffle of all.
+    orders = D.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    n = sampling.even_total(orders, "o_orderpriority")
+    x = sampling.sample_each(orders, "o_orderpriority", "o_orderkey", n, SEED)
+    classes = orders.select("o_orderpriority").distinct().withColumn("k", F.row_number().over(Window.orderBy("o_orderpriority")) - 1)
+    x = x.join(F.broadcast(classes), "o_orderpriority").withColumn("ordinal", (F.col("k") * n + F.col("place") - 1).cast("long"))
+    return sampling.shuffled(x.drop("place", "k"), "ordinal", n * classes.count(), SEED)
+
+
 @query
 def smoke_subset(spark, sf_dir):
     return sampling.leading(D.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id", 8)
@@ -390,6 +423,11 @@ def argmax_choice(spark, sf_dir):
 # --- reports
 
 
+@query
+def label_sets(spark, sf_dir):
+    return report.value_sets(_long(spark, sf_dir), "key", "pred", PROBE_LABELS)
+
+
 @query
 def probe_layer_rank(spark, sf_dir):
     return report.selection(D.run_metrics(spark, sf_dir), "run_key", "position").drop("is_placeholder")
@@ -484,7 +522,9 @@ def token_encode(spark, sf_dir):
 @query
 def pad_batch(spark, sf_dir):
     x = _ids(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), encoding.encoded(F.col("prompt"), F.col("target"), 0, 256).alias("e"))
-    return _sums(encoding.padded(x.select("doc_id", "batch", "e.*"), "batch", 1))
+    padded = encoding.padded(x.select("doc_id", "batch", "e.*"), "batch", 1)
+    types = F.aggregate(encoding.zero_types(F.col("input_ids")), F.lit(0), lambda s, v: s + v + 1).cast("long")
+    return _sums(padded, types.alias("n_zero_types"))
 
 
 @query

@@ -24,9 +24,10 @@ def json_rows(spark: SparkSession, path: str | list[str], schema: StructType, to
     held = StructType([*schema, StructField("__bad", StringType())])
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")).where(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
-    bad = parsed.where(F.col("r.__bad").isNotNull()).groupBy("__file").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("__block", "__at")).alias("bad_at"))
-    ends = lines.groupBy("__file").agg(F.max(F.struct("__block", "__at")).alias("end_at"))
-    worse = bad.join(ends, "__file").where((F.col("n") > 1) | (F.col("bad_at") != F.col("end_at"))).first()
+    # One pass looks at the lines of all files, whose faults and ends meet by file after they have been summed in tasks.
+    bad, place = F.col("r.__bad").isNotNull(), F.struct("__block", "__at")
+    ends = parsed.groupBy("__file").agg(F.count_if(bad).alias("n"), F.max(F.when(bad, place)).alias("bad_at"), F.max(place).alias("end_at"))
+    worse = ends.where((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("bad_at") != F.col("end_at")))).first()
     if worse is not None:
         raise TornFile(f"malformed lines in {worse['__file']}")
     return parsed.where(F.col("r.__bad").isNull()).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema])

@@ -178,6 +178,31 @@ def test_a_shuffle_is_a_permutation(spark):
             sampling.shuffled(bad, "id", 500, 9).collect()
 
 
+def test_shuffled_sample_query(spark, sf_dir):
+    from heddle.plans import queries
+
+    rows = queries.CATALOG["q_global_shuffle"](spark, sf_dir).collect()
+    assert sorted(r["place"] for r in rows) == sorted(r["ordinal"] for r in rows) == list(range(len(rows))) and len({r["o_orderkey"] for r in rows}) == len(rows)
+    assert [r["place"] for r in sorted(rows, key=lambda r: r["ordinal"])] == sampling.permuted(np.arange(len(rows)), len(rows), queries.SEED).tolist()
+    by = [r["o_orderpriority"] for r in sorted(rows, key=lambda r: r["place"])]
+    assert len({by.count(c) for c in set(by)}) == 1 and len(set(by[:40])) == len(set(by))
+
+
+def test_question_of_messages(spark):
+    from heddle.functions import text
+
+    m = "array<struct<role:string,content:string>>"
+    rows = [([("user", " a ")],), ([("assistant", "b")],), ([("user", "a"), (None, None)],), ([("", " x")],), ([],), (None,)]
+    out = [r[0] for r in spark.createDataFrame(rows, f"m {m}").coalesce(1).select(text.question(F.col("m"))).collect()]
+    assert out == ["a", "Assistant: b", "User: a\nUser:", ": x", "", None]
+
+
+def test_sets_of_values(spark):
+    x = frame(spark, [("p", "a"), ("p", "b"), ("p", "a"), ("q", "a"), ("r", "a"), ("r", "b"), ("r", "c"), ("s", None)], "k string, v string")
+    out = {r["k"]: tuple(r)[1:] for r in report.value_sets(x, "k", "v", ("b", "a")).collect()}
+    assert out == {"p": (2, True, True, True, ""), "q": (1, False, True, False, "b"), "r": (3, True, False, False, ""), "s": (0, False, True, False, "a,b")}
+
+
 def test_split_audit(spark):
     x = spark.range(100).select("id", F.when(F.col("id") < 60, "a").otherwise("b").alias("c"))
     r = sampling.split_audit(sampling.balanced_halves(x, "c", "id", 1, 20), "c", 20).first()
