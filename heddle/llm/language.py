@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import UNPACKED, parts, tidied
@@ -24,6 +24,10 @@ MOST_KNOWN = 250_000
 #: Documents put through forward-backward at a time, (word, label) scores that they may take with padding, and words
 #: of the documents among which they are chosen by length.
 LANES, CELLS, WAITING = 1024, 1 << 19, 1 << 21
+#: Characters from which on a text is labelled by itself, its words in lanes of so many that are joined by transfer matrices.
+LONG, LANE = 1 << 20, 2048
+#: A labelled text of more characters is learnt from windows of it, so many and as long, that are spread evenly over it.
+MOST_CHARACTERS, WINDOWS = 1 << 16, 8
 #: What a text without letters gets.
 UNDETERMINED = "und"
 
@@ -85,19 +89,90 @@ class Model(NamedTuple):
 LEAST_POTENTIAL = -300.0
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts: np.ndarray, moves: np.ndarray, expect: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def _potentials(scores: np.ndarray) -> np.ndarray:
+    """Scores relative to the largest of their step, as factors."""
+    scores = scores.astype(np.float64)
+    return np.exp(np.maximum(scores - scores.max(axis=-1, keepdims=True), LEAST_POTENTIAL))
+
+
+def transfers(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log of what each label before a lane (lane, from, to) does to each label at its end, for lanes (time, lane, labels) of one
+    length. Each row is rescaled at every step by itself, so that none is lost beside a larger one."""
+    emit, move = _potentials(scores), np.exp(np.maximum(moves - moves.max(), LEAST_POTENTIAL))
+    n, labels = emit.shape[1:]
+    out, scale = np.broadcast_to(np.eye(labels), (n, labels, labels)), np.zeros((n, labels))
+    for t in range(len(emit)):
+        out = (out @ move) * emit[t][:, None, :]
+        size = out.sum(axis=2)
+        out = out / size[:, :, None]
+        scale += np.log(size)
+    with np.errstate(divide="ignore"):
+        return np.log(out) + scale[:, :, None]
+
+
+def lane_ends(logs: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(forward, backward) vectors at the ends of lanes that follow each other, given the forward vector at the end of the
+    first and the transfers of the others."""
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    ahead, behind = [first / first.sum()], [np.full(len(first), 1.0 / len(first))]
+    with np.errstate(divide="ignore"):
+        for log in logs:
+            step = np.log(ahead[-1])[:, None] + log
+            top = step.max(axis=0)
+            safe = np.where(np.isfinite(top), top, 0.0)
+            ahead.append(scaled(np.log(np.exp(step - safe).sum(axis=0)) + safe))
+        for log in reversed(logs):
+            step = log + np.log(behind[-1])[None, :]
+            top = step.max(axis=1)
+            safe = np.where(np.isfinite(top), top, 0.0)
+            behind.append(scaled(np.log(np.exp(step - safe[:, None]).sum(axis=1)) + safe))
+    return np.array(ahead), np.array(behind[::-1])
+
+
+def mean_posterior(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, lane: int = LANE) -> np.ndarray:
+    """The mean posterior over one long sequence (word, labels), as forward_backward gives it: lanes of it are worked through side
+    by side, and what passes between them by transfer matrices. A step is one of `lane` in a group, not one of the text."""
+    n, labels = scores.shape
+    head, whole = scores[: 1 + (n - 1) % lane], 1 + (n - 1) % lane
+    lanes = scores[whole:].reshape(-1, lane, labels)
+    group = max(1, CELLS // (lane * labels))
+    logs = [t for k in range(0, len(lanes), group) for t in transfers(lanes[k : k + group].swapaxes(0, 1), moves)]
+    start = np.exp(np.maximum(starts - starts.max(), LEAST_POTENTIAL)) * _potentials(head[0])
+    alone = start / start.sum()
+    if len(head) > 1:
+        with np.errstate(divide="ignore"):
+            ahead, _ = lane_ends([transfers(head[1:, None], moves)[0]], alone)
+        first = ahead[-1]
+    else:
+        first = alone
+    ahead, behind = lane_ends(logs, first)
+    post, _ = forward_backward(head[:, None], np.array([len(head)]), starts, moves, after=behind[:1])
+    total = post.sum(axis=(0, 1))
+    for k in range(0, len(lanes), group):
+        part = lanes[k : k + group].swapaxes(0, 1)
+        post, _ = forward_backward(part, np.full(part.shape[1], lane), starts, moves, before=ahead[k : k + part.shape[1]], after=behind[k + 1 : k + 1 + part.shape[1]])
+        total += post.sum(axis=(0, 1))
+    return total / n
+
+
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts: np.ndarray, moves: np.ndarray, expect: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Posteriors (time, lane, labels) of sequences, zero beyond their ends, and the expected moves (from, to) if
     asked for. `scores` is (time, lane, labels); `lengths` ascend, so the lanes that go on at a time are the last ones.
-    Works in probabilities that are rescaled at every step, in double precision, which holds potentials that differ by
+    Lanes may go on from the forward vectors `before` them, and end at the backward vectors `after` them. Works in probabilities that are rescaled at every step, in double precision, which holds potentials that differ by
     up to LEAST_POTENTIAL."""
     steps, n, labels = scores.shape
-    scores = scores.astype(np.float64)
-    emit = np.exp(np.maximum(scores - scores.max(axis=2, keepdims=True), LEAST_POTENTIAL))
+    emit = _potentials(scores)
     move = np.exp(np.maximum(moves - moves.max(), LEAST_POTENTIAL))
     back = np.ascontiguousarray(move.T)
     first = np.searchsorted(lengths, np.arange(steps), side="right")
     ahead, behind = np.zeros_like(emit), np.ones_like(emit)
-    ahead[0] = np.exp(np.maximum(starts - starts.max(), LEAST_POTENTIAL)) * emit[0]
+    ahead[0] = (np.exp(np.maximum(starts - starts.max(), LEAST_POTENTIAL)) if before is None else before @ move) * emit[0]
+    if after is not None:
+        behind[lengths - 1, np.arange(n)] = after
     ahead[0] /= ahead[0].sum(axis=1, keepdims=True)
     for t in range(1, steps):
         lanes = slice(first[t], None)
@@ -230,6 +305,11 @@ class Labeller:
             waiting.clear()
 
         for k, text in enumerate(texts):
+            if len(text) > LONG and self.model.labels:
+                mean = self.mean_of(text)
+                if mean is not None:
+                    pred[k], score[k] = self.model.labels[int(np.argmax(mean))], float(min(1.0, max(0.0, mean.max())))
+                continue
             words = words_of(text)
             if words and self.model.labels:
                 waiting.append((k, self.numbers(words)))
@@ -242,6 +322,25 @@ class Labeller:
         settle()
         return pred, score
 
+    def mean_of(self, text: str) -> np.ndarray | None:
+        """The mean posterior over the words of a text of any length, which are never all held as strings; None without words."""
+        known, part = Labeller(self.model), []
+        scores: list[np.ndarray] = []
+
+        def take() -> None:
+            if len(known.number) > MOST_KNOWN:
+                known.number.clear()
+            scores.append(known.scores[known.numbers(part)])
+            part.clear()
+
+        for found in _WORD.finditer(text.lower()):
+            part.append(found[0])
+            if len(part) == MOST_KNOWN:
+                take()
+        if part:
+            take()
+        return mean_posterior(np.concatenate(scores), self.model.starts, self.model.moves) if scores else None
+
     def posteriors(self, sequences: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         """(position, posteriors) of each sequence of word numbers, the shortest first."""
         order = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
@@ -265,21 +364,22 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most_labelled
     """A field for `labelled` (doc_id, text, lang), from a bounded sample: of each language the texts whose id hashes lowest.
 
     Rows without text or language are left out; every language that is left is learnt, from `docs_per_lang` documents
-    or an equal share of `most_labelled`. Documents of one hash come in order of their text. No more than about four
-    times the sample reaches the driver, however many rows there are."""
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    or an equal share of `most_labelled`. Documents of one hash come in order of their text. The sample alone reaches the
+    driver, however many rows there are, and of a text at most MOST_CHARACTERS: a longer one is learnt from WINDOWS windows
+    of equal length, the first at its begin and the last at its end."""
+    size = MOST_CHARACTERS // WINDOWS
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.col("text").substr((k * (F.length("text") - size) / (WINDOWS - 1)).cast("int") + 1, F.lit(size))), " ")
+    text = F.when(F.length("text") > MOST_CHARACTERS, spread).otherwise(F.col("text")).alias("text")
+    rows = labelled.where("text is not null and lang is not null").select(text, "lang", F.xxhash64("doc_id").alias("h"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     docs_per_lang = max(1, min(docs_per_lang, most_labelled // max(1, len(counts))))
     # Hashes are even, so a share of their range holds the wanted texts and a few times as many in all.
     near = F.lit(False)
     for r in counts:
         near = near | ((F.col("lang") == r["lang"]) & (F.col("h") <= int(-(2**63) + min(1.0, 4 * docs_per_lang / r["n"]) * (2**64 - 1025))))
-    found = rows.where(near).collect() if counts else []
-    sample: list[tuple[str, str]] = []
-    for r in counts:
-        own = sorted(((x["h"], x["text"]) for x in found if x["lang"] == r["lang"]))
-        sample += [(text, r["lang"]) for _, text in own[:docs_per_lang]]
-    return fit(sample)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    found = rows.where(near).withColumn("place", place).where(F.col("place") <= docs_per_lang).collect() if counts else []
+    return fit([(x["text"], x["lang"]) for x in sorted(found, key=lambda x: (x["lang"], x["place"]))])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

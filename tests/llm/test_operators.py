@@ -202,6 +202,36 @@ def test_a_shape_that_is_used_up_ends(spark):
     assert len(set(mails)) == 676 and not {m.split(" ")[0] for m in mails} & {t.split(" ")[2] for _, t in rows}
 
 
+def test_long_sequences_by_transfer_matrices():
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    for labels, n, lane, wide in ((2, 1, 8, 1), (4, 8, 8, 1), (4, 9, 8, 3), (3, 500, 16, 4), (4, 2500, 64, 40), (5, 777, 32, 300)):
+        scores = draw.normal(size=(n, labels)) * wide
+        starts, moves = draw.normal(size=labels), draw.normal(size=(labels, labels)) * min(wide, 30)
+        post, _ = language.forward_backward(scores[:, None], np.array([n]), starts, moves)
+        assert np.abs(language.mean_posterior(scores, starts, moves, lane) - post[:, 0].mean(axis=0)).max() < 1e-9
+
+
+def test_a_very_long_text_is_labelled_whole(spark, monkeypatch):
+    rows = [(k, text, lang) for k in range(40) for text, lang in (("the house is on the hill and the sun is up " * 8, "en"), ("das Haus steht auf dem Berg und die Sonne scheint " * 8, "de"))]
+    model = language.train(spark.createDataFrame([(2 * k + (lang == "de"), t, lang) for k, t, lang in rows], "doc_id long, text string, lang string"))
+    text = "the house is on the hill " * 30_000 + "das Haus steht auf dem Berg " * 60_000
+    labeller = language.Labeller(model)
+    [pred], [score] = labeller.predict([text])
+    assert pred == "de" and abs(score - 2 / 3) < 0.01 and len(text) > language.LONG and not labeller.number
+    monkeypatch.setattr(language, "LONG", 10**9)
+    [again], [near] = language.Labeller(model).predict([text])
+    assert again == pred and abs(near - score) < 1e-6
+    monkeypatch.setattr(language, "LONG", 10)
+    assert language.Labeller(model).predict(["1234567890 1234 5678", "und"])[0] == ["und", "de"]
+    # Of a long labelled text the driver gets windows.
+    got = []
+    monkeypatch.setattr(language, "fit", lambda found: got.extend(found))
+    language.train(spark.createDataFrame([(1, "a" * 200_000 + "z", "en"), (2, "b", "en"), (3, None, "en"), (4, "c", None)], "doc_id long, text string, lang string"))
+    assert sorted(len(t) for t, _ in got) == [1, language.MOST_CHARACTERS + language.WINDOWS - 1] and max(got)[0] == "b" and min(got)[0].endswith("z")
+
+
 #: (type, texts that hold one entity each, what must be gone)
 PLANTED = [
     ("phone", "call {} today", ["212-555-0123", "212.555.0123", "+49 30 1234567", "(212) 555-0123", "030 12345678", "+1 (578) 555-6437"]),
