@@ -49,11 +49,11 @@ _FIRST = "|".join(_FIRSTS)
 #: Names written in capitals.
 _LOUD, _LOUD_NAME = "|".join(n.upper() for n in _FIRSTS if len(n) > 3 and n not in ("Frank", "Mark")), r"\p{Lu}{2,}(?:[-'’]\p{Lu}{2,})*+(?![\p{L}\p{N}\p{M}])"
 #: No name begins within a word, or behind a hyphen or an apostrophe that joins it to one.
-_START = r"(?<![\p{L}\p{N}\p{M}])(?<![\p{L}\p{N}\p{M}][-'’])(?=\p{Lu})"
+_START = r"(?=\p{Lu})(?<![\p{L}\p{N}\p{M}])(?<![\p{L}\p{N}\p{M}][-'’])"
 #: The words before a secret. Its value runs to the closing quote, or else to white space or a quote, without the marks
 #: that end a sentence; four letters or digits of it at least, as these are what a surrogate replaces.
 _PREFIX = (
-    r"(?i:(?<![\p{L}\p{N}_-])(?:[a-z0-9]{1,24}[_-]){0,5}(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
+    r"(?i:(?<![\p{L}\p{N}_-])(?:[a-z0-9]{1,24}+[_-]){0,5}(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
     r"(?:[_-](?:access[_-]?key|key|value|hash|prod|dev|test|[0-9]{1,3})){0,3}[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
     r"|\b(?:password|passphrase)\s{1,3}is:?\s{1,3}(?=[^\s]{0,64}[0-9])[\"']?)"
 )
@@ -88,7 +88,7 @@ TYPES = {
     # Without a plus or parentheses: three, three and four digits, or a leading 0 and 8 to 12 digits in all, but no date.
     r"|(?<![\p{L}\d.,/-])(?:1[ .-])?[2-9]\d{2}(?: [2-9]\d{2} |-[2-9]\d{2}-|\.[2-9]\d{2}\.)\d{4}(?![.,/-]?\d)"
     # Ten digits in a row only behind a word for it.
-    r"|(?<=\b(?i:phone|tel|telephone|telefon|mobile|cell|fax|call|whatsapp)\b[^\p{L}\d\r\n]{0,4}(?:(?i:is|at|me at|us at)[ :]{1,3})?)[2-9]\d{2}[2-9]\d{6}(?![.,/-]?\d)"
+    r"|(?=[2-9]\d{9}(?!\d))(?<=\b(?i:phone|tel|telephone|telefon|mobile|cell|fax|call|whatsapp)\b[^\p{L}\d\r\n]{0,4}(?:(?i:is|at|me at|us at)[ :]{1,3})?)[2-9]\d{2}[2-9]\d{6}(?![.,/-]?\d)"
     r"|(?<![\p{L}\d.,/-])(?!\d\d[ ./-]\d\d[ ./-]\d{4}(?!\d))(?=(?:[ ./-]?\d){8,12}(?![ .,/-]?\d))0[1-9]\d{0,3}[ ./-]\d{2,8}(?:[ .-]\d{2,8}){0,4}",
     "address": rf"(?<![\p{{L}}\d.,/-])\d{{1,5}} (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}{_STREET}\b|(?<![\p{{L}}\d.,/-])\d{{1,5}},? {_ROAD} (?:(?:de|du|des|del|della|di|la|le|les|los|las|dei) ){{0,3}}(?:[dl]['’])?{_NAME}(?: {_NAME}){{0,2}}|\b\p{{Lu}}\p{{Ll}}{{2,}}(?:straße|strasse|gasse|allee) \d{{1,4}}\b",
     "name": rf"{_START}(?:(?:{_TITLE})\b\.?{_BETWEEN}{_NAME}(?:{_BETWEEN}{_NAME})?|(?:{_FIRST})(?:-\p{{Lu}}\p{{Ll}}+)?(?: (?:{_FIRST}))?{_BETWEEN}{_NAME}|{_CALLED}{_NAME}{_BETWEEN}{_NAME}|(?:{_LOUD})(?: \p{{Lu}}\.){{0,2}} {_LOUD_NAME})",
