@@ -44,6 +44,7 @@ _NAME = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]?\p{Lu}[\p{Ll}\p{M}]+)*
 _PARTICLE = r"(?:van|von|vom|zu|zur|de|del|della|di|da|do|dos|du|der|den|la|le|ten|ter|bin|ibn|al)"
 _BETWEEN = rf"(?: \p{{Lu}}\.){{0,3}}(?: {_PARTICLE}\b){{0,3}} "
 _TITLE = "|".join(sorted((t for titles in TITLES.values() for t in titles), key=len, reverse=True))
+_TITLES = rf"(?:{_TITLE})\b\.?(?: (?:{_TITLE})\b\.?)?"
 _FIRSTS = sorted({n for names in (*GIVEN.values(), *COMMON.values()) for n in names}, key=lambda n: (-len(n), n))
 _FIRST = "|".join(_FIRSTS)
 #: Names written in capitals.
@@ -91,7 +92,7 @@ TYPES = {
     r"|(?=[2-9]\d{9}(?!\d))(?<=\b(?i:phone|tel|telephone|telefon|mobile|cell|fax|call|whatsapp)\b[^\p{L}\d\r\n]{0,4}(?:(?i:is|at|me at|us at)[ :]{1,3})?)[2-9]\d{2}[2-9]\d{6}(?![.,/-]?\d)"
     r"|(?<![\p{L}\d.,/-])(?!\d\d[ ./-]\d\d[ ./-]\d{4}(?!\d))(?=(?:[ ./-]?\d){8,12}(?![ .,/-]?\d))0[1-9]\d{0,3}[ ./-]\d{2,8}(?:[ .-]\d{2,8}){0,4}",
     "address": rf"(?<![\p{{L}}\d.,/-])\d{{1,5}} (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}{_STREET}\b|(?<![\p{{L}}\d.,/-])\d{{1,5}},? {_ROAD} (?:(?:de|du|des|del|della|di|la|le|les|los|las|dei) ){{0,3}}(?:[dl]['’])?{_NAME}(?: {_NAME}){{0,2}}|\b\p{{Lu}}\p{{Ll}}{{2,}}(?:straße|strasse|gasse|allee) \d{{1,4}}\b",
-    "name": rf"{_START}(?:(?:{_TITLE})\b\.?{_BETWEEN}{_NAME}(?:{_BETWEEN}{_NAME})?|(?:{_FIRST})(?:-\p{{Lu}}\p{{Ll}}+)?(?: (?:{_FIRST}))?{_BETWEEN}{_NAME}|{_CALLED}{_NAME}{_BETWEEN}{_NAME}|(?:{_LOUD})(?: \p{{Lu}}\.){{0,2}} {_LOUD_NAME})",
+    "name": rf"{_START}(?:{_TITLES}{_BETWEEN}{_NAME}(?:{_BETWEEN}{_NAME})?|(?:{_FIRST})(?:-\p{{Lu}}\p{{Ll}}+)?(?: (?:{_FIRST}))?{_BETWEEN}{_NAME}(?:{_BETWEEN}(?!(?:{_TITLE})\b){_NAME}(?!:|\.?\s?\d))?|{_CALLED}{_NAME}{_BETWEEN}{_NAME}|(?:{_LOUD})(?: \p{{Lu}}\.){{0,2}} {_LOUD_NAME})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: What no entity is without: texts that lack all of them are left alone at the cost of a plain scan.
@@ -360,7 +361,7 @@ def _gender(title: Column, first: Column) -> Column:
 def _parts(e: Column) -> Column:
     """struct(title, first, middle, last) of a name; the given name is empty where there is none, and a name that begins
     with initials or particles has them in the middle."""
-    title = F.regexp_extract(e, rf"\A(?:{_TITLE})\b\.? ", 0)
+    title = F.regexp_extract(e, rf"\A{_TITLES} ", 0)
     given = lambda w: (F.size(w) > 1) & ~w[0].rlike(rf"\A(?:\p{{Lu}}\.|{_PARTICLE})\z")
 
     def cut(x: Column) -> Column:
