@@ -97,14 +97,14 @@ def distinct_candidates(samples: DataFrame, wanted: int = 2) -> DataFrame:
     return first.withColumn("place", place).where(F.col("place") <= wanted)
 
 
-def response_pairs(samples: DataFrame) -> DataFrame:
+def response_pairs(samples: DataFrame, **counted: Column) -> DataFrame:
     """(example_id, sampling_attempts, distinct_candidates_found, response_a, response_b) of samples (example_id, attempt,
     answer): the first two distinct answers, the last sample standing in for a second one. A prompt has a bounded number of
-    samples."""
-    by = samples.groupBy("example_id", "answer").agg(F.min("attempt").alias("first"), F.max("attempt").alias("last"), F.count(F.lit(1)).alias("n"))
-    whole = by.groupBy("example_id").agg(F.sum("n").alias("sampling_attempts"), F.array_sort(F.collect_list(F.struct("first", "answer"))).alias("__d"), F.max_by("answer", "last").alias("__last"))
+    samples. `counted` are further columns: how many of a prompt's samples meet each condition, counted in the same pass."""
+    by = samples.groupBy("example_id", "answer").agg(F.min("attempt").alias("first"), F.max("attempt").alias("last"), F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(f"__n_{k}") for k, c in counted.items()))
+    whole = by.groupBy("example_id").agg(F.sum("n").alias("sampling_attempts"), F.array_sort(F.collect_list(F.struct("first", "answer"))).alias("__d"), F.max_by("answer", "last").alias("__last"), *(F.sum(f"__n_{k}").alias(k) for k in counted))
     second = F.coalesce(F.get("__d", F.lit(1))["answer"], F.col("__last"))
-    return whole.select("example_id", "sampling_attempts", F.size("__d").cast("long").alias("distinct_candidates_found"), F.get("__d", F.lit(0))["answer"].alias("response_a"), second.alias("response_b"))
+    return whole.select("example_id", "sampling_attempts", F.size("__d").cast("long").alias("distinct_candidates_found"), F.get("__d", F.lit(0))["answer"].alias("response_a"), second.alias("response_b"), *counted)
 
 
 def real(placeholder: Column) -> Column:

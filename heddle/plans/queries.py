@@ -591,8 +591,7 @@ def sampled_pairs(spark, sf_dir):
     spelled = {t: t if k == 0 else SPELLINGS[k - 1] for k, t in enumerate(stages.STUB)}
     x = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("example_id"), F.col("o_orderkey").alias("source_row_index"), F.concat_ws("|", "o_orderkey", "o_orderpriority").alias("prompt"), F.lit(D.TOOLS).alias("tools"))
     drawn = stages.generated_attempts(x, lambda texts, seed: [spelled[t] for t in _by_round(texts, seed)], attempts=6, seed=SEED)
-    pairs = records.response_pairs(drawn.select("example_id", "attempt", F.col("canonical").alias("answer")))
-    return pairs.join(drawn.groupBy("example_id").agg(F.count_if("valid").alias("n_valid")), "example_id")
+    return records.response_pairs(drawn.select("example_id", "attempt", F.col("canonical").alias("answer"), "valid"), n_valid=F.col("valid"))
 
 
 # --- calls of many tools, types and syntaxes

@@ -61,7 +61,7 @@ def generated_attempts(rows: DataFrame, generator: Generator, attempts: int = 6,
     tools = F.col("tools") if "tools" in rows.columns else F.lit("[]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        evaluate = toolcall.evaluator()
         for b in batches:
             example, ordinal, prompt, spec = (c.to_pylist() for c in b.columns)
             seen: list[set[str]] = [set() for _ in example]
@@ -71,9 +71,7 @@ def generated_attempts(rows: DataFrame, generator: Generator, attempts: int = 6,
                 for part in (open_[at : at + batch] for at in range(0, len(open_), batch)):
                     texts = generator([prompt[k] or "" for k in part], seed + attempt * ROUND + int(ordinal[part[0]] or 0) % ROUND)
                     for k, text in zip(part, texts, strict=True):
-                        if spec[k] not in known:
-                            known[spec[k]] = toolcall.tools_of(spec[k])
-                        e = toolcall.evaluate(text, known[spec[k]])
+                        e = evaluate(text, spec[k])
                         seen[k].add(e["canonical"])
                         out.append((example[k], attempt, text, e["canonical"], e["class"], e["valid"], e["reason"], e["structural_kind"]))
             schema = [("example_id", pa.string()), ("attempt", pa.int32()), *((n, pa.string()) for n in ("answer", "canonical", "class")), ("valid", pa.bool_()), ("reason", pa.string()), ("structural_kind", pa.string())]

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from heddle.functions import toolcall
 from heddle.operators import joins, records, report, sampling
-from heddle.plans import stages
+from heddle.plans import queries, stages
 from heddle.sources import manifest, sinks
 from heddle.sources import rows as sources
 
@@ -92,6 +93,31 @@ def test_rounds_of_whole_batches(spark):
     assert stages.generated_attempts(odd, stages.stub, attempts=1).count() == 2
 
 
+def test_sampled_pairs_draw_once(spark, sf_dir):
+    out = queries.CATALOG["q_sampled_pairs"](spark, sf_dir)
+    # Pairs and their counts come of one run of the generator.
+    assert plan(out).count("MapInArrow") == 1 and plan(out).count("FileScan") == 1
+    samples = frame(spark, [("a", 0, "x", True), ("a", 1, "x", False), ("a", 2, "y", True), ("b", 0, "x", None), (None, 0, "x", True)], "example_id string, attempt int, answer string, valid boolean")
+    got = {r["example_id"]: tuple(r)[1:] for r in records.response_pairs(samples, n_valid=F.col("valid"), n_first=F.col("attempt") == 0).collect()}
+    assert got == {"a": (3, 2, "x", "y", 2, 1), "b": (1, 1, "x", "x", 0, 1), None: (1, 1, "x", "x", 1, 1)}
+
+
+def test_answers_are_parsed_once(monkeypatch):
+    parsed, read = [], toolcall.parse
+    monkeypatch.setattr(toolcall, "parse", lambda text: parsed.append(text) or read(text))
+    evaluate, spec = toolcall.evaluator(), '[{"name":"f","required":["a"]}]'
+    valid = ("f(a=1)", '{"name":"f","arguments":{}}', " plain ", "", None)
+    want = [("valid_tool_call", None), ("invalid_tool_call", "missing_required:a"), ("plain_text", None), ("empty", "empty_response"), ("empty", "empty_response")]
+    for _ in range(3):
+        assert [(e["structural_kind"], e["reason"]) for e in (evaluate(t, spec) for t in valid)] == want
+    # A call again in its canonical form; nothing again for texts that come again.
+    assert len(parsed) == 7
+    assert evaluate("f(a=1)", "[]")["reason"] == toolcall.NO_TOOL and evaluate("f(a=1)", None)["reason"] == toolcall.NO_TOOL
+    long = "x" * (toolcall.REMEMBERED_LENGTH + 1)
+    del parsed[:]
+    assert [evaluate(long, spec)["canonical"] for _ in range(2)] == [long, long] and len(parsed) == 2
+
+
 class _Lists:
     def zero(self, value):
         return []
